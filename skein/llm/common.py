@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,7 +92,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
     if batch.num_rows == 0:
         return
     values = batch.column(batch.schema.get_field_index(column))
-    lengths = np.asarray(pa.compute.binary_length(values).fill_null(0))
+    lengths = np.asarray(pc.binary_length(values).fill_null(0))
     total = np.cumsum(lengths, dtype=np.int64)
     start = 0
     while start < batch.num_rows:
