@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from skein.llm.chat import OP4_SQL, op4_chat
+from skein.llm.decontaminate import OP3_SQL, op3_decontaminate
 from skein.llm.neardup import op2_neardup
+from skein.llm.quality import op10_quality
+from skein.llm.secrets import op7_secrets
+from skein.llm.substrings import OP9_SQL, op9_substrings
 from skein.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_neardup": op2_neardup,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_chat": op4_chat,
+    "op7_secrets": op7_secrets,
+    "op9_substrings": op9_substrings,
+    "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_decontaminate": OP3_SQL,
+    "op4_chat": OP4_SQL,
+    "op9_substrings": OP9_SQL,
+}
