@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from skein.llm.chat import OP4_SQL, op4_chat
 from skein.llm.decontaminate import OP3_SQL, op3_decontaminate
+from skein.llm.langid import op6_langid
+from skein.llm.mixing import op8_mixing
 from skein.llm.neardup import op2_neardup
+from skein.llm.pages import op5_pages
 from skein.llm.quality import op10_quality
 from skein.llm.secrets import op7_secrets
 from skein.llm.substrings import OP9_SQL, op9_substrings
@@ -15,7 +18,10 @@ QUERIES = {
     "op2_neardup": op2_neardup,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
+    "op5_pages": op5_pages,
+    "op6_langid": op6_langid,
     "op7_secrets": op7_secrets,
+    "op8_mixing": op8_mixing,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
 }
