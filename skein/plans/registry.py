@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from skein.plans import code, tables
+
 FLAGSHIP = "search_tiers"
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES = {**tables.QUERIES, **code.QUERIES}
+ORACLE: dict[str, str] = {**tables.ORACLE, **code.ORACLE}
