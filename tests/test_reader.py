@@ -14,7 +14,7 @@ from skein.sources.projects import dependency_rows, deps_paths, lein_paths
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="()[]{}#_'`~@^\"\;: a/b1\n,?", max_size=60))
+@given(st.text(alphabet='()[]{}#_\'`~@^"\\;: a/b1\n,?', max_size=60))
 def test_any_text_is_read_and_spans_nest(text):
     root = read(text)
     for form in root.walk(gaps=True):
