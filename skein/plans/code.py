@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skein.functions import columns as C
 from skein.functions.cursor import call_at_udf, indent_udf, split_params_udf, word_at_udf
 from skein.functions.java import outline
-from skein.operators import completion, merge, references, requires, resolve, search
+from skein.operators import completion, editing, merge, references, requires, resolve, search
 from skein.plans import corpus
 from skein.plans.corpus import flat
 from skein.sources import code as source
@@ -358,3 +358,48 @@ _ORACLES = {
 
 QUERIES = {f.__name__: f for f in _ORACLES}
 ORACLE = {f.__name__: sql for f, sql in _ORACLES.items()}
+
+
+def code_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arities of the call being typed."""
+    r = corpus.relations(spark)
+    asked = spark.createDataFrame([(1, "shop.core", "(price/total "), (2, "shop.core", "(tax 1 "), (3, "shop.core", "(reduce + "), (4, "shop.core", "(nope "), (5, "shop.core", "(tax")], "qid int, ns string, text string")
+    core = spark.createDataFrame([("reduce", "([f coll] [f val coll])")], "name string, params string")
+    found = editing.signature_help(asked, r.namespaces, r.symbols, core, corpus.special_forms(spark))
+    return found.select("qid", "fqn", F.array_join("arities", " ").alias("arities"), "signature", "parameter")
+
+
+def code_format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(1, "(defn f [x]\n", "x)"), (2, "(defn f [x]\n", "  x)"), (3, "[1\n", "    2]"), (4, '(f "a\n', "b")], "qid int, before string, text string")
+    return editing.format_lines(asked)
+
+
+def code_host_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(1, "a.B", "size"), (2, "a.B", "left"), (3, "a.B", "nope"), (4, "a.C", "size")], "qid int, class string, member string")
+    members = spark.createDataFrame([("a.B", "B", "class", 1), ("a.B", "size", "field", 3), ("a.B", "size", "method", 5), ("a.B", "left", "field", 4)], "class string, name string, kind string, line int")
+    return editing.host_definition(asked, members)
+
+
+def code_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macros declared alike, from two settings texts, the second on top."""
+    rows = lambda text: spark.createDataFrame(editing.settings_rows(text), "macro string, target string")
+    kinds = spark.createDataFrame(editing.definer_kinds(), "target string, kind string")
+    base = rows("{:lint-as {a/x clojure.core/defn b/y clojure.core/def c/z clojure.core/let}}")
+    return merge.overlay_settings(base, rows("{:lint-as {b/y clojure.core/let a/x clojure.core/defrecord}}"), kinds)
+
+
+def code_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("src/a.clj", "changed"), ("src/b.clj", "deleted"), ("deps.edn", "changed"), (".x/1.cp", "created"), (".lint/config.edn", "changed")]
+    found = editing.route_changes(spark.createDataFrame(rows, "path string, kind string"))
+    return found.withColumn("alias_line", editing.on_alias_declaration(F.lit("[a.b :as bee]"), F.lit("be")))
+
+
+_MORE = {
+    code_signatures: "select * from (values (1, 'shop.price/total', '[items]', 0, 0), (2, 'shop.price/tax', '[x] [x y]', 1, 1), (3, 'clojure.core/reduce', '[f coll] [f val coll]', 0, 1)) as t(qid, fqn, arities, signature, parameter)",
+    code_format_lines: "select * from (values (1, 0, '  '), (3, 4, ' ')) as t(qid, replaced, new_text)",
+    code_host_definitions: "select * from (values (1, 'a.B', 'size', 'method', 5), (2, 'a.B', 'left', 'field', 4), (3, 'a.B', 'nope', 'class', 1)) as t(qid, class, member, kind, line)",
+    code_settings: "select 'a/x' as macro, 'clojure.core/defrecord' as target, 'Defrecord' as kind",
+    code_changes: "select *, true as alias_line from (values ('src/a.clj', 'extract'), ('src/b.clj', 'remove'), ('deps.edn', 'libraries'), ('.x/1.cp', 'libraries'), ('.lint/config.edn', 'rebuild')) as t(path, action)",
+}
+QUERIES |= {f.__name__: f for f in _MORE}
+ORACLE |= {f.__name__: sql for f, sql in _MORE.items()}
