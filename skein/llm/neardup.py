@@ -3,12 +3,14 @@
 A document's set holds its distinct 5-word shingles. Equal sets collapse to
 one node first. Each node gets ``HASHES`` minima of universal hash functions,
 cut into bands; nodes that agree on a band meet in a bucket. A bucket links
-its members to its smallest and its largest node, never all pairs. Candidates
+its members to its smallest node and to one drawn by hash, never all pairs. Candidates
 pass a check of their signatures and then the exact check on full sets.
-Components come from alternating large-star and small-star steps. Buckets
-that still hold several components then test every pair across components of
-which at least one side is outside the bucket's largest component, so that no
-link between different texts is lost to the choice of leaders.
+Components come from alternating large-star and small-star steps. Nodes of
+buckets that still hold several components get a second, exact look: each
+files its rarest shingles, as many as any partner must hit (a prefix filter,
+rarest among these nodes first), and pairs across components that meet there
+early enough to be similar (a positional filter) are confirmed too. So no link between different texts is lost to the choice of
+leaders, and nodes that no partner could be similar enough to emit no pair.
 
 At a similarity of 0.85 a pair shares no band with probability 9e-6
 (24 bands of 6), and its signature falls below ``SIGNATURE_FLOOR`` with
@@ -147,6 +149,36 @@ def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int)
     return out
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        members = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
+        if members:
+            sizes = np.fromiter(map(len, members), np.int64, len(members))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(members))], ["node", "n", "token"])
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of ``nodes`` that share one of their rarest shingles.
+
+    A partner of a set of n must hold ``percent`` of it, so it hits each choice
+    of more than the remaining shingles. Shingles of one node alone come first
+    in that order and cannot be hit.
+    """
+    sets = texts.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_full_sets, "node long, members binary")
+    tokens = common.cut(sets.dropDuplicates(["node"]).mapInArrow(_tokens, "node long, n long, token long"), "tokens")
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    ranked = tokens.join(held, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    reach = (F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone).cast("int")
+    prefix = ranked.where(reach > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), reach)).alias("at", "x"))
+    prefix = prefix.select("node", "n", F.col("x.token").alias("token"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+    prefix = common.cut(prefix.join(nodes, "node"), "prefix")
+    side = lambda k: prefix.select("token", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"), F.col("component").alias(f"c{k}"))
+    # Seen from their first common shingle, at most ``rest`` shingles of either set are left to share.
+    enough = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
+    return side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every linked node: alternating large-star and small-star steps.
 
@@ -182,31 +214,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     identified = signed.where("doc_id is not null and set_key is not null")
     named = identified.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     nodes = identified.join(named.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"])
-    nodes = common.cut(nodes.select(F.col("doc_id").alias("node"), "bands", "bytes"), "nodes")
+    nodes = common.cut(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "bytes"), "nodes")
 
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    met = common.cut(members.join(buckets, "bucket"), "buckets")
-    stars = met.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b")))).alias("p")).select("p.*")
+    members = nodes.select(F.struct("node", "n").alias("one"), F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("one").alias("low"), F.max("one").alias("high"), F.min_by("one", F.xxhash64("one.node", "bucket")).alias("drawn")).where("low.node < high.node")
+    met = common.cut(members.join(buckets.select("bucket", "low", "drawn"), "bucket"), "buckets")
+    stars = met.select("one", F.explode(F.array("low", "drawn")).alias("two")).where(100 * F.least("one.n", "two.n") >= percent * F.greatest("one.n", "two.n"))
+    stars = stars.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
     pairs = common.cut(stars.where("a <> b").distinct(), "pairs")
     links = confirm(pairs, nodes, texts, percent)
     stage = components(links)
 
-    # Buckets that still hold several components: the members outside a bucket's largest one, against all others.
-    placed = met.select("bucket", "node").join(stage, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    placed = met.select("bucket", "one.node").join(stage, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     placed = common.cut(placed, "placed")
-    parts = placed.groupBy("bucket", "component").count()
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("top.component").alias("main"))
-    open_ = placed.join(largest, "bucket")
-    minor = open_.where("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    across = (
-        minor.join(open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy")), "bucket")
-        .where("cx <> cy")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = confirm(common.cut(across, "across"), nodes, texts, percent)
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    open_ = common.cut(placed.join(several, "bucket", "left_semi").select("node", "component").distinct(), "open")
+    across = common.cut(_prefix_pairs(open_, texts, percent).join(pairs, ["a", "b"], "left_anti"), "across")
+    more = confirm(across, nodes, texts, percent)
     final = stage
     if more.limit(1).count():
         final = components(links.unionByName(more))
