@@ -20,6 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text handed to one vectorised step inside a Python worker, in bytes.
 CHUNK_BYTES = 2_000_000
 
+#: Rows and bytes of a batch between Spark and a Python worker, where the session has the defaults.
+BATCHES = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000", "10000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608", "67108864"),
+)
+
 _shipped: set[str] = set()
 
 
@@ -29,7 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
+    """Send this package to the executors once per application, and keep Arrow batches small.
+
+    A session's own batch settings stay as they are.
+    """
+    for setting, value, default in BATCHES:
+        if spark.conf.get(setting, default) == default:
+            spark.conf.set(setting, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -114,7 +126,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
