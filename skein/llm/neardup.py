@@ -244,3 +244,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select distinct doc_id, md5(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) as s
+  from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from docs where len(w) > 0)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as k from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2
+), links as (
+  select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * k >= 85 * (p.n + q.n - k)
+), edges as (
+  select a, b from links union all select b, a from links
+), reached(doc_id, other) as (
+  select doc_id, doc_id from docs union select r.doc_id, e.b from reached r join edges e on r.other = e.a
+), components as (
+  select doc_id, min(other) as component_id from reached group by doc_id
+)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, d.doc_id = component_id as kept
+from docs d left join sizes using (doc_id) join components using (doc_id)
+"""

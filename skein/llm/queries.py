@@ -6,7 +6,7 @@ from skein.llm.chat import OP4_SQL, op4_chat
 from skein.llm.decontaminate import OP3_SQL, op3_decontaminate
 from skein.llm.langid import op6_langid
 from skein.llm.mixing import op8_mixing
-from skein.llm.neardup import op2_neardup
+from skein.llm.neardup import OP2_SQL, op2_neardup
 from skein.llm.pages import op5_pages
 from skein.llm.quality import op10_quality
 from skein.llm.secrets import op7_secrets
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_neardup": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
     "op4_chat": OP4_SQL,
     "op9_substrings": OP9_SQL,
