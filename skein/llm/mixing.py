@@ -32,6 +32,8 @@ EPOCHS = 3
 BINS = 4096
 ROUNDS = 8
 SEED = 1_234_567
+#: Slots that one task makes, about.
+SLOTS_A_TASK = 200_000
 #: Rows of one window partition of a running sum, about.
 RUN = 10_000
 
@@ -117,6 +119,8 @@ def mix_slots(spark: SparkSession, plan: DataFrame) -> DataFrame:
     counts = placed.unionByName(missing).join(plan, "sid")
     counts = counts.withColumn("n", F.least(F.col("n"), F.col("slots") - F.col("start"))).where("n > 0")
     pieces = counts.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SHARD))))
+    # A few small rows stand for all slots: dealt out by how many slots they make, not by their bytes.
+    pieces = pieces.repartition(-(-total // SLOTS_A_TASK) or 1, "sid", "shard", "at")
     low = F.col("start") + F.col("at") * SHARD
     slots = pieces.withColumn("slot", F.explode(F.sequence(low, F.least(low + SHARD, F.col("start") + F.col("n")) - 1)))
     is_last = (F.col("slot") == F.col("slots") - 1) & (F.col("part_slots") > 0)
