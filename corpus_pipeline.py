@@ -18,6 +18,8 @@ from skein.llm.neardup import near_duplicates
 from skein.llm.quality import quality
 from skein.llm.secrets import MASK, mask_secrets
 
+NEAR_PERCENT = 80  # similarity from which the stage takes documents for near-duplicates; op2_neardup has its own
+
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` less the rows whose id is rejected."""
@@ -32,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the smallest id."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    return _without(docs, near_duplicates(docs, NEAR_PERCENT).where("not kept"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

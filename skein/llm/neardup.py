@@ -1,8 +1,8 @@
 """Near-duplicate classes: MinHash with banding, and alternating stars.
 
 A document's set holds its distinct 5-word shingles. Equal sets collapse to
-one node first. Each node gets ``HASHES`` minima of universal hash functions,
-cut into bands; nodes that agree on a band meet in a bucket. A bucket links
+one node first. Each node gets minima of universal hash functions (a row of
+``BANDINGS`` says how many), cut into bands; nodes that agree on a band meet in a bucket. A bucket links
 its members to its smallest node and to one drawn by hash, never all pairs. Candidates
 pass a check of their signatures and then the exact check on full sets.
 Components come from alternating large-star and small-star steps. Nodes of
@@ -12,9 +12,9 @@ rarest among these nodes first), and pairs across components that meet there
 early enough to be similar (a positional filter) are confirmed too. So no link between different texts is lost to the choice of
 leaders, and nodes that no partner could be similar enough to emit no pair.
 
-At a similarity of 0.85 a pair shares no band with probability 9e-6
-(24 bands of 6), and its signature falls below ``SIGNATURE_FLOOR`` with
-probability under 1e-6.
+At a similarity of 0.85 a pair shares no band with probability 1.2e-5
+(24 bands of 6), and its signature falls below the floor with probability
+2e-6; at 0.80 these are 7e-6 (30 bands of 5) and 1e-7.
 
 Defined results: null or empty texts (no words) have an empty set, are linked
 with nothing and are kept; a row without id gets a null component and is kept;
@@ -34,14 +34,23 @@ from pyspark.sql import functions as F
 from skein.llm import common
 
 WIDTH = 5
-BANDS, ROWS = 24, 6
-HASHES = BANDS * ROWS
-SIGNATURE_FLOOR = 0.70
 SEED = 20_240_601
+# From this similarity on (percent): bands, rows of a band, least share of equal minima.
+BANDINGS = {85: (24, 6, 0.70), 80: (30, 5, 0.62)}
 
-_rng = np.random.default_rng(SEED)
-_A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+
+class Banding:
+    """Hash functions, their cut into bands and the floor of signatures for a similarity."""
+
+    def __init__(self, percent: int):
+        least = max((p for p in BANDINGS if p <= percent), default=None)
+        if least is None:
+            raise ValueError(f"no banding for a similarity of {percent} percent; the lowest is {min(BANDINGS)}")
+        self.bands, self.rows, self.floor = BANDINGS[least]
+        self.hashes = self.bands * self.rows
+        rng = np.random.default_rng(SEED)
+        self.a = rng.integers(0, 1 << 63, self.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.b = rng.integers(0, 1 << 63, self.hashes, dtype=np.uint64)
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, bytes binary"
 
@@ -58,38 +67,41 @@ def _sets(batch: pa.RecordBatch, column: str, hashes: common.WordHashes) -> list
     return [shingle_set(hashes.of(t.translate(common.LOWER).split())) if t else np.empty(0, np.uint64) for t in texts]
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """Signatures (documents x HASHES) of non-empty sets."""
+def minima(sets: list[np.ndarray], banding: Banding) -> np.ndarray:
+    """Signatures (documents x hashes) of non-empty sets."""
     flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), HASHES), np.uint32)
+    out = np.empty((len(sets), banding.hashes), np.uint32)
     with np.errstate(over="ignore"):
-        for k in range(HASHES):
-            out[:, k] = np.minimum.reduceat((flat * _A[k] + _B[k]) >> np.uint64(32), starts)
+        for k in range(banding.hashes):
+            out[:, k] = np.minimum.reduceat((flat * banding.a[k] + banding.b[k]) >> np.uint64(32), starts)
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = common.WordHashes()
-    for whole in batches:
-        for batch in common.chunks(whole, "text", 400_000):
-            sets = _sets(batch, "text", hashes)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            keys: list[bytes | None] = [None] * len(sets)
-            bands: list[np.ndarray | None] = [None] * len(sets)
-            short: list[bytes | None] = [None] * len(sets)
-            if full:
-                signatures = minima([sets[i] for i in full])
-                with np.errstate(over="ignore"):
-                    cut = common.window_hashes(signatures.reshape(-1).astype(np.uint64), ROWS)[::ROWS].reshape(len(full), BANDS)
-                    cut = common.mix(cut + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                low = (signatures & np.uint32(255)).astype(np.uint8)
-                for j, i in enumerate(full):
-                    keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                    bands[i], short[i] = cut[j].view(np.int64), low[j].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "bands", "bytes"],
-            )
+def _sign(banding: Banding):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = common.WordHashes()
+        for whole in batches:
+            for batch in common.chunks(whole, "text", 400_000):
+                sets = _sets(batch, "text", hashes)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                keys: list[bytes | None] = [None] * len(sets)
+                bands: list[np.ndarray | None] = [None] * len(sets)
+                short: list[bytes | None] = [None] * len(sets)
+                if full:
+                    signatures = minima([sets[i] for i in full], banding)
+                    with np.errstate(over="ignore"):
+                        cut = common.window_hashes(signatures.reshape(-1).astype(np.uint64), banding.rows)[:: banding.rows].reshape(len(full), banding.bands)
+                        cut = common.mix(cut + np.arange(1, banding.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    low = (signatures & np.uint32(255)).astype(np.uint8)
+                    for j, i in enumerate(full):
+                        keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+                        bands[i], short[i] = cut[j].view(np.int64), low[j].tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                    ["doc_id", "n_shingles", "set_key", "bands", "bytes"],
+                )
+
+    return run
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +111,18 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch, "text", hashes)], pa.binary())], ["node", "members"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(banding: Banding):
     """Pairs whose signatures agree on enough of their bytes."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
-        good = (one == two).mean(1) >= SIGNATURE_FLOOR
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, banding.hashes) for k in (2, 3))
+            good = (one == two).mean(1) >= banding.floor
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -134,7 +150,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int)
         .join(short.withColumnsRenamed({"node": "b", "bytes": "two"}), "b")
         .select("a", "b", "one", "two")
     )
-    alike = common.cut(signed.mapInArrow(_alike, "a long, b long"), "alike")
+    alike = common.cut(signed.mapInArrow(_alike(Banding(percent)), "a long, b long"), "alike")
     involved = alike.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = texts.withColumnRenamed("doc_id", "node").join(involved, "node").select("node", "text").mapInArrow(_full_sets, "node long, members binary")
     sets = common.cut(sets, "sets")
@@ -209,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     common.extra(docs, ("doc_id", "text"))
     common.ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    signed = common.cut(texts.mapInArrow(_sign, SIGNED), "signed")
+    signed = common.cut(texts.mapInArrow(_sign(Banding(percent)), SIGNED), "signed")
     # One node for each distinct set: its smallest id.
     identified = signed.where("doc_id is not null and set_key is not null")
     named = identified.groupBy("set_key").agg(F.min("doc_id").alias("node"))

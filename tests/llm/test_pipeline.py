@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from skein.llm import common
+from skein.llm.neardup import near_duplicates
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +47,22 @@ def test_stages_keep_their_contract(spark):
             assert all(abs(taken[s] - wanted[s]) <= 1 for s in wanted)
 
 
+def test_near_duplicates_of_four_fifths_go(spark):
+    """Pairs between 0.80 and 0.85 are one class in the stage, and only there."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(0, 400, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        # 100 windows; two changed words far apart change 10 of them: 90 / 110 = 0.818.
+        other = [f"x{k}" if i in (30, 60) else w for i, w in enumerate(words)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute.near_classes(rows, 80)
+    assert set(wanted.values()) == set(range(0, 400, 2))
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == set(wanted.values())
+    assert all(r["kept"] for r in near_duplicates(docs, 85).collect())
+
+
 def test_run_equals_its_stages(spark):
     one = corpus_pipeline.run(spark, SF)
     docs = common.table(spark, SF, "documents")
