@@ -2,9 +2,11 @@
 
 Labelled credentials of each format (drawn by rule from the published shapes)
 form a prefix tree whose statistically compatible states are merged (Hoeffding
-test, red-blue order) into a probabilistic automaton. Every candidate token of
-a text is scored by each automaton; its mean log-likelihood per character,
-against a background of ordinary tokens, decides. Base patterns are found
+test, red-blue order) into a probabilistic automaton. In every run of token
+characters all automata are scored from every format's prefix, then from the
+start and after each separator of what is left. The
+longest stretch whose mean log-likelihood per character beats two backgrounds
+of ordinary tokens (small letters, capitals) is a span. Base patterns are found
 first and always stay; automata add spans that overlap none of them.
 
 Offsets count code points; ends are exclusive. A base span is the whole match
@@ -39,7 +41,9 @@ MASK = "[SECRET]"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+SHORTEST = 20  # characters of a span found by an automaton
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+_SEPARATED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]")
 _STEMS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex")
 
@@ -172,23 +176,77 @@ class Automaton:
             state, total = move[0], total + move[1]
         return total + self.end[state]
 
+    def longest(self, run: str, start: int, plain: list[dict[str, float]], ahead: dict[tuple[int, int], tuple[float, ...]]) -> tuple[int, float] | None:
+        """End and gain of the longest stretch from ``start`` that beats all backgrounds.
+
+        ``ahead`` holds the best gains still to come from a place and state of
+        this run, so a walk ends as soon as nothing further can be accepted.
+        """
+        place, state, chain = start, 0, []
+        while (place, state) not in ahead:
+            chain.append((place, state))
+            move = self.moves[state].get(run[place]) if place < len(run) else None
+            if move is None:
+                break
+            place, state = place + 1, move[0]
+        for place, state in reversed(chain):
+            move = self.moves[state].get(run[place]) if place < len(run) else None
+            stop = self.end[state]
+            later = ahead[place + 1, move[0]] if move else ()
+            ahead[place, state] = tuple(max(stop, move[1] - p[run[place]] - MARGIN + x) for p, x in zip(plain, later, strict=True)) if move else (stop,) * len(plain)
+        place, state, found, gains = start, 0, None, [0.0] * len(plain)
+        while all(g + x >= 0 for g, x in zip(gains, ahead[place, state], strict=True)):
+            least = min(gains) + self.end[state]
+            if place - start >= SHORTEST and least >= 0 and run[place - 1] not in ".=":
+                found = place, least
+            move = self.moves[state].get(run[place]) if place < len(run) else None
+            if move is None:
+                break
+            gains = [g + move[1] - p[run[place]] - MARGIN for g, p in zip(gains, plain, strict=True)]
+            place, state = place + 1, move[0]
+        return found
+
 
 class Grammar:
     """An automaton for each format, and a background of plain characters."""
 
     def __init__(self, formats: tuple[str, ...] = tuple(FORMATS)):
         self.automata = {kind: Automaton(labelled(kind)) for kind in formats}
-        # Letters of running text outweigh the rest, so a format must explain a token's capitals, digits and prefix.
-        frequent = dict.fromkeys(string.ascii_lowercase, 0.75 / 26) | dict.fromkeys(string.ascii_uppercase, 0.08 / 26) | dict.fromkeys(string.digits, 0.1 / 10) | dict.fromkeys("+/_.=-", 0.07 / 6)
-        self.plain = {c: math.log(p) for c, p in frequent.items()}
+        # Letters of running text outweigh the rest, so a format must explain a token's capitals, digits and prefix;
+        # in names of constants capitals do.
+        small, large = string.ascii_lowercase, string.ascii_uppercase
+        rest = dict.fromkeys(string.digits, 0.1 / 10) | dict.fromkeys("+/_.=-", 0.07 / 6)
+        weights = [dict.fromkeys(a, 0.75 / 26) | dict.fromkeys(b, 0.08 / 26) | rest for a, b in ((small, large), (large, small))]
+        self.plain = [{c: math.log(p) for c, p in w.items()} for w in weights]
+        self.prefixed = re.compile("|".join(f"(?={re.escape(p)})" for kind in formats for p in FORMATS[kind][0]) or r"(?!)")
 
     def best(self, token: str) -> tuple[str, float] | None:
-        """The likeliest format of a candidate and its margin a character, if it beats the background enough."""
-        background = sum(map(self.plain.__getitem__, token))
+        """The likeliest format of a candidate and its margin a character, if it beats the backgrounds enough."""
+        background = max(sum(map(p.__getitem__, token)) for p in self.plain)
         found = max(((a.likelihood(token), kind) for kind, a in self.automata.items()), default=(-math.inf, ""))
         gain = (found[0] - background) / len(token)
         return (found[1], gain) if gain >= MARGIN else None
 
+    def stretches(self, run: str) -> list[tuple[int, int, str]]:
+        """(start, end, format) of the accepted stretches of a run, none over another: those at a prefix first."""
+        found: list[tuple[int, int, str]] = []
+
+        def walk(low: int, high: int, starts: re.Pattern) -> None:
+            part, done, ahead = run[low:high], 0, {kind: {} for kind in self.automata}
+            for at in (m.start() for m in starts.finditer(part)):
+                if at < done:
+                    continue  # inside what was accepted before
+                hits = [(*hit, kind) for kind, a in self.automata.items() if (hit := a.longest(part, at, self.plain, ahead[kind]))]
+                if hits:
+                    done, _, kind = max(hits)
+                    found.append((low + at, low + done, kind))
+
+        walk(0, len(run), self.prefixed)
+        for low, high in zip([0, *(e for _, e, _ in found)], [*(s for s, _, _ in found), len(run)], strict=True):
+            if high - low >= SHORTEST:
+                walk(low, high, _SEPARATED)
+        return sorted(found)
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place in KINDS, end) of the base patterns."""
@@ -210,14 +268,12 @@ def spans_of(text: str | None, grammar: Grammar) -> tuple[list[tuple[int, int, i
     names = [*KINDS, *grammar.automata]
     found = list(base)
     for m in _CANDIDATE.finditer(text):
-        token = m[0]
-        if token.isalpha() or not any(c.isdigit() for c in token):
-            continue
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        if (hit := grammar.best(token.rstrip(".="))) is not None:
-            found.append((a, names.index(hit[0]), a + len(token.rstrip(".="))))
+        # What the base patterns leave of the run.
+        low = m.start()
+        for s, e in [*((s, e) for s, _, e in base if s < m.end() and m.start() < e), (m.end(), m.end())]:
+            if s - low >= SHORTEST:
+                found += [(low + a, names.index(kind), low + b) for a, b, kind in grammar.stretches(text[low:s])]
+            low = max(low, e)
     return base, [(s, e, names[k]) for s, k, e in sorted(found)]
 
 

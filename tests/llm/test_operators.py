@@ -243,6 +243,25 @@ def test_grammars_accept_their_format_only():
     assert not base and [k for _, _, k in every] == ["github"]
 
 
+def test_credentials_inside_runs_are_found():
+    grammar = secrets.Grammar()
+    rng = random.Random(78)
+    frames = ["STRIPE_KEY={}", "GH_PAT={}", "https://host/a/{}", "x={}", "see {}.", "u:p/{}/tail", "a={}=b"]
+    for kind, (prefixes, _, lengths) in secrets.FORMATS.items():
+        # Letters only too: digits are no condition.
+        for alphabet in (secrets._ALNUM, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+            tokens = [rng.choice(prefixes) + "".join(rng.choices(alphabet, k=lengths[0])) for _ in range(40)]
+            tokens = [t for t in tokens if grammar.best(t)]
+            assert len(tokens) >= 30, kind
+            for token in tokens:
+                for frame in frames:
+                    text = frame.format(token)
+                    spans = secrets.spans_of(text, grammar)[1]
+                    assert any(text[s:e] == token for s, e, _ in spans), (kind, text)
+    clean = ["MAX_CONNECTIONS_PER_HOST_LIMIT", "https://www.example.org/a/b/the-quick-brown-fox.html", "AbstractSingletonProxyFactoryBean", "my_npm_config_registry_for_all_users", "a/b/c/2024-01-01/report.final.version"]
+    assert not any(secrets.spans_of(t, grammar)[1] for t in clean)
+
+
 def test_mixing_meets_its_targets(spark, docs, rows):
     found = mixing.mix_sources(docs).collect()
     again = mixing.mix_sources(docs.repartition(5)).collect()
