@@ -5,10 +5,12 @@ each are its tokens. A token's occurrence vector over the pages of one host is
 kept as a pair of random sums, so tokens of equal vectors are one equivalence
 class without bringing a host's pages together. The class that occurs exactly
 once on every page is the host's template; its containers nest by their paths.
-A container whose own text is the same on most pages belongs to the template
-too (menus, notices, footers); those with varying text are slots. The slot that
-holds the article (by its element, else by most varying text) is extracted.
-Hosts with one page take the template of all pages.
+Text that a container repeats on most of its pages belongs to the template too
+(menus, notices, footers) and goes where it stands, not what lies in containers
+inside; all containers with varying text are slots, and all slots are extracted.
+An article or main element is judged as one container; where one varies, it is
+the slot of its pages. Pages of equal text count once. Hosts with one page take
+the template of all pages.
 
 Elements that never hold an article (navigation, forms, scripts, adverts, reader
 comments, by element or by class) are left out everywhere.
@@ -34,7 +36,7 @@ from skein.llm import common
 ANY_HOST = "*"
 STATIC_SHARE = 0.6  # a container's text is the template's from this share of its pages on
 LINKED_SHARE = 0.7  # a slot of links alone is a menu
-SIDE_SLOT = 0.25  # a second slot counts from this part of the largest one on
+LEAST_ALIKE = 3  # pages of different text that must share a container's text before it is the template's
 BROADCAST_ROWS = 50_000
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
@@ -74,6 +76,22 @@ class Page:
         self.linked = self.links = 0
         self._read(source or "")
 
+    def judged(self) -> dict[int, tuple[int, list[str], int]]:
+        """Of each container with text: the hash of it with that text, its texts, characters in links.
+
+        A block belongs to the outermost article around it, else to the nearest container.
+        """
+        own: dict[int, list] = {}
+        for block in self.blocks:
+            if block.paths:
+                slot = own.setdefault(self.holder(block), [[], 0])
+                slot[0].append(block.text)
+                slot[1] += block.linked
+        return {path: (xxhash.xxh3_64_intdigest(f"{path}\n" + "\n".join(texts)) >> 1, texts, linked) for path, (texts, linked) in own.items()}
+
+    def holder(self, block: Block) -> int:
+        return next((p for p in block.paths if p in self.articles), block.paths[-1])
+
     def _flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
@@ -153,84 +171,79 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host, container and text of the container: sums over pages, combined before the shuffle."""
-    columns = ["host", "path", "own", "pages", "once", "chars", "linked", "article"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+_TOKENS = pa.list_(pa.struct([(c, pa.int64()) for c in ("path", "own", "once", "chars", "below", "linked", "article")]))
 
-    def flush() -> pa.RecordBatch:
-        rows = [(*k, *v) for k, v in sums.items()]
-        sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], columns)
 
-    sums: dict[tuple[str, int, int], list[int]] = {}
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page its host, a digest of its text and its containers with their text."""
     for batch in batches:
+        hosts, digests, tokens = [], [], []
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page, host = Page(source), host_of(url)
-            own: dict[int, list] = {}
+            page = Page(source)
+            own = page.judged()
+            below: dict[int, int] = {}
             for block in page.blocks:
-                if block.paths:
-                    slot = own.setdefault(block.paths[-1], [[], 0])
-                    slot[0].append(block.text)
-                    slot[1] += block.linked
-            for path, times in page.seen.items():
-                texts, linked = own.get(path, ([], 0))
-                joined = "\n".join(texts)
-                for name in (host, ANY_HOST):
-                    # Over all hosts only the structure counts; texts of one host say nothing there.
-                    key = (name, path, xxhash.xxh3_64_intdigest(joined) >> 1 if name == host else 0)
-                    old = sums.setdefault(key, [0, 0, 0, 0, 0])
-                    for k, x in enumerate((1, int(times == 1), len(joined), linked, int(path in page.articles))):
-                        old[k] += x
-            for name in (host, ANY_HOST):  # the page itself, as path 0: its count is the vector of ones
-                sums.setdefault((name, 0, 0), [0, 0, 0, 0, 0])[0] += 1
-            if len(sums) > 100_000:
-                yield flush()
-    yield flush()
+                for path in set(block.paths):
+                    below[path] = below.get(path, 0) + len(block.text)
+            hosts.append(host_of(url))
+            shape = sorted(page.seen.items())
+            digests.append(xxhash.xxh3_128_digest(repr((shape, [(b.paths, b.text) for b in page.blocks]))))
+            rows = [{"path": 0, "own": 0, "once": 0, "chars": 0, "below": 0, "linked": 0, "article": 0}]  # the page itself: its count is the vector of ones
+            for path, times in shape:
+                key, texts, linked = own.get(path, (0, [], 0))
+                chars = sum(map(len, texts))
+                rows.append({"path": path, "own": key, "once": int(times == 1), "chars": chars, "below": below.get(path, 0), "linked": linked, "article": int(path in page.articles)})
+            tokens.append(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(tokens, _TOKENS)], ["host", "digest", "tokens"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row per host: its pages, the containers of its template (fixed) and its slots (open)."""
-    sums = pages.select("url", "html").mapInArrow(_tokens, "host string, path long, own long, pages long, once long, chars long, linked long, article long")
-    texts = sums.groupBy("host", "path", "own").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "chars", "linked", "article")])
-    paths = texts.groupBy("host", "path").agg(
-        F.sum("pages").alias("on"), F.sum("once").alias("once"), F.max("pages").alias("alike"), F.sum("chars").alias("chars"),
-        F.sum("linked").alias("linked"), F.sum("article").alias("article"), F.max(F.when(F.col("chars") > 0, F.col("pages"))).alias("alike_text"),
+    """One row per host: its pages, what is fixed (containers of links, texts in their container), its slots and articles."""
+    kind = "array<struct<path:long,own:long,once:long,chars:long,below:long,linked:long,article:long>>"
+    read = pages.select("url", "html").mapInArrow(_tokens, f"host string, digest binary, tokens {kind}")
+    # Copies of a page say nothing about its template.
+    single = read.dropDuplicates(["host", "digest"]).select("host", F.explode("tokens").alias("t")).select("host", "t.*")
+    sums = lambda: [F.count(F.lit(1)).alias("pages"), *[F.sum(c).alias(c) for c in ("once", "chars", "below", "linked", "article")]]
+    texts = single.groupBy("host", "path", "own").agg(*sums())
+    # Over all hosts only the structure counts; texts of one host say nothing there.
+    total = [F.sum(c).alias(c) for c in ("pages", "once", "chars", "below", "linked", "article")]
+    everywhere = texts.groupBy("path").agg(*total).select(F.lit(ANY_HOST).alias("host"), "path", F.lit(0).cast("long").alias("own"), "pages", "once", "chars", "below", "linked", "article")
+    paths = texts.unionByName(everywhere).groupBy("host", "path").agg(
+        F.sum("pages").alias("on"), *total[1:], F.max(F.when(F.col("own") != 0, F.struct("pages", "own"))).alias("alike")
     )
     ones = paths.where("path = 0").select("host", F.col("on").alias("n"))
     # Occurrence vector of ones: on every page of the host, once on each. Its class is the template.
     rooted = paths.where("path <> 0").join(ones, "host").withColumn("template", (F.col("on") == F.col("n")) & (F.col("once") == F.col("n")))
-    static = (F.col("host") != ANY_HOST) & (F.col("n") >= 3) & (F.col("alike_text") >= STATIC_SHARE * F.col("on"))
-    linked = (F.col("chars") > 0) & (F.col("linked") >= LINKED_SHARE * F.col("chars"))
-    fixed = (F.coalesce(static, F.lit(False)) | linked) & (F.col("article") == 0)
-    kind = F.when(fixed, "fixed").when(F.col("template"), F.when(F.col("article") > 0, "article").otherwise("open")).otherwise("loose")
-    marked = rooted.withColumn("kind", kind)
-    per = marked.groupBy("host").agg(
+    static = F.coalesce((F.col("alike.pages") >= LEAST_ALIKE) & (F.col("alike.pages") >= STATIC_SHARE * F.col("on")), F.lit(False))
+    linked = (F.col("chars") > 0) & (F.col("linked") >= LINKED_SHARE * F.col("chars")) & (F.col("article") == 0)
+    fixed = F.when(linked, F.col("path")).when(static, F.col("alike.own"))
+    # Where all that a container and those inside it hold is one text, or links, it is no slot.
+    varies = (F.col("below") > 0) & ~linked & ~(static & (F.col("alike.pages") == F.col("on")) & (F.col("below") == F.col("chars")))
+    return rooted.groupBy("host").agg(
         F.max("n").alias("n"),
-        F.collect_list(F.when(F.col("kind") == "fixed", F.col("path"))).alias("fixed"),
-        F.collect_list(F.when(F.col("kind") == "article", F.col("path"))).alias("articles"),
-        F.max(F.when(F.col("kind") == "open", F.col("chars"))).alias("largest"),
-        F.collect_list(F.when(F.col("kind") == "open", F.struct("path", "chars"))).alias("slots"),
-    )
-    wide = F.transform(F.filter("slots", lambda s: (s["chars"] > 0) & (s["chars"] >= SIDE_SLOT * F.col("largest"))), lambda s: s["path"])
-    return per.select("host", "n", "fixed", F.when(F.size("articles") > 0, F.col("articles")).otherwise(wide).alias("slots"))
+        F.collect_list(fixed).alias("fixed"),
+        F.collect_list(F.when(varies & F.col("template"), F.col("path"))).alias("slots"),
+        F.collect_list(F.when(varies & (F.col("article") > 0), F.col("path"))).alias("articles"),
+    )
 
 
-def main_text(source: str | None, fixed: frozenset[int], slots: frozenset[int]) -> str:
-    """Blocks of the page that stand in a slot, in order, joined by one space."""
+def main_text(source: str | None, fixed: frozenset[int], slots: frozenset[int], articles: frozenset[int] = frozenset()) -> str:
+    """Blocks of the page that stand in a slot and are not the template's, in order, joined by one space."""
     page = Page(source)
     if page.articles:  # the article's own element, where the page has one: all of it, repeated lists too
         return " ".join(b.text for b in page.blocks if b.inside)
-    free = [b for b in page.blocks if not any(p in fixed for p in b.paths)]
-    if any(p in slots for b in free for p in b.paths):
-        free = [b for b in free if any(p in slots for p in b.paths)]
+    gone = {path for path, (key, _, _) in page.judged().items() if key in fixed or path in fixed}
+    free = [b for b in page.blocks if not b.paths or page.holder(b) not in gone]
+    for chosen in (articles, slots):  # an article that varies is the slot of its page
+        if any(p in chosen for b in free for p in b.paths):
+            return " ".join(b.text for b in free if any(p in chosen for p in b.paths))
     return " ".join(b.text for b in free)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fixed, slots = (batch.column(k).to_pylist() for k in (3, 4))
-        texts = [main_text(s, frozenset(f or ()), frozenset(o or ())) for s, f, o in zip(batch.column(2).to_pylist(), fixed, slots, strict=True)]
+        chosen = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)
+        texts = [main_text(source, *(frozenset(x or ()) for x in sets)) for source, *sets in chosen]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -240,14 +253,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     common.ship(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
     found = common.cut(templates(pages), "templates")
-    everywhere = found.where(F.col("host") == ANY_HOST).select(F.col("fixed").alias("all_fixed"), F.col("slots").alias("all_slots"))
-    own = found.where((F.col("host") != ANY_HOST) & (F.col("n") > 1)).select("host", "fixed", "slots")
-    weight = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("fixed") + F.size("slots")), F.lit(0))).first()
+    parts = ("fixed", "slots", "articles")
+    everywhere = found.where(F.col("host") == ANY_HOST).select(*[F.col(c).alias(f"all_{c}") for c in parts])
+    own = found.where((F.col("host") != ANY_HOST) & (F.col("n") > 1)).select("host", *parts)
+    weight = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.size(c) for c in parts)), F.lit(0))).first()
     small = max(weight) <= BROADCAST_ROWS
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)", 1), F.lit("")))
     placed = pages.withColumn("host", host).join(F.broadcast(own) if small else own, "host", "left")
     placed = placed.join(F.broadcast(everywhere), F.lit(True), "left")  # one row
-    chosen = placed.select("page_id", "url", "html", F.coalesce("fixed", "all_fixed").alias("fixed"), F.coalesce("slots", "all_slots").alias("slots"))
+    chosen = placed.select("page_id", "url", "html", *[F.coalesce(c, f"all_{c}").alias(c) for c in parts])
     return chosen.mapInArrow(_extract, "page_id long, url string, text string")
 
 
