@@ -230,8 +230,6 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(source: str | None, fixed: frozenset[int], slots: frozenset[int], articles: frozenset[int] = frozenset()) -> str:
     """Blocks of the page that stand in a slot and are not the template's, in order, joined by one space."""
     page = Page(source)
-    if page.articles:  # the article's own element, where the page has one: all of it, repeated lists too
-        return " ".join(b.text for b in page.blocks if b.inside)
     gone = {path for path, (key, _, _) in page.judged().items() if key in fixed or path in fixed}
     free = [b for b in page.blocks if not b.paths or page.holder(b) not in gone]
     for chosen in (articles, slots):  # an article that varies is the slot of its page

@@ -177,11 +177,14 @@ def test_page_templates_keep_whole_articles(spark):
     named = [(k, f"http://named/{k}", page(f"Site name<div class=story><p>Story {k}</div>")) for k in range(4)]
     copies = [(10 + k, f"http://copies/{k}", page(f"<div class=story><p>Story {min(k, 4) // 4}</div>")) for k in range(5)]
     parts = [(20 + k, f"http://parts/{k}", page(f"<div class=content><section>One {k}</section><section>Two {k}</section></div><div class=long>{'Long ' * 90}{k}</div>")) for k in range(4)]
-    table = spark.createDataFrame(named + copies + parts, "page_id long, url string, html string")
+    # An article that says the same on most pages is the template's; what varies is the text.
+    walls = [(30 + k, f"http://walls/{k}", page("<article><p>Please log in</article>", f"<div class=story>Story {k}</div>")) for k in range(4)]
+    table = spark.createDataFrame(named + copies + parts + walls, "page_id long, url string, html string")
     text = {r["page_id"]: r["text"] for r in pages.extract_pages(table).collect()}
     assert [text[k] for k in range(4)] == [f"Story {k}" for k in range(4)]
     assert [text[10 + k] for k in range(5)] == ["Story 0"] * 4 + ["Story 1"]
     assert all(text[20 + k] == f"One {k} Two {k} {'Long ' * 90}{k}" for k in range(4))
+    assert [text[30 + k] for k in range(4)] == [f"Story {k}" for k in range(4)]
 
 
 def test_language_forward_sums_all_segmentations():
