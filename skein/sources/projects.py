@@ -6,6 +6,7 @@ of one project); what they declare becomes tables.
 
 from __future__ import annotations
 
+import itertools
 import os
 from pathlib import Path
 
@@ -90,7 +91,7 @@ def dependency_rows(parent: str, text: str) -> list[tuple]:
     return rows
 
 
-def walk_dependencies(edges: DataFrame, root: str, parent: str = "parent", lib: str = "lib", order: str = "ord", depth_limit: int = 64) -> DataFrame:
+def walk_dependencies(edges: DataFrame, root: str, parent: str = "parent", lib: str = "lib", order: str = "ord") -> DataFrame:
     """(lib, depth, place): all libraries reached, each as first met in breadth-first order.
 
     A level is one join; libraries met before are left out at once, so cycles end.
@@ -99,7 +100,7 @@ def walk_dependencies(edges: DataFrame, root: str, parent: str = "parent", lib:
     steps = edges.select(F.col(parent).alias("_from"), F.col(lib).alias("_to"), F.col(order).alias("_ord"))
     level = steps.where(F.col("_from") == root).select(F.col("_to").alias("lib"), F.lit(1).alias("depth"), F.array(F.col("_ord").cast("long")).alias("place"))
     found = level = first_of(level, ["lib"], [F.col("place")])
-    for depth in range(2, depth_limit + 1):
+    for depth in itertools.count(2):
         after = level.withColumnRenamed("lib", "_from").join(steps, "_from").select(F.col("_to").alias("lib"), F.lit(depth).alias("depth"), F.concat("place", F.array(F.col("_ord").cast("long"))).alias("place"))
         level = first_of(after.join(found.select("lib"), "lib", "left_anti"), ["lib"], [F.col("place")]).checkpoint()
         if level.isEmpty():

@@ -79,3 +79,8 @@ def test_projects_on_disk(tmp_path):
 def test_walk_ends_on_cycles(spark):
     edges = spark.createDataFrame([("r", 0, "a"), ("r", 1, "b"), ("a", 0, "b"), ("b", 0, "a"), ("b", 1, "c")], "parent string, ord int, lib string")
     assert {(r["lib"], r["depth"]) for r in projects.walk_dependencies(edges, "r").collect()} == {("a", 1), ("b", 1), ("c", 2)}
+
+
+def test_walk_follows_long_chains(spark):
+    edges = spark.createDataFrame([(str(k), 0, str(k + 1)) for k in range(70)], "parent string, ord int, lib string")
+    assert {(r["lib"], r["depth"]) for r in projects.walk_dependencies(edges, "0").collect()} == {(str(k), k) for k in range(1, 71)}
