@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import os
 import tempfile
@@ -28,6 +29,12 @@ BATCHES = (
 
 _shipped: set[str] = set()
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library: freed memory stays with the worker
+    _libc = None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Only Spark's reader opens the path, so any store works."""
@@ -123,6 +130,15 @@ def as_bytes(array: pa.Array) -> list[bytes | None]:
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def tidy(*caches: dict) -> None:
+    """At the end of a partition: a worker that waits for its next task holds no memory of this one."""
+    for cache in caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 

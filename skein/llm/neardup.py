@@ -7,10 +7,12 @@ its members to its smallest node and to one drawn by hash, never all pairs. Cand
 pass a check of their signatures and then the exact check on full sets.
 Components come from alternating large-star and small-star steps. Nodes of
 buckets that still hold several components get a second, exact look: each
-files its rarest shingles, as many as any partner must hit (a prefix filter,
-rarest among these nodes first), and pairs across components that meet there
-early enough to be similar (a positional filter) are confirmed too. So no link between different texts is lost to the choice of
-leaders, and nodes that no partner could be similar enough to emit no pair.
+files its rarest shingles, as many as a partner in another component must hit
+(a prefix filter; shingles of one component alone come first and are hit by
+none, then the rarest), and pairs that meet there early enough to be similar
+(a positional filter) are confirmed too. Components meet before their nodes
+do, so members of one class never pair up here. No link between different
+texts is lost to the choice of leaders.
 
 At a similarity of 0.85 a pair shares no band with probability 1.2e-5
 (24 bands of 6), and its signature falls below the floor with probability
@@ -28,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import common
 
 WIDTH = 5
 SEED = 20_240_601
+OP2_PERCENT = 85  # the similarity of op2's contract; the operator's own default is 80
 # From this similarity on (percent): bands, rows of a band, least share of equal minima.
 BANDINGS = {85: (24, 6, 0.70), 80: (30, 5, 0.62)}
 
@@ -100,6 +103,7 @@ def _sign(banding: Banding):
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
                     ["doc_id", "n_shingles", "set_key", "bands", "bytes"],
                 )
+        common.tidy(hashes)
 
     return run
 
@@ -109,6 +113,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in common.chunks(whole, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch, "text", hashes)], pa.binary())], ["node", "members"])
+    common.tidy(hashes)
 
 
 def _alike(banding: Banding):
@@ -166,33 +171,49 @@ def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        members = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
-        if members:
-            sizes = np.fromiter(map(len, members), np.int64, len(members))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(members))], ["node", "n", "token"])
+    """(node, component, set size) and a text to one row for each shingle of its set."""
+    hashes = common.WordHashes()
+    for whole in batches:
+        for batch in common.chunks(whole, "text", 400_000):
+            sets = _sets(batch, "text", hashes)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            spread = [pa.array(np.repeat(np.asarray(batch.column(k)), sizes)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*spread, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "component", "n", "token"])
+    common.tidy(hashes)
+
+
+def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """Of each node its rarest shingles, as many as a partner in another component must hit.
+
+    A partner of a set of n holds ``percent`` of it, so it hits each choice of
+    more than the remaining shingles. Shingles that one component alone holds
+    come first in that order: no partner elsewhere has them. ``rest`` counts
+    the shingles from this one on.
+    """
+    held = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("times")).where("low < high")
+    shared = common.cut(tokens.join(held.select("token", "times"), "token"), "shared")
+    reach = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.col("common"))
+    able = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("common")).withColumn("reach", reach).where("reach > 0").select("node", "n", "common", "reach")
+    rarest = Window.partitionBy("node", "n").orderBy("times", "token")
+    ranked = shared.join(able, ["node", "n"]).withColumn("at", F.row_number().over(rarest) - 1).where("at < reach")
+    out = common.cut(ranked.select("token", "component", "node", "n", (F.col("common") - F.col("at")).alias("rest")), "prefix")
+    common.drop(shared)
+    return out
 
 
-def _prefix_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components of ``nodes`` that share one of their rarest shingles.
+def across(prefix: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b) for each prefix shingle that two nodes of different components share.
 
-    A partner of a set of n must hold ``percent`` of it, so it hits each choice
-    of more than the remaining shingles. Shingles of one node alone come first
-    in that order and cannot be hit.
+    Components meet first and only those that differ bring their nodes, so
+    members of one class never meet each other here.
     """
-    sets = texts.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_full_sets, "node long, members binary")
-    tokens = common.cut(sets.dropDuplicates(["node"]).mapInArrow(_tokens, "node long, n long, token long"), "tokens")
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    ranked = tokens.join(held, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")
-    reach = (F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone).cast("int")
-    prefix = ranked.where(reach > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), reach)).alias("at", "x"))
-    prefix = prefix.select("node", "n", F.col("x.token").alias("token"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
-    prefix = common.cut(prefix.join(nodes, "node"), "prefix")
-    side = lambda k: prefix.select("token", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"), F.col("component").alias(f"c{k}"))
+    owner = prefix.select("token", "component").distinct()
+    meet = owner.withColumnRenamed("component", "ca").join(owner.withColumnRenamed("component", "cb"), "token").where("ca < cb")
+    side = lambda k: prefix.select("token", F.col("component").alias(f"c{k}"), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"))
     # Seen from their first common shingle, at most ``rest`` shingles of either set are left to share.
     enough = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
-    return side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
+    met = meet.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,7 +241,7 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     common.extra(docs, ("doc_id", "text"))
     common.ship(docs.sparkSession)
@@ -239,17 +260,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     stars = stars.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
     pairs = common.cut(stars.where("a <> b").distinct(), "pairs")
     links = confirm(pairs, nodes, texts, percent)
-    stage = components(links)
+    final = components(links)
 
-    placed = met.select("bucket", "one.node").join(stage, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    placed = met.select("bucket", "one.node").join(final, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     placed = common.cut(placed, "placed")
+    common.drop(met)
     several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = common.cut(placed.join(several, "bucket", "left_semi").select("node", "component").distinct(), "open")
-    across = common.cut(_prefix_pairs(open_, texts, percent).join(pairs, ["a", "b"], "left_anti"), "across")
-    more = confirm(across, nodes, texts, percent)
-    final = stage
-    if more.limit(1).count():
+    open_ = placed.join(several, "bucket", "left_semi").select("node", "component").distinct()
+    held = texts.withColumnRenamed("doc_id", "node").join(open_, "node").select("node", "component", "text", F.xxhash64("text").alias("text_key"))
+    tokens = common.cut(held.dropDuplicates(["node", "text_key"]).mapInArrow(_tokens, "node long, component long, n long, token long"), "tokens")
+    common.drop(placed)
+    prefix = prefixes(tokens, percent)
+    common.drop(tokens)
+    second = common.cut(across(prefix, percent).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
+    common.drop(prefix)
+    common.drop(pairs)
+    more = confirm(second, nodes, texts, percent)
+    if not more.isEmpty():
         final = components(links.unionByName(more))
+    common.drop(second)
+    common.drop(nodes)
 
     of_set = named.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
@@ -259,7 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents"), OP2_PERCENT)
 
 
 OP2_SQL = r"""

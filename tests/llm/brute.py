@@ -18,7 +18,7 @@ def shingles(text, width=5):
     return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def near_classes(docs, percent=85):
+def near_classes(docs, percent):
     """id -> (set size, class) by comparing all pairs."""
     sets = {}
     for i, t in docs:

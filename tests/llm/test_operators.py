@@ -50,9 +50,10 @@ def docs(spark, rows):
     return docs_of(spark, rows).cache()
 
 
-def test_near_duplicates_equal_all_pairs(docs, rows):
-    found = neardup.near_duplicates(docs).collect()
-    wanted = brute.near_classes([(i, t) for i, t, _ in rows])
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_equal_all_pairs(docs, rows, percent):
+    found = neardup.near_duplicates(docs, percent).collect()
+    wanted = brute.near_classes([(i, t) for i, t, _ in rows], percent)
     assert len(found) == len(rows)
     text = dict((i, t) for i, t, _ in rows)
     for r in found:
@@ -72,8 +73,34 @@ def test_near_duplicates_in_one_large_group(spark):
         for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 5])):
             words[rng.randrange(150)] = f"y{rng.random()}"
         rows.append((k, " ".join(words), "a"))
-    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
-    assert found == brute.near_classes([(i, t) for i, t, _ in rows])
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, rows), 85).collect()}
+    assert found == brute.near_classes([(i, t) for i, t, _ in rows], 85)
+
+
+def test_members_of_one_class_do_not_pair_up(spark):
+    """A large class and a few strangers that share its rarest shingles: rows grow with the class, not its square."""
+    met = {}
+    for size in (200, 400):
+        rows = [(token, 0, node, 20, 20 - token) for node in range(size) for token in range(10)]
+        rows += [(token, 1000 + k, 1000 + k, 20, 20 - token) for k in range(4) for token in range(10)]
+        prefix = spark.createDataFrame(rows, "token long, component long, node long, n long, rest long")
+        pairs = neardup.across(prefix, 80)
+        met[size] = pairs.count()
+        assert pairs.distinct().count() == 4 * size + 6
+    assert met[400] < 2.1 * met[200]
+
+
+def test_prefixes_meet_every_similar_pair_of_different_components(spark):
+    rng = random.Random(9)
+    sets = {k: set(rng.sample(range(60), rng.randint(25, 50))) for k in range(60)}
+    for k in range(60, 90):
+        sets[k] = set(sorted(sets[k - 60])[rng.randint(0, 3) :]) | {1000 + k}
+    component = {k: k % 7 for k in sets}
+    rows = [(k, component[k], len(s), t) for k, s in sets.items() for t in s]
+    prefix = neardup.prefixes(spark.createDataFrame(rows, "node long, component long, n long, token long"), 80)
+    found = {(r["a"], r["b"]) for r in neardup.across(prefix, 80).collect()}
+    wanted = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert wanted and wanted <= found
 
 
 def test_components_of_a_long_chain(spark):

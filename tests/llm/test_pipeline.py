@@ -26,7 +26,7 @@ def test_stages_keep_their_contract(spark):
         if k == 0:
             assert all(brute.text_statistics(r["text"])[0] >= 20 for r in after.values()) and len(after) > 0.7 * len(before)
         elif k == 1:
-            classes = brute.near_classes([(i, r["text"]) for i, r in before.items()])
+            classes = brute.near_classes([(i, r["text"]) for i, r in before.items()], corpus_pipeline.NEAR_PERCENT)
             assert set(after) == set(classes.values())
         elif k == 2:
             assert set(after) == {i for i, _, hit, _ in brute.item_hits([(i, r["text"]) for i, r in before.items()], bench) if not hit}
