@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters of an identifier besides letters and digits.
-IDENT = r"\p{L}\p{N}*+!_?<>=/.'&%$#|-"
+IDENT = r"\p{L}\p{N}*+!_?<>=/.'&%#-"
 
 
 def subsequence(text: Column, query: Column) -> Column:
@@ -19,7 +19,7 @@ def subsequence(text: Column, query: Column) -> Column:
 def match_tier(name: Column, query: Column) -> Column:
     """0 exact, 1 prefix, 2 substring, 3 subsequence, null for none; an empty query matches all at 3."""
     n, q = F.lower(name), F.lower(query)
-    return F.when(q == "", 3).when(n == q, 0).when(F.startswith(n, q), 1).when(F.contains(n, q), 2).when(subsequence(n, q), 3)
+    return F.when(q == "", 3).when(n == q, 0).when(F.startswith(n, q), 1).when(F.contains(n, q), 2).when(F.contains(n, F.left(q, F.lit(1))) & subsequence(n, q), 3)
 
 
 def utf16_length(text: Column) -> Column:
@@ -123,8 +123,48 @@ def kind_label(kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[kind]
 
 
-def hover_text(fqn: Column, kind: Column, params: Column, doc: Column) -> Column:
-    """Name and kind, a line for each arity, and the documentation."""
-    head = F.format_string("**%s** `%s`", fqn, kind_label(kind))
-    arities = F.when(F.size(params) > 0, F.array_join(F.transform(params, lambda p: F.concat(F.lit("`"), p, F.lit("`"))), "\n"))
-    return F.concat_ws("\n\n", head, arities, F.when(doc != "", doc))
+def symbol_kind(kind: Column) -> Column:
+    """Number of a kind in outlines and searches."""
+    # Symbol kinds of the editor protocol.
+    numbers = {"Defn": 12, "DefnPrivate": 12, "Defmacro": 12, "Defmulti": 12, "Def": 13, "Defonce": 13, "Defprotocol": 11, "Defrecord": 5, "Deftype": 5, "Defmethod": 6, "IntegrantKey": 20}
+    return F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[kind]
+
+
+def completion_kind(kind: Column) -> Column:
+    """Number of a kind among completions; any other kind is a value."""
+    # Completion kinds of the editor protocol.
+    numbers = {"Defn": 3, "DefnPrivate": 3, "Defmacro": 3, "Def": 6, "Defonce": 6, "Defprotocol": 8, "Defrecord": 7, "Deftype": 7}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[kind], F.lit(12))
+
+
+def _card(language: str, signature: Column, label: Column, doc: Column | None) -> Column:
+    """A signature as code, what it is, and its documentation."""
+    shown = F.concat(F.lit(f"```{language}\n"), signature, F.lit("\n```\n*"), label, F.lit("*\n"))
+    return shown if doc is None else F.concat(shown, F.when(doc != "", F.concat(F.lit("\n"), doc)).otherwise(""))
+
+
+def hover_definition(kind: Column, name: Column, params: Column, ns: Column, doc: Column) -> Column:
+    words = F.concat_ws(" ", kind_label(kind), name, F.when(F.size(params) > 0, F.array_join(params, " ")))
+    return _card("clojure", F.concat(F.lit("("), words, F.lit(")")), ns, doc)
+
+
+def hover_built_in(name: Column, params: Column, label: Column, doc: Column) -> Column:
+    return _card("clojure", F.concat(F.lit("("), F.concat_ws(" ", name, F.when(params != "", params)), F.lit(")")), label, doc)
+
+
+def hover_special(usage: Column, doc: Column) -> Column:
+    return _card("clojure", usage, F.lit("special form"), doc)
+
+
+def hover_class(fqn: Column, extends: Column, implements: Column, doc: Column) -> Column:
+    above = F.when(F.size(extends) > 0, F.concat(F.lit("extends "), F.array_join(extends, ", ")))
+    with_ = F.when(F.size(implements) > 0, F.concat(F.lit("implements "), F.array_join(implements, ", ")))
+    return _card("java", F.concat_ws(" ", F.lit("class"), fqn, above, with_), F.lit("java class"), doc)
+
+
+def hover_member(fqn: Column, kind: Column, name: Column, is_static: Column, params: Column, returns: Column, doc: Column) -> Column:
+    """A method, field or constructor of a host class; ``params`` comes with its brackets."""
+    static = F.when(is_static, "static")
+    method = F.concat_ws(" ", static, F.when(returns != "", returns).otherwise("void"), F.concat(name, params))
+    field = F.concat_ws(" ", static, F.when(returns != "", returns), name)
+    return _card("java", F.when(kind == "method", method).when(kind == "field", field).otherwise(F.concat(simple_name(fqn), params)), fqn, doc)

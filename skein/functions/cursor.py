@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.reader import Lines, utf16
+from skein.functions.reader import BRACKETS, Lines, read, utf16
 
-_IDENT = re.compile(r"[\w*+!_?<>=/.'&%$#|-]*")
-_SCAN = re.compile(r"""(?P<skip>[\s,]+|;[^\n]*\n?)|(?P<string>\#?"(?:[^"\\]|\\.)*(?P<shut>"?))|(?P<char>\\.?)|(?P<open>\#[({]|[(\[{])|(?P<close>[)\]}])|(?P<discard>\#_)|(?P<hash>\#)|(?P<atom>[^\s,;"\\()\[\]{}\#]+)""", re.S)
+_IDENT = re.compile(r"[\w*+!_?<>=/.'&%#-]*")
+_CALLS = ("list", "lambda")
 
 
 def is_ident(char: str) -> bool:
@@ -34,98 +34,42 @@ def word_at(text: str, line: int, ch: int) -> tuple[str, bool]:
 
 
 def call_at(text: str) -> tuple[str, int] | None:
-    """Head of the innermost open list before the end of ``text``, and the number of the argument being typed."""
-    stack: list[list] = []  # bracket, place after it, parts begun, is the last part still being typed?
-
-    def part(open_: bool) -> None:
-        if stack:
-            top = stack[-1]
-            top[2] += not top[3]
-            top[3] = open_
-
-    for m in _SCAN.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "shut" else "string"
-        if kind == "skip":
-            if stack:
-                stack[-1][3] = False
-        elif kind == "open":
-            part(False)
-            stack.append([m[0][-1], m.end(), 0, False])
-        elif kind == "close":
-            if stack:
-                stack.pop()
-            if stack:
-                stack[-1][3] = False
-        elif kind == "string":
-            part(not m["shut"])
-        else:
-            part(True)
-    depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "("), None)
-    if depth is None:
+    """Head of the innermost list that ``text`` leaves open, and the number of the argument that its end belongs to."""
+    root = read(text)
+    call = next((f for f in reversed(root.unfinished()) if f.kind in _CALLS), None)
+    if call is None or not call.kids or call.kids[0].kind != "symbol":
         return None
-    _, begin, parts, typing = stack[depth]
-    if parts == 0 or parts == 1 and typing:
-        return None  # still at the head
-    head = _IDENT.match(text, begin + len(text[begin:]) - len(text[begin:].lstrip()))
-    if head is None or not head[0]:
-        return None
-    seen = parts - 1
-    return head[0], max(0, seen - 1) if typing or depth + 1 < len(stack) else seen
+    last = call.kids[-1]
+    # Bracketed forms and strings end with their closer; any other form goes on while nothing follows it.
+    closed = last.shut and last.kind in (*BRACKETS, "string", "regex")
+    typing = last.end == len(text) and not closed or any(f.start >= last.start for f in root.unfinished())
+    done = len(call.kids) - typing
+    return (text[call.kids[0].own : call.kids[0].end], done - 1) if done else None
 
 
 def split_params(arity: str) -> list[str]:
     """Parameters of a vector as written: patterns whole, hints with their parameter, ``&`` with the rest."""
-    inner = arity.strip()
-    inner = inner[1:-1] if inner.startswith("[") and inner.endswith("]") else arity
-    words, depth, word = [], 0, ""
-    for c in inner + " ":
-        depth += (c in "[{(") - (c in ")}]")
-        if c.isspace() and depth == 0:
-            if word:
-                words.append(word)
-            word = ""
-        else:
-            word += c
-    hinted, hints = [], []
-    for w in words:
-        if w.startswith("^"):
-            hints.append(w)
-        else:
-            hinted.append(" ".join([*hints, w]))
-            hints = []
-    if hints:
-        hinted.append(" ".join(hints))
-    out: list[str] = []
-    for w in hinted:
-        if out and out[-1] == "&":
-            out[-1] = f"& {w}"
-        else:
-            out.append(w)
-    return out
+    forms = read(arity).kids
+    params = forms[0].kids if len(forms) == 1 and forms[0].kind == "vector" else forms
+    rest = next((k for k, p in enumerate(params) if p.bare() and p.name == "&"), len(params))
+    spans = [(p.start, p.end) for p in params[:rest]]
+    if rest < len(params):
+        spans.append((params[rest].start, params[-1].end))
+    return [arity[a:b] for a, b in spans]
 
 
 def split_arities(params: str) -> list[str]:
-    """The top-level vectors of ``([] [x] [x & more])``."""
-    out, depth, start = [], 0, 0
-    for k, c in enumerate(params):
-        if c == "[":
-            start = k if depth == 0 else start
-            depth += 1
-        elif c == "]" and depth:
-            depth -= 1
-            if depth == 0:
-                out.append(params[start : k + 1])
-    return out
+    """The vectors of ``([] [x] [x & more])``."""
+    forms = read(params).kids
+    inside = forms[0].kids if len(forms) == 1 and forms[0].kind == "list" else forms
+    return [params[f.own : f.end] for f in inside if f.kind == "vector"]
 
 
 def active_arity(arities: list[str], argument: int) -> tuple[int, int]:
-    """The first arity that takes the argument (else the last), and the parameter it falls on."""
-    for k, arity in enumerate(arities):
-        params = split_params(arity)
-        if argument < len(params) or any(p.startswith("&") for p in params):
-            return k, min(argument, max(0, len(params) - 1))
-    last = max(0, len(arities) - 1)
-    return last, min(argument, max(0, len(split_params(arities[last])) - 1)) if arities else 0
+    """The arity that an argument calls for and the parameter it falls on; beyond all arities, the last of either."""
+    sizes = [(len(p), bool(p) and p[-1].startswith("&")) for p in map(split_params, arities)]
+    fits = [k for k, (size, open_) in enumerate(sizes) if open_ or size > argument] or [len(sizes) - 1]
+    return max(fits[0], 0), max(0, min(argument, sizes[fits[0]][0] - 1)) if sizes else 0
 
 
 def indent_at(text: str) -> int | None:
@@ -133,34 +77,14 @@ def indent_at(text: str) -> int | None:
 
     A list that begins with a symbol indents its body by two, all others align with their first form.
     """
-    lines = Lines(text)
-    stack: list[list] = []  # column after the bracket, list?, closer, is the first form a symbol?
-
-    def first(symbol: bool) -> None:
-        if stack and stack[-1][3] is None:
-            stack[-1][3] = symbol
-
-    for m in _SCAN.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "shut" else "string"
-        if kind == "string":
-            first(False)
-            if not m["shut"]:
-                return None
-        elif kind == "open":
-            first(False)
-            bracket = m[0][-1]
-            stack.append([lines.at(m.end())[1], bracket == "(", {"(": ")", "[": "]", "{": "}"}[bracket], None])
-        elif kind == "close":
-            if stack and stack[-1][2] == m[0]:
-                stack.pop()
-        elif kind == "atom":
-            first(not re.match(r"[:'`~@^]|[+-]?\d", m[0]))
-        elif kind != "skip":
-            first(False)
-    if not stack:
+    around = read(text).unfinished()
+    if any(f.kind in ("string", "regex") for f in around):
+        return None
+    if not around:
         return 0
-    column, is_list, _, symbol = stack[-1]
-    return column + (1 if is_list and symbol else 0)
+    form = around[-1]
+    column = Lines(text).at(form.inside)[1]
+    return column + (form.kind in _CALLS and bool(form.kids) and form.kids[0].kind == "symbol" and not form.kids[0].meta)
 
 
 def apply_edits(text: str, edits: list[tuple[int, int, int, int, str]]) -> str:

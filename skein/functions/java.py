@@ -10,7 +10,7 @@ _MEMBER = re.compile(r"((?:\b(?:public|protected|private|static|final|abstract|s
 
 
 def outline(text: str) -> dict | None:
-    """Package, name, kind, supertypes, and members (name, kind, is_static, params, returns, doc, line)."""
+    """Package, name, kind, supertypes, and members (name, kind, is_static, params, returns, doc, and the place of the name)."""
     plain = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     head = _TYPE.search(plain)
     if head is None:
@@ -30,10 +30,10 @@ def outline(text: str) -> dict | None:
         modifiers, returns, name, params, end = m.groups()
         kind = "constructor" if params and not returns and name == head[2] else "method" if params and returns else "field" if returns and not params else None
         if kind and returns not in ("return", "new", "throw") and name not in ("class", "interface", "enum"):
-            members.append({"name": name, "kind": kind, "is_static": "static" in modifiers.split(), "params": " ".join((params or "").split()), "returns": (returns or "").strip(), "doc": _doc_before(text, m.start()), "line": text.count("\n", 0, m.start())})
+            members.append({"name": name, "kind": kind, "is_static": "static" in modifiers.split(), "params": " ".join((params or "").split()), "returns": (returns or "").strip(), "doc": _doc_before(text, m.start()), "at": m.start(3)})
         at = m.end() - (end == "{")
     name = f"{package[1]}.{head[2]}" if package else head[2]
-    return {"fqn": name, "kind": head[1], "extends": supers.get("extends", []), "implements": supers.get("implements", []), "members": members, "doc": _doc_before(text, head.start()), "line": text.count("\n", 0, head.start())}
+    return {"fqn": name, "kind": head[1], "extends": supers.get("extends", []), "implements": supers.get("implements", []), "members": members, "doc": _doc_before(text, head.start()), "name": head[2], "at": head.start(2)}
 
 
 def _doc_before(text: str, at: int) -> str | None:

@@ -30,15 +30,17 @@ _TOKEN = re.compile(
     re.X | re.S,
 )
 _NUMBER = re.compile(r"[+-]?\d")
+_CLOSED = re.compile(r'#?"(?:[^"\\]|\\.)*"', re.S)
+BRACKETS = frozenset(["list", "vector", "map", "lambda", "set", "branches", "splice", "nsmap"])
 _CLOSER = {"(": ")", "[": "]", "{": "}", "#(": ")", "#{": "}", "#?(": ")", "#?@(": ")"}
 _BRACKET_KIND = {"(": "list", "[": "vector", "{": "map", "#(": "lambda", "#{": "set", "#?(": "branches", "#?@(": "splice"}
 _PREFIX_KIND = {"#_": "discard", "#'": "var", "#^": "meta", "#=": "eval", "~@": "unsplice", "'": "quote", "`": "template", "~": "unquote", "@": "deref", "^": "meta"}
 
 
 class Form:
-    """One form: its kind, its span (metadata included), its own span, its parts."""
+    """One form: its kind, its span (metadata included), its own span, its parts, and whether the text closes it."""
 
-    __slots__ = ("kind", "start", "end", "own", "kids", "gaps", "meta", "ns", "name", "ns_start", "name_start", "auto", "tag")
+    __slots__ = ("kind", "start", "end", "own", "kids", "gaps", "meta", "ns", "name", "ns_start", "name_start", "auto", "tag", "inside", "shut")
 
     def __init__(self, kind: str, start: int, end: int = -1):
         self.kind, self.start, self.end, self.own = kind, start, end, start
@@ -47,8 +49,8 @@ class Form:
         self.meta: list[Form] = []
         self.ns: str | None = None
         self.name = self.tag = ""
-        self.ns_start = self.name_start = start
-        self.auto = False
+        self.ns_start = self.name_start = self.inside = start  # inside: the place after an opening bracket
+        self.auto, self.shut = False, True
 
     def walk(self, gaps: bool = False) -> Iterator[Form]:
         """The form and all below it, in order of the text."""
@@ -64,6 +66,17 @@ class Form:
     def bare(self) -> bool:
         return self.kind == "symbol" and self.ns is None
 
+    def unfinished(self) -> list[Form]:
+        """The forms around the end of the text that it does not close, from the outermost in."""
+        out, form = [], self
+        while form.kids:
+            form = form.kids[-1]
+            if not form.shut:
+                out.append(form)
+            elif form.kind in BRACKETS:
+                break
+        return out
+
 
 class _Frame:
     __slots__ = ("form", "closer", "needs")
@@ -104,6 +117,7 @@ def read(text: str) -> Form:
         if kind == "open":
             word = m[0]
             form = Form(_BRACKET_KIND.get(word, "nsmap"), start)
+            form.inside = end
             if form.kind == "nsmap":
                 form.auto = word.startswith("#::")
                 form.tag = word[1:-1].lstrip(":")
@@ -136,7 +150,7 @@ def read(text: str) -> Form:
             abandon()
         else:
             frame = stack.pop()
-            frame.form.end = len(text)
+            frame.form.end, frame.form.shut = len(text), False
             give(frame.form)
     return root
 
@@ -155,7 +169,9 @@ def _finish(form: Form, end: int) -> Form:
 
 def _atom(kind: str, word: str, start: int, end: int) -> Form:
     if kind != "atom":
-        return Form({"symbolic": "number", "other": "unknown"}.get(kind, kind), start, end)
+        form = Form({"symbolic": "number", "other": "unknown"}.get(kind, kind), start, end)
+        form.shut = kind not in ("string", "regex") or _CLOSED.fullmatch(word) is not None
+        return form
     if word[0] == ":":
         form = Form("keyword", start, end)
         form.auto = word.startswith("::")
