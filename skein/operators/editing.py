@@ -12,6 +12,7 @@ from skein.functions.edn import parse
 from skein.functions.facts import DEFINERS
 from skein.operators.merge import first_of
 from skein.operators.resolve import resolve
+from skein.plans.session import ship
 
 _ACTIVE = T.StructType([T.StructField("signature", T.IntegerType()), T.StructField("parameter", T.IntegerType())])
 
@@ -31,6 +32,7 @@ def signature_help(cursors: DataFrame, namespaces: DataFrame, symbols: DataFrame
 
     ``core`` has name, and may have params (a list of vectors as one text).
     """
+    ship(cursors.sparkSession)
     called = cursors.withColumn("call", call_at_udf("text")).where("call.head is not null").select("qid", "ns", F.col("call.head").alias("word"), F.col("call.argument").alias("argument"))
     hit = resolve(called, namespaces, symbols, core, special)
     own = first_of(symbols.where("size(params) > 0"), ["fqn"], [F.col("ordinal")]).select("fqn", F.col("params").alias("own"))
@@ -46,6 +48,7 @@ def format_lines(cursors: DataFrame) -> DataFrame:
 
     ``before`` is the text up to the line's start, ``text`` the line itself.
     """
+    ship(cursors.sparkSession)
     own = F.length("text") - F.length(F.ltrim("text"))
     wanted = cursors.withColumn("indent", indent_udf("before")).where(F.col("indent").isNotNull() & (F.col("indent") != own))
     return wanted.select("qid", own.cast("int").alias("replaced"), F.repeat(F.lit(" "), F.col("indent")).alias("new_text"))
@@ -53,14 +56,7 @@ def format_lines(cursors: DataFrame) -> DataFrame:
 
 def on_alias_declaration(line: Column, word: Column) -> Column:
     """Does the line declare an alias that begins like the word?"""
-    return F.contains(line, F.concat(F.lit(":as "), word))
-
-
-def host_definition(words: DataFrame, members: DataFrame) -> DataFrame:
-    """(qid, class, member) to the place in the class's source: a method of that name, a field, else the class itself."""
-    kinds = F.when(F.col("kind") == "method", 0).when(F.col("kind") == "field", 1).otherwise(2)
-    found = words.join(members, "class").where((F.col("kind") == "class") | (F.col("name") == F.col("member")))
-    return first_of(found, ["qid"], [kinds, F.col("line")]).select("qid", "class", "member", "kind", "line")
+    return F.exists(F.slice(F.split(line, ":as"), 2, 1 << 20), lambda after: F.startswith(F.ltrim(after), word))
 
 
 def settings_rows(text: str) -> list[tuple[str, str]]:

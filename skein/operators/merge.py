@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def unused_name(rows: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``rows`` has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _ranked(rows: DataFrame, keys: list[str], order: list, chosen: Callable[[Column], Column]) -> DataFrame:
+    rank = unused_name(rows, "_rank")
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(chosen(F.col(rank))).drop(rank)
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by ``order``."""
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+    return _ranked(rows, keys, order, lambda rank: rank == 1)
 
 
 def repeats(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Every row after the first of its key."""
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank > 1").drop("_rank")
+    return _ranked(rows, keys, order, lambda rank: rank > 1)
 
 
 def last_write(symbols: DataFrame) -> DataFrame:
@@ -41,8 +56,28 @@ def remove_files(rows: DataFrame, files: DataFrame, file: str = "file") -> DataF
     return rows.join(files.select(file).distinct(), file, "left_anti")
 
 
-def clear_libraries(symbols: DataFrame) -> DataFrame:
-    return symbols.where(F.col("source_kind") == "project")
+def clear_libraries(rows: DataFrame) -> DataFrame:
+    """The project's rows alone. On packed files this takes every relation of a library along."""
+    return rows.where(F.col("source_kind") == "project")
+
+
+def remove_packed(packed: DataFrame, files: DataFrame) -> DataFrame:
+    """Packed files without those given: all relations of a file are in its row, so they go together."""
+    return remove_files(packed, files.select(F.col("file").alias("path")), "path")
+
+
+def rescan_packed(current: DataFrame, fresh: DataFrame, kept_files: DataFrame) -> DataFrame:
+    """Packed files after a new scan of the project: scanned files are replaced, project files it lacks go, save the kept ones.
+
+    A kept file whose namespace was scanned anew loses its definitions there: names that are gone do not linger.
+    Library rows stay.
+    """
+    library = current.where(F.col("source_kind") != "project")
+    stay = rescan(clear_libraries(current), fresh, kept_files.select(F.col("file").alias("path")), "path").join(fresh.select("path"), "path", "left_anti")
+    again = fresh.where("ns <> ''").select("ns").distinct().withColumn("again", F.lit(True))
+    nothing = F.filter("symbols", lambda _: F.lit(False))
+    stay = stay.join(again, "ns", "left").withColumn("symbols", F.when(F.col("again"), nothing).otherwise(F.col("symbols"))).drop("again")
+    return library.unionByName(stay.select(library.columns)).unionByName(fresh)
 
 
 def cache_plan(archives: DataFrame, cached: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
@@ -52,6 +87,16 @@ def cache_plan(archives: DataFrame, cached: DataFrame, version: int) -> tuple[Da
     return stale, valid.join(archives.select("path", "mtime"), ["path", "mtime"], "left_semi")
 
 
+#: Namespaces and the names that the second dialect's library gives them.
+DIALECT_NAMES = {"clojure.core": "core", "clojure.string": "string", "clojure.set": "set", "clojure.walk": "walk", "clojure.edn": "edn", "clojure.zip": "zip", "clojure.data": "data", "clojure.pprint": "pprint", "clojure.test": "test"}
+
+
+def dialect_copies(symbols: DataFrame) -> DataFrame:
+    """Rows of the second dialect's library under both of their names."""
+    spark = symbols.sparkSession
+    return with_alias_copies(symbols, spark.createDataFrame([(own, other) for other, own in DIALECT_NAMES.items()], "ns string, other string"))
+
+
 def with_alias_copies(symbols: DataFrame, names: DataFrame) -> DataFrame:
     """Also the rows of each namespace under its other names. ``names`` has ns, other."""
     copies = symbols.join(names, "ns").withColumn("ns", F.col("other")).withColumn("fqn", F.concat_ws("/", "other", "name")).drop("other")

@@ -1,4 +1,4 @@
-"""The operators over code, on the small corpus.
+"""Operators over code on small literal inputs; those over a whole corpus are in ``modules``.
 
 Where an oracle is given, its rows were derived by hand from the rules and the
 corpus text, never from this engine's output.
@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from skein.functions import columns as C
 from skein.functions.cursor import call_at_udf, indent_udf, split_params_udf, word_at_udf
-from skein.functions.java import outline
-from skein.operators import completion, editing, merge, references, requires, resolve, search
+from skein.operators import editing, host, merge, resolve
 from skein.plans import corpus
 from skein.plans.corpus import flat
+from skein.plans.session import ship
 from skein.sources import code as source
 from skein.sources import projects
 
@@ -26,125 +26,6 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", source.is_source(F.col("path")).alias("source"), source.is_manifest(F.col("path")).alias("manifest"))
 
 
-def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions of the corpus."""
-    rows = corpus.relations(spark).symbols
-    return flat(rows, "fqn", "kind", "file", F.array_join("params", " ").alias("params"), F.coalesce("doc", F.lit("")).alias("doc"), span="name_range")
-
-
-SYMBOLS_SQL = """
-select * from (values
-  ('shop.core/greet', 'Defn', 'src/shop/core.clj', '[name]', 'Says hello.', 7, 6, 7, 11),
-  ('shop.core/bill', 'Defn', 'src/shop/core.clj', '[items & {:keys [rate] :or {rate (tax 1)}}]', '', 10, 6, 10, 10),
-  ('shop.core/Item', 'Defrecord', 'src/shop/core.clj', '[label cost]', '', 14, 11, 14, 15),
-  ('shop.core/init-key', 'Defmethod', 'src/shop/core.clj', '[_ cfg]', '', 16, 14, 16, 22),
-  ('shop.price/total', 'Defn', 'src/shop/price.clj', '[items]', '', 2, 6, 2, 11),
-  ('shop.price/tax', 'Defn', 'src/shop/price.clj', '[x] [x y]', '', 4, 6, 4, 9),
-  ('shop.price/Priced', 'Defprotocol', 'src/shop/price.clj', '', '', 6, 13, 6, 19),
-  ('shop.price/cost-of', 'Defn', 'src/shop/price.clj', '[this]', 'Cost of it.', 6, 21, 6, 28),
-  ('lib.missing/thing', 'Def', 'lib/missing.clj', '', 'A thing.', 1, 5, 1, 10)
-) as t(fqn, kind, file, params, doc, sl, sc, el, ec)
-"""
-
-
-def code_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolved usages of the corpus's own names and keys."""
-    rows = corpus.relations(spark).occurrences.where("fqn rlike '^:?(shop|missing|lib)[.]?' and fqn not like 'shop.core/comment'")
-    return flat(rows, "fqn", "file", "discarded", span="name_range")
-
-
-OCCURRENCES_SQL = """
-select * from (values
-  ('shop.price/total', 'src/shop/core.clj', false, 2, 42, 2, 47), ('shop.price/tax', 'src/shop/core.clj', false, 2, 48, 2, 51),
-  ('shop.price/tax', 'src/shop/core.clj', false, 10, 45, 10, 48), ('shop.price/total', 'src/shop/core.clj', false, 11, 19, 11, 24),
-  ('missing/thing', 'src/shop/core.clj', false, 12, 13, 12, 18), (':shop.core/store', 'src/shop/core.clj', false, 16, 23, 16, 30),
-  ('shop.price/tax', 'src/shop/price.clj', false, 4, 16, 4, 19), ('lib.missing/thing', 'lib/missing.clj', false, 3, 10, 3, 15),
-  ('lib.missing/def', 'lib/missing.clj', true, 2, 3, 2, 6), ('lib.missing/hidden', 'lib/missing.clj', true, 2, 7, 2, 13),
-  ('lib.missing/comment', 'lib/missing.clj', false, 3, 1, 3, 8),
-  (':shop.core/store', 'res/system.edn', false, 0, 1, 0, 17), (':shop.core/web', 'res/system.edn', false, 1, 1, 1, 15),
-  (':shop.core/store', 'res/system.edn', false, 1, 32, 1, 48)
-) as t(fqn, file, discarded, sl, sc, el, ec) where not (file = 'lib/missing.clj' and discarded)
-"""
-
-
-def code_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Namespace rows: aliases, refers and requires as text."""
-    flat_map = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return corpus.relations(spark).namespaces.select("file", "name", flat_map("aliases").alias("aliases"), flat_map("refers").alias("refers"), F.array_join("requires", ",").alias("requires"))
-
-
-NAMESPACES_SQL = """
-select * from (values
-  ('src/shop/core.clj', 'shop.core', 'gone=shop.unused,price=shop.price,str=clojure.string', 'tax=shop.price/tax,total=shop.price/total', 'clojure.string,shop.price,shop.unused,shop.price,shop.effects'),
-  ('src/shop/price.clj', 'shop.price', '', '', ''), ('lib/missing.clj', 'lib.missing', '', '', ''), ('res/system.edn', '', '', '', '')
-) as t(file, name, aliases, refers, requires)
-"""
-
-
-def code_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unresolved, unused and doubled requires of the corpus."""
-    r = corpus.relations(spark)
-    return flat(requires.diagnostics(r.qualified, r.namespaces, r.libspecs, r.used_prefixes, r.bare), "file", "code", "message")
-
-
-DIAGNOSTICS_SQL = """
-select * from (values
-  ('src/shop/core.clj', 'unresolved-namespace', 'Unresolved namespace `missing`', 12, 5, 12, 18),
-  ('src/shop/core.clj', 'unresolved-namespace', 'Unresolved namespace `ig`', 16, 11, 16, 22),
-  ('src/shop/core.clj', 'unused-namespace', 'Unused require `shop.unused`', 3, 13, 3, 24),
-  ('src/shop/core.clj', 'duplicate-require', 'Duplicate require `shop.price`', 4, 13, 4, 23)
-) as t(file, code, message, sl, sc, el, ec)
-"""
-
-
-def code_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Namespaces that could be required for unresolved names."""
-    r = corpus.relations(spark)
-    asked = r.qualified.select("file", "prefix", "name").distinct().withColumn("qid", F.concat_ws("/", "prefix", "name"))
-    return requires.candidates(asked, r.namespaces, r.symbols, requires.alias_table(spark)).select("qid", "namespace", "alias", F.col("rank").cast("int").alias("rank"), F.col("position").cast("int").alias("position"))
-
-
-CANDIDATES_SQL = "select 'missing/thing' as qid, 'lib.missing' as namespace, 'missing' as alias, 2 as rank, 1 as position"
-
-
-def code_require_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the candidates' specs go, and their text."""
-    r = corpus.relations(spark)
-    asked = r.qualified.select("file", "prefix", "name").distinct().withColumn("qid", F.concat_ws("/", "prefix", "name"))
-    found = requires.candidates(asked, r.namespaces, r.symbols, requires.alias_table(spark))
-    ends = spark.createDataFrame([("src/shop/price.clj", 0, 14)], "file string, end_line int, end_char int")
-    return requires.require_edits(found, r.libspecs, ends).select("qid", "file", "line", "ch", "new_text")
-
-
-REQUIRE_EDITS_SQL = "select 'missing/thing' as qid, 'src/shop/core.clj' as file, 5 as line, 24 as ch, chr(10) || repeat(' ', 12) || '[lib.missing :as missing]' as new_text"
-
-
-def code_clean_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses rewritten: unused specs go, unused refers are pruned."""
-    r = corpus.relations(spark)
-    done = requires.clean_namespaces(r.libspecs, r.namespaces, r.used_prefixes, r.bare)
-    return done.select("file", "removes_clause", F.array_join(F.col("start").cast("array<string>"), ":").alias("start"), F.array_join(F.col("stop").cast("array<string>"), ":").alias("stop"), "new_text")
-
-
-CLEAN_SQL = """
-select 'src/shop/core.clj' as file, false as removes_clause, '1:11' as "start", '5:24' as stop,
-  ' [clojure.string :as str]' || chr(10) || repeat(' ', 12) || '[shop.price :as price :refer [tax]]' || chr(10) || repeat(' ', 12) || '[shop.price]' || chr(10) || repeat(' ', 12) || 'shop.effects' as new_text
-"""
-
-
-def code_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words to definitions by the order of precedence."""
-    r = corpus.relations(spark)
-    return resolve.resolve(corpus.words(spark), r.namespaces, r.symbols, corpus.core_names(spark), corpus.special_forms(spark)).select("qid", "word", "fqn", "origin")
-
-
-RESOLVE_SQL = """
-select * from (values (1, 'price/total', 'shop.price/total', 'definition'), (2, 'tax', 'shop.price/tax', 'definition'), (3, 'greet', 'shop.core/greet', 'definition'),
-  (4, '->Item', 'shop.core/Item', 'constructor'), (5, 'map->Item', 'shop.core/Item', 'constructor'), (6, 'if', 'if', 'special'), (7, 'reduce', 'clojure.core/reduce', 'core'),
-  (8, 'nowhere', null, null), (9, 'shop.price/tax', 'shop.price/tax', 'definition'), (10, 'price/->Item', null, null)) as t(qid, word, fqn, origin)
-"""
-
-
 def code_resolve_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second dialect: bare names end at its own core, special forms and natives."""
     r = corpus.relations(spark)
@@ -156,139 +37,9 @@ def code_resolve_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIALECT_SQL = "select * from (values (1, 'count', 'count', 'native'), (2, 'reduce', null, null), (3, 'if', 'if', 'special'), (4, 'greet', 'shop.core/greet', 'definition')) as t(qid, word, fqn, origin)"
 
 
-def code_hover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reader sees over a word."""
-    r = corpus.relations(spark)
-    return resolve.hover(corpus.words(spark).where("qid in (3, 6, 8)"), r.namespaces, r.symbols, corpus.core_names(spark), corpus.special_forms(spark))
-
-
-HOVER_SQL = "select * from (values (3, 'greet', '**shop.core/greet** `defn`' || chr(10) || chr(10) || '`[name]`' || chr(10) || chr(10) || 'Says hello.'), (6, 'if', '**if** `special`'), (8, 'nowhere', null)) as t(qid, word, text)"
-
-
-def code_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions to definitions: locals first, keys never to vars."""
-    r = corpus.relations(spark)
-    return flat(references.definitions(corpus.cursors(spark), r.symbols, r.occurrences, r.bindings), "qid", "file", "via")
-
-
-DEFINITIONS_SQL = """
-select * from (values (1, 'src/shop/core.clj', 'local', 11, 8, 11, 11), (2, 'src/shop/core.clj', 'local', 11, 8, 11, 11), (3, 'src/shop/core.clj', 'local', 11, 32, 11, 35),
-  (4, 'src/shop/price.clj', 'definition', 2, 6, 2, 11), (5, 'src/shop/core.clj', 'local', 7, 27, 7, 31), (6, 'src/shop/price.clj', 'definition', 4, 6, 4, 9)) as t(qid, file, via, sl, sc, el, ec)
-"""
-
-
-def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usages and declarations of two names."""
-    r = corpus.relations(spark)
-    asked = spark.createDataFrame([(1, "shop.price/tax"), (2, ":shop.core/store")], "qid int, fqn string")
-    return flat(references.references(asked, r.symbols, r.occurrences), "qid", "file", "is_declaration", span="name_range")
-
-
-REFERENCES_SQL = """
-select * from (values (1, 'src/shop/core.clj', false, 2, 48, 2, 51), (1, 'src/shop/core.clj', false, 10, 45, 10, 48), (1, 'src/shop/price.clj', false, 4, 16, 4, 19),
-  (1, 'src/shop/price.clj', true, 4, 6, 4, 9), (2, 'src/shop/core.clj', false, 16, 23, 16, 30), (2, 'res/system.edn', false, 0, 1, 0, 17), (2, 'res/system.edn', false, 1, 32, 1, 48)) as t(qid, file, is_declaration, sl, sc, el, ec)
-"""
-
-
-def code_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of a rename, and why others are refused."""
-    r = corpus.relations(spark)
-    asked = spark.createDataFrame([(1, "shop.price/tax", "duty"), (2, "shop.core/greet", "bill"), (3, "shop.core/greet", "1x"), (4, "clojure.core/map", "m"), (5, "lib.missing/thing", "x"), (6, "shop.core/none", "y"), (7, ":shop.core/store", "z")], "qid int, fqn string, new_name string")
-    edits, refused = references.rename(asked, r.symbols, r.occurrences)
-    return edits.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("edits")).select("qid", "edits", F.lit(None).cast("string").alias("error")).unionByName(refused.select("qid", F.lit(0).alias("edits"), "error"))
-
-
-RENAME_SQL = "select * from (values (1, 4, null), (2, 0, 'already defined'), (3, 0, 'invalid name'), (4, 0, 'core'), (5, 0, 'library'), (6, 0, 'unknown'), (7, 0, 'keyword')) as t(qid, edits, error)"
-
-
-def code_local_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every use of the local at a cursor, its declaration included."""
-    r = corpus.relations(spark)
-    tokens = spark.createDataFrame([("src/shop/core.clj", "sum", (11, 8, 11, 11)), ("src/shop/core.clj", "sum", (11, 32, 11, 35)), ("src/shop/core.clj", "sum", (11, 39, 11, 42)), ("src/shop/core.clj", "sum", (12, 19, 12, 22))], "file string, name string, name_range struct<start_line:int,start_char:int,end_line:int,end_char:int>")
-    return flat(references.local_references(corpus.cursors(spark).where("qid in (1, 3)"), r.bindings, tokens), "qid", "name", span="name_range")
-
-
-LOCAL_SQL = """
-select * from (values (1, 'sum', 11, 8, 11, 11), (1, 'sum', 11, 39, 11, 42), (3, 'sum', 11, 32, 11, 35), (3, 'sum', 12, 19, 12, 22)) as t(qid, name, sl, sc, el, ec)
-"""
-
-
-def code_local_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locals visible in the body that begin with a prefix, each once."""
-    asked = spark.createDataFrame([(1, "src/shop/core.clj", 12, 19, "s"), (2, "src/shop/core.clj", 12, 19, ""), (3, "src/shop/core.clj", 10, 46, "")], "qid int, file string, line int, ch int, prefix string")
-    return flat(references.local_completions(asked, corpus.relations(spark).bindings), "qid", "name", span="name_range")
-
-
-LOCAL_COMPLETIONS_SQL = """
-select * from (values (1, 'sum', 11, 32, 11, 35), (2, 'sum', 11, 32, 11, 35), (2, 'items', 10, 12, 10, 17), (2, 'rate', 10, 28, 10, 32)) as t(qid, name, sl, sc, el, ec)
-"""
-
-
-def code_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that prefixes grow into, by pool."""
-    r = corpus.relations(spark)
-    asked = spark.createDataFrame([(1, "price/t", "shop.core"), (2, "t", "shop.core"), (3, "sh", "shop.core"), (4, "d", "shop.core"), (5, "shop.price/t", "shop.core"), (6, "Ma", "shop.core")], "qid int, prefix string, ns string")
-    classes = spark.createDataFrame([("java.util.Map",), ("java.util.List",)], "fqn string")
-    return completion.complete(asked, r.namespaces, r.symbols, corpus.core_names(spark), corpus.special_forms(spark), classes)
-
-
-COMPLETION_SQL = """
-select * from (values (1, 'alias member', 'price/total'), (1, 'alias member', 'price/tax'), (2, 'refer', 'tax'), (2, 'refer', 'total'),
-  (3, 'namespace', 'shop.core'), (3, 'namespace', 'shop.price'), (4, 'special', 'do'), (4, 'special', 'def'), (6, 'class', 'Map')) as t(qid, pool, label)
-"""
-
-
-def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked search over the project's definitions."""
-    asked = spark.createDataFrame([(1, "t"), (2, "tax"), (3, "bl")], "qid int, query string")
-    return search.search_symbols(corpus.relations(spark).symbols, asked).select("qid", F.col("tier").cast("int").alias("tier"), "fqn", F.col("position").cast("int").alias("position"))
-
-
-SEARCH_SQL = """
-select * from (values (1, 1, 'shop.price/tax', 1), (1, 1, 'shop.price/total', 2), (1, 2, 'shop.core/Item', 3), (1, 2, 'shop.core/greet', 4), (1, 2, 'shop.price/cost-of', 5), (1, 2, 'shop.core/init-key', 6),
-  (2, 0, 'shop.price/tax', 1), (3, 3, 'shop.core/bill', 1)) as t(qid, tier, fqn, position)
-"""
-
-
-def code_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = corpus.relations(spark)
-    return references.document_symbols(r.symbols, spark.createDataFrame([("src/shop/price.clj",)], "file string")).select("name", "kind", F.col("ordinal").cast("int").alias("ordinal"))
-
-
-OUTLINE_SQL = "select * from (values ('total', 'Defn', 0), ('tax', 'Defn', 1), ('Priced', 'Defprotocol', 2), ('cost-of', 'Defn', 3)) as t(name, kind, ordinal)"
-
-
-def code_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discarded and comment forms."""
-    return flat(corpus.relations(spark).ignored, "file")
-
-
-IGNORED_SQL = "select * from (values ('lib/missing.clj', 2, 0, 2, 16), ('lib/missing.clj', 3, 0, 3, 17)) as t(file, sl, sc, el, ec)"
-
-
-def code_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Project and library definitions as one index."""
-    symbols = corpus.relations(spark).symbols
-    project = merge.last_write(symbols.where("source_kind = 'project'"))
-    return merge.merge_libraries(project, symbols.where("source_kind <> 'project'")).select("fqn", "source_kind")
-
-
-MERGE_SQL = """
-select * from (values ('shop.core/greet', 'project'), ('shop.core/bill', 'project'), ('shop.core/Item', 'project'), ('shop.core/init-key', 'project'), ('shop.price/total', 'project'),
-  ('shop.price/tax', 'project'), ('shop.price/Priced', 'project'), ('shop.price/cost-of', 'project'), ('lib.missing/thing', 'dir')) as t(fqn, source_kind)
-"""
-
-
-def code_namespace_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(1, "price", "shop.core"), (2, "lib.missing", "shop.core"), (3, "nope", "shop.core")], "qid int, word string, ns string")
-    return resolve.namespace_location(asked, corpus.relations(spark).namespaces)
-
-
-LOCATION_SQL = "select * from (values (1, 'price', 'shop.price', 'src/shop/price.clj'), (2, 'lib.missing', 'lib.missing', 'lib/missing.clj')) as t(qid, word, target, file)"
-
-
 def code_cursor_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, calls, parameters and indentation at places of texts."""
+    ship(spark)
     rows = [(1, "(foo ::bar/baz 1)", 0, 8), (2, "(let [x 1] (f x ", 0, 13), (3, '(f "a', 0, 1), (4, "[a\n b", 1, 1)]
     at = spark.createDataFrame(rows, "qid int, text string, line int, ch int")
     out = at.select("qid", word_at_udf("text", "line", "ch").alias("w"), call_at_udf("text").alias("c"), indent_udf("text").alias("indent"), split_params_udf(F.lit("[a ^String b & {:keys [c d]}]")).alias("p"))
@@ -300,17 +51,6 @@ select * from (values (1, 'bar/baz', true, '', -1, 0), (2, 'f', false, 'f', 1, 1
 """
 
 
-def code_java_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of a host class from its source, and a word that names one."""
-    text = "package java.util;\n/** A box. */\npublic class Box<T> extends Base implements Runnable {\n  /** Size. */\n  public static int size(String s, int n) { return 1; }\n  private final int left = 2;\n  public Box(int n) { }\n}\n"
-    found = outline(text)
-    rows = [(found["fqn"], m["name"], m["kind"], m["is_static"], m["params"]) for m in found["members"]]
-    return spark.createDataFrame(rows, "class string, name string, kind string, is_static boolean, params string")
-
-
-JAVA_SQL = "select * from (values ('java.util.Box', 'size', 'method', true, '(String s, int n)'), ('java.util.Box', 'left', 'field', false, ''), ('java.util.Box', 'Box', 'constructor', false, '(int n)')) as t(class, name, kind, is_static, params)"
-
-
 def code_java_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to host classes: imports, full names, then java.lang."""
     namespaces = spark.createDataFrame([("app", {"Date": "java.util.Date"})], "name string, imports map<string,string>")
@@ -319,7 +59,7 @@ def code_java_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_class(asked, namespaces, classes)
 
 
-JAVA_WORDS_SQL = "select * from (values (1, 'Date.', 'java.util.Date', null), (2, 'Math/abs', 'java.lang.Math', 'abs'), (3, 'java.io.File', 'java.io.File', null)) as t(qid, word, class, member)"
+JAVA_WORDS_SQL = "select * from (values (1, 'Date.', 'java.util.Date', null, true), (2, 'Math/abs', 'java.lang.Math', 'abs', false), (3, 'java.io.File', 'java.io.File', null, false)) as t(qid, word, class, member, makes)"
 
 
 def code_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,39 +87,85 @@ def code_classpath(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLASSPATH_SQL = "select * from (values ('/m2/a.jar', 'archive'), ('/ext/lib', 'folder'), ('/m2/b.jar', 'archive')) as t(entry, kind)"
 
+HOST_FILES = [
+    ("zip!/java.base/java/util/Box.java", "package java.util;\n/** A box. */\npublic class Box<T> extends Base implements Runnable {\n  /** Size. */\n  public static int size(String s, int n) { return 1; }\n  private final int left = 2;\n  public Box(int n) { }\n  public static int size(Map<K, V> m) { return 2; }\n}\n"),
+    ("zip!/java.base/java/util/package-info.java", "package java.util;"),
+]
+
+
+def _host(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Members of two host files, and a namespace that imports the class."""
+    members = host.class_members(spark.createDataFrame(HOST_FILES, "path string, text string"))
+    return members, spark.createDataFrame([("app", {"Box": "java.util.Box"})], "name string, imports map<string,string>")
+
+
+def code_host_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and members of host sources with the places of their names."""
+    rows = _host(spark)[0].withColumn("doc", F.coalesce("doc", F.lit(""))).withColumn("above", F.concat_ws(",", "extends", "implements"))
+    return flat(rows, "class", "name", "kind", "is_static", "params", "returns", "doc", "above")
+
+
+HOST_SQL = """select * from (values ('java.util.Box', 'Box', 'class', false, '', '', 'A box.', 'Base,Runnable', 2, 13, 2, 16), ('java.util.Box', 'size', 'method', true, '(String s, int n)', 'int', 'Size.', '', 4, 20, 4, 24),
+  ('java.util.Box', 'left', 'field', false, '', 'int', '', '', 5, 20, 5, 24), ('java.util.Box', 'Box', 'constructor', false, '(int n)', '', '', '', 6, 9, 6, 12),
+  ('java.util.Box', 'size', 'method', true, '(Map<K, V> m)', 'int', '', '', 7, 20, 7, 24)) as t(class, name, kind, is_static, params, returns, doc, above, sl, sc, el, ec)"""
+
+
+def code_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of host calls: where they lead and what a reader sees."""
+    members, namespaces = _host(spark)
+    asked = spark.createDataFrame([(1, "Box", "app"), (2, "Box.", "app"), (3, "Box/size", "app"), (4, "Box/left", "app"), (5, "Box/none", "app"), (6, "java.util.Box", "x"), (7, "Box", "x")], "qid int, word string, ns string")
+    met = resolve.resolve_class(asked, namespaces, members.where("kind = 'class'").select(F.col("class").alias("fqn")))
+    return flat(host.host_definition(met, members).join(host.host_hover(met, members), "qid"), "qid", "kind", "text")
+
+
+_SHOWN = {
+    "class": "chr(96) || chr(96) || chr(96) || 'java' || chr(10) || 'class java.util.Box extends Base implements Runnable' || chr(10) || chr(96) || chr(96) || chr(96) || chr(10) || '*java class*' || chr(10) || chr(10) || 'A box.'",
+    "constructor": "chr(96) || chr(96) || chr(96) || 'java' || chr(10) || 'Box(int n)' || chr(10) || chr(96) || chr(96) || chr(96) || chr(10) || '*java.util.Box*' || chr(10)",
+    "method": "chr(96) || chr(96) || chr(96) || 'java' || chr(10) || 'static int size(String s, int n)' || chr(10) || chr(96) || chr(96) || chr(96) || chr(10) || '*java.util.Box*' || chr(10) || chr(10) || 'Size.'",
+    "field": "chr(96) || chr(96) || chr(96) || 'java' || chr(10) || 'int left' || chr(10) || chr(96) || chr(96) || chr(96) || chr(10) || '*java.util.Box*' || chr(10)",
+}
+HOST_WORDS_SQL = " union all ".join(
+    f"select {qid} as qid, '{kind}' as kind, {_SHOWN[kind]} as text, {sl} as sl, {sc} as sc, {sl} as el, {ec} as ec"
+    for qid, kind, sl, sc, ec in ((1, "class", 2, 13, 16), (2, "constructor", 6, 9, 12), (3, "method", 4, 20, 24), (4, "field", 5, 20, 24), (5, "class", 2, 13, 16), (6, "class", 2, 13, 16))
+)
+
+
+def code_host_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Static members that ``Class/p`` grows into."""
+    members, namespaces = _host(spark)
+    asked = spark.createDataFrame([(1, "Box/s", "app"), (2, "Box/l", "app"), (3, "Box/", "x")], "qid int, prefix string, ns string")
+    return host.static_completions(asked, namespaces, members)
+
+
+HOST_COMPLETIONS_SQL = "select 1 as qid, 'Box/size' as label, 'method' as kind, 'size(String s, int n)' as detail"
+
+
+def code_host_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overloads of host calls being typed."""
+    members, namespaces = _host(spark)
+    asked = spark.createDataFrame([(1, "app", "Box/size", 1), (2, "app", "Box.", 0), (3, "app", "Box/size", 5), (4, "app", "Box/left", 0)], "qid int, ns string, head string, argument int")
+    return host.host_signatures(asked, namespaces, members)
+
+
+HOST_SIGNATURES_SQL = """select * from (values (1, 'size(String s, int n)', 0, 0, 1), (1, 'size(Map<K, V> m)', 1, 0, 1), (2, 'Box(int n)', 0, 0, 0), (3, 'size(String s, int n)', 0, 0, 1),
+  (3, 'size(Map<K, V> m)', 1, 0, 1)) as t(qid, label, signature, active, parameter)"""
+
+
 _ORACLES = {
     code_files: "select * from (values ('a/b.clj', true, false), ('a/b.cljs', true, false), ('c.cljc', true, false), ('d.lg', true, false), ('project.clj', false, false), ('x/project.clj', false, false), ('deps.edn', false, true), ('sys.edn', false, false), ('e.txt', false, false), ('myproject.clj', true, false)) as t(path, source, manifest)",
-    code_symbols: SYMBOLS_SQL, code_occurrences: OCCURRENCES_SQL, code_namespaces: NAMESPACES_SQL, code_diagnostics: DIAGNOSTICS_SQL, code_candidates: CANDIDATES_SQL,
-    code_require_edits: REQUIRE_EDITS_SQL, code_clean_namespaces: CLEAN_SQL, code_resolve: RESOLVE_SQL, code_resolve_dialect: DIALECT_SQL, code_hover: HOVER_SQL,
-    code_definitions: DEFINITIONS_SQL, code_references: REFERENCES_SQL, code_rename: RENAME_SQL, code_local_references: LOCAL_SQL, code_local_completions: LOCAL_COMPLETIONS_SQL,
-    code_completion: COMPLETION_SQL, code_search: SEARCH_SQL, code_outline: OUTLINE_SQL, code_ignored: IGNORED_SQL, code_merge: MERGE_SQL, code_namespace_location: LOCATION_SQL,
-    code_cursor_functions: CURSOR_SQL, code_java_members: JAVA_SQL, code_java_words: JAVA_WORDS_SQL, code_manifests: MANIFESTS_SQL, code_native_definitions: NATIVE_SQL, code_classpath: CLASSPATH_SQL,
+    code_resolve_dialect: DIALECT_SQL, code_cursor_functions: CURSOR_SQL, code_java_words: JAVA_WORDS_SQL, code_manifests: MANIFESTS_SQL, code_native_definitions: NATIVE_SQL, code_classpath: CLASSPATH_SQL,
+    code_host_members: HOST_SQL, code_host_words: HOST_WORDS_SQL, code_host_completions: HOST_COMPLETIONS_SQL, code_host_signatures: HOST_SIGNATURES_SQL,
 }
 
 QUERIES = {f.__name__: f for f in _ORACLES}
 ORACLE = {f.__name__: sql for f, sql in _ORACLES.items()}
 
 
-def code_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arities of the call being typed."""
-    r = corpus.relations(spark)
-    asked = spark.createDataFrame([(1, "shop.core", "(price/total "), (2, "shop.core", "(tax 1 "), (3, "shop.core", "(reduce + "), (4, "shop.core", "(nope "), (5, "shop.core", "(tax")], "qid int, ns string, text string")
-    core = spark.createDataFrame([("reduce", "([f coll] [f val coll])")], "name string, params string")
-    found = editing.signature_help(asked, r.namespaces, r.symbols, core, corpus.special_forms(spark))
-    return found.select("qid", "fqn", F.array_join("arities", " ").alias("arities"), "signature", "parameter")
-
-
 def code_format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([(1, "(defn f [x]\n", "x)"), (2, "(defn f [x]\n", "  x)"), (3, "[1\n", "    2]"), (4, '(f "a\n', "b")], "qid int, before string, text string")
     return editing.format_lines(asked)
 
 
-def code_host_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(1, "a.B", "size"), (2, "a.B", "left"), (3, "a.B", "nope"), (4, "a.C", "size")], "qid int, class string, member string")
-    members = spark.createDataFrame([("a.B", "B", "class", 1), ("a.B", "size", "field", 3), ("a.B", "size", "method", 5), ("a.B", "left", "field", 4)], "class string, name string, kind string, line int")
-    return editing.host_definition(asked, members)
-
-
 def code_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macros declared alike, from two settings texts, the second on top."""
     rows = lambda text: spark.createDataFrame(editing.settings_rows(text), "macro string, target string")
@@ -395,9 +181,7 @@ def code_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MORE = {
-    code_signatures: "select * from (values (1, 'shop.price/total', '[items]', 0, 0), (2, 'shop.price/tax', '[x] [x y]', 1, 1), (3, 'clojure.core/reduce', '[f coll] [f val coll]', 0, 1)) as t(qid, fqn, arities, signature, parameter)",
     code_format_lines: "select * from (values (1, 0, '  '), (3, 4, ' ')) as t(qid, replaced, new_text)",
-    code_host_definitions: "select * from (values (1, 'a.B', 'size', 'method', 5), (2, 'a.B', 'left', 'field', 4), (3, 'a.B', 'nope', 'class', 1)) as t(qid, class, member, kind, line)",
     code_settings: "select 'a/x' as macro, 'clojure.core/defrecord' as target, 'Defrecord' as kind",
     code_changes: "select *, true as alias_line from (values ('src/a.clj', 'extract'), ('src/b.clj', 'remove'), ('deps.edn', 'libraries'), ('.x/1.cp', 'libraries'), ('.lint/config.edn', 'rebuild')) as t(path, action)",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.facts import CORE_NAMES, file_facts
+from skein.functions.facts import CORE_NAMES, CORE_NS, Facts, file_facts
+from skein.plans.session import ship
 
 #: Extensions of source files, and files that only declare a build.
 SOURCE_PATTERN = r"[.](?:clj|cljs|cljc|lg)$"
@@ -34,11 +36,12 @@ PACKED = T.StructType(
         T.StructField("path", _S), T.StructField("source_kind", _S), T.StructField("source_path", _S), T.StructField("scan_seq", T.LongType()),
         T.StructField("ns", _S), T.StructField("aliases", _MAP), T.StructField("refers", _MAP), T.StructField("requires", _STRINGS), T.StructField("imports", _MAP),
         T.StructField("symbols", _rows(fqn=_S, ns=_S, name=_S, kind=_S, params=_STRINGS, doc=_S, range=RANGE, name_range=RANGE, ordinal=_I)),
-        T.StructField("occurrences", _rows(fqn=_S, name_range=RANGE, discarded=_B, ordinal=_I)),
+        T.StructField("occurrences", _rows(fqn=_S, name_range=RANGE, discarded=_B, open=_S, ordinal=_I)),
         T.StructField("qualified", _rows(prefix=_S, name=_S, range=RANGE)),
         T.StructField("libspecs", _rows(clause=_I, pos=_I, spec_kind=_S, text=_S, lead=_S, range=RANGE, ns_name=_S, ns_range=RANGE, alias=_S, refers=_STRINGS, has_refers=_B, refer_all=_B, unknown_opt=_B, refer_from=T.ArrayType(_I), refer_to=_I, clause_from=T.ArrayType(_I), clause_range=RANGE)),
         T.StructField("bindings", _rows(name=_S, name_range=RANGE, scope=RANGE, holes=T.ArrayType(RANGE), local=_B, ordinal=_I)),
         T.StructField("bare", _STRINGS), T.StructField("key_prefixes", _STRINGS), T.StructField("ignored", T.ArrayType(RANGE)),
+        T.StructField("tokens", _rows(name=_S, name_range=RANGE)), T.StructField("ns_end", RANGE), T.StructField("problem", _S),
     ]
 )
 
@@ -52,35 +55,116 @@ def is_manifest(path: Column) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1).isin(*MANIFESTS)
 
 
-def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Files under a root: path, text, mtime."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.decode("content", "UTF-8").alias("text"), F.unix_timestamp("modificationTime").alias("mtime"))
+def _plain_path(column: str = "path") -> Column:
+    return F.regexp_replace(column, "^file:/+", "/")
+
 
+def read_files(spark: SparkSession, root: str, glob: str = "*", ignored: bool = False) -> DataFrame:
+    """Files under a root: path, text, mtime.
 
-def read_archives(spark: SparkSession, root: str, pattern: str = ARCHIVE_PATTERN) -> DataFrame:
-    """Entries of archives under a root as files: path ``archive!/entry``, text, mtime, source_path."""
+    Hidden files and folders are left out (Spark's listing passes over names that begin with a dot or an underscore),
+    and what the ignore files of the tree exclude, unless ``ignored``.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    if not ignored:
+        raw = raw.where(~is_ignored(_plain_path(), ignore_rules(spark, root)))
+    return raw.select(_plain_path().alias("path"), F.decode("content", "UTF-8").alias("text"), F.unix_timestamp("modificationTime").alias("mtime"))
+
+
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """Rules (pattern of paths, excluded?) of the ignore files under a root, outer folders first; later rules win."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, folders = [], [path]
+    while folders:
+        folder = folders.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if status.isDirectory() and not name.startswith((".", "_")):
+                folders.append(status.getPath())
+            elif name in IGNORE_FILES:
+                stream = fs.open(status.getPath())
+                text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+                stream.close()
+                where = folder.toUri().getPath().rstrip("/")
+                found.append((where.count("/"), where, IGNORE_FILES.index(name), text))
+    return [rule for _, where, _, text in sorted(found) for rule in parse_ignore(where, text)]
+
+
+def parse_ignore(folder: str, text: str) -> list[tuple[str, bool]]:
+    """Rules of one ignore file: globs by line; a leading ``!`` takes back, a slash inside ties to the folder."""
+    rules = []
+    for line in text.splitlines():
+        line = line.rstrip() if not line.endswith("\\ ") else line
+        if not line or line.startswith("#"):
+            continue
+        excluded, glob = not line.startswith("!"), line.removeprefix("!")
+        only_folders, body = glob.endswith("/"), glob.strip("/")
+        tied = "/" in glob.rstrip("/")
+        parts = []
+        for token in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[!?[^\]]+\]|\\.|[^*?\[\\]+|.", body, re.S):
+            special = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(token)
+            if special is None and token[0] == "[" and len(token) > 1:
+                special = "[" + token[1:].replace("!", "^", 1) if token[1] == "!" else token
+            parts.append(special if special is not None else re.escape(token[1:] if token[0] == "\\" and len(token) > 1 else token))
+        # A rule for a folder holds for all that lies in it.
+        rules.append((f"^{re.escape(folder)}/{'' if tied else '(?:.*/)?'}{''.join(parts)}{'/.*' if only_folders else '(?:/.*)?'}$", excluded))
+    return rules
+
+
+def is_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Does the last rule that fits the path exclude it?"""
+    verdict = F.lit(False)
+    for pattern, excluded in rules:
+        verdict = F.when(F.rlike(path, F.lit(pattern)), F.lit(excluded)).otherwise(verdict)
+    return verdict
+
+
+def read_archives(spark: SparkSession, root: str, pattern: str = ARCHIVE_PATTERN, only: DataFrame | None = None) -> DataFrame:
+    """Entries of archives under a root as files: path ``archive!/entry``, text, mtime, source_path, problem.
+
+    An archive or entry that cannot be read is a row without text whose ``problem`` says why. Entries come out one by one.
+    ``only`` (path) names the archives to read.
+    """
+    ship(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jar,zip}").load(root)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
+        wanted = re.compile(pattern)
         for batch in batches:
-            rows = []
             for path, mtime, content in zip(batch["path"], batch["mtime"], batch["content"], strict=True):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue  # an unreadable archive holds no sources
-                rows += [(f"{path}!/{n}", archive.read(n).decode("utf-8", "replace"), mtime, path) for n in archive.namelist() if re.search(pattern, n)]
-            yield pd.DataFrame(rows, columns=["path", "text", "mtime", "source_path"])
+                    names = [n for n in archive.namelist() if wanted.search(n)]
+                except zipfile.BadZipFile as fault:
+                    yield pd.DataFrame([(path, None, mtime, path, str(fault))], columns=_ENTRY)
+                    continue
+                for name in names:
+                    text, problem = None, None
+                    try:
+                        text = archive.read(name).decode("utf-8", "replace")
+                    except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as fault:
+                        problem = str(fault)
+                    yield pd.DataFrame([(f"{path}!/{name}", text, mtime, path, problem)], columns=_ENTRY)
 
     named = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), "content")
-    return named.mapInPandas(entries, "path string, text string, mtime long, source_path string")
+    if only is not None:
+        named = named.join(only.select("path").distinct(), "path", "left_semi").select("path", "mtime", "content")
+    return named.mapInPandas(entries, "path string, text string, mtime long, source_path string, problem string")
+
+
+_ENTRY = ["path", "text", "mtime", "source_path", "problem"]
 
 
 def extract(files: DataFrame, lint_as: dict[str, str] | None = None, core: frozenset[str] = CORE_NAMES) -> DataFrame:
-    """One packed row per file. ``files`` has path and text, and may have source_kind, source_path, scan_seq."""
+    """One packed row per file. ``files`` has path and text, and may have source_kind, source_path, scan_seq.
+
+    A file whose facts cannot be read keeps its row, empty, with the reason in ``problem``.
+    """
+    ship(files.sparkSession)
     wanted = {"source_kind": F.lit("project"), "source_path": F.lit(None).cast("string"), "scan_seq": F.lit(0).cast("long")}
     files = files.select("path", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c) if c in files.columns else v.alias(c) for c, v in wanted.items()])
     point = lambda span: dict(zip(_POINTS, span, strict=True))
@@ -89,7 +173,11 @@ def extract(files: DataFrame, lint_as: dict[str, str] | None = None, core: froze
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                facts = file_facts(row.path, row.text, lint_as, core)
+                problem = None
+                try:
+                    facts = file_facts(row.path, row.text, lint_as, core)
+                except (ValueError, IndexError, KeyError, RecursionError, MemoryError) as fault:
+                    facts, problem = Facts(), f"{type(fault).__name__}: {fault}"
                 out.append(
                     {
                         "path": row.path, "source_kind": row.source_kind, "source_path": row.source_path, "scan_seq": row.scan_seq,
@@ -99,7 +187,8 @@ def extract(files: DataFrame, lint_as: dict[str, str] | None = None, core: froze
                         "qualified": [{"prefix": q["prefix"], "name": q["name"], "range": point(q["span"])} for q in facts.qualified],
                         "libspecs": [x | {"range": point(x["span"]), "ns_range": point(x["ns_span"]), "clause_range": point(x["clause_span"])} for x in facts.libspecs],
                         "bindings": [b | {"name_range": point(b["name_range"]), "scope": point(b["scope"]), "holes": [point(h) for h in b["holes"]]} for b in facts.bindings],
-                        "bare": facts.bare, "key_prefixes": facts.key_prefixes, "ignored": [point(i) for i in facts.ignored],
+                        "bare": list(dict.fromkeys(n for n, _ in facts.tokens)), "key_prefixes": facts.key_prefixes, "ignored": [point(i) for i in facts.ignored],
+                        "tokens": [{"name": n, "name_range": point(t)} for n, t in facts.tokens], "ns_end": point(facts.ns_end) if facts.ns_end else None, "problem": problem,
                     }
                 )
             yield pd.DataFrame(out, columns=PACKED.fieldNames())
@@ -110,11 +199,12 @@ def extract(files: DataFrame, lint_as: dict[str, str] | None = None, core: froze
 class Relations:
     """The relations of packed files, each a projection of the one extraction.
 
-    Persist or write ``packed`` once; every relation then reads only its own array.
+    Write ``packed`` once (``plans.session.cut``); every relation then reads only its own array. ``core`` may name
+    further names of the core namespace, beside those that the files define in it.
     """
 
-    def __init__(self, packed: DataFrame):
-        self.packed = packed
+    def __init__(self, packed: DataFrame, core: DataFrame | None = None):
+        self.packed, self.core = packed, core
 
     def _exploded(self, name: str) -> DataFrame:
         return self.packed.select("path", "source_kind", "source_path", "scan_seq", F.explode(name).alias("x")).select(F.col("path").alias("file"), "source_kind", "source_path", "scan_seq", "x.*")
@@ -123,9 +213,33 @@ class Relations:
     def symbols(self) -> DataFrame:
         return self._exploded("symbols")
 
+    @property
+    def core_names(self) -> DataFrame:
+        """(name): names of the core namespace that the files define, and those given."""
+        own = self.symbols.where(F.col("ns") == CORE_NS).select("name")
+        return (own if self.core is None else own.unionByName(self.core.select("name"))).distinct()
+
     @property
     def occurrences(self) -> DataFrame:
-        return self._exploded("occurrences").drop("source_path", "scan_seq")
+        """Usages; a bare name that nothing in its file explains is the core namespace's if that has it."""
+        core = self.core_names.select(F.col("name").alias("open"), F.lit(True).alias("is_core"))
+        found = self._exploded("occurrences").drop("source_path", "scan_seq").join(core, "open", "left")
+        return found.withColumn("fqn", F.when(F.col("is_core"), F.concat(F.lit(f"{CORE_NS}/"), "open")).otherwise(F.col("fqn"))).drop("open", "is_core")
+
+    @property
+    def tokens(self) -> DataFrame:
+        """Unqualified symbols outside the namespace form, with their places."""
+        return self._exploded("tokens").select("file", "name", "name_range")
+
+    @property
+    def ns_forms(self) -> DataFrame:
+        """(file, end_line, end_char): where the last part of each file's namespace form ends."""
+        return self.packed.where("ns_end is not null").select(F.col("path").alias("file"), F.col("ns_end.end_line").alias("end_line"), F.col("ns_end.end_char").alias("end_char"))
+
+    @property
+    def problems(self) -> DataFrame:
+        """Files that could not be read, and why."""
+        return self.packed.where("problem is not null").select(F.col("path").alias("file"), "problem")
 
     @property
     def namespaces(self) -> DataFrame:

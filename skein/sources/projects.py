@@ -6,7 +6,6 @@ of one project); what they declare becomes tables.
 
 from __future__ import annotations
 
-import itertools
 import os
 from pathlib import Path
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.edn import Name, parse, values_after
 from skein.operators.merge import first_of
-from skein.plans.session import ensure_checkpoints
+from skein.plans.session import scratch
 
 DEPS = "parent string, ord int, lib string, kind string, location string, ref string, deps_root string"
 COORDS = "ord int, group string, artifact string, version string"
@@ -94,19 +93,23 @@ def dependency_rows(parent: str, text: str) -> list[tuple]:
 def walk_dependencies(edges: DataFrame, root: str, parent: str = "parent", lib: str = "lib", order: str = "ord") -> DataFrame:
     """(lib, depth, place): all libraries reached, each as first met in breadth-first order.
 
-    A level is one join; libraries met before are left out at once, so cycles end.
+    A level is one join, written once; libraries met before are left out at once, so cycles end.
     """
-    ensure_checkpoints(edges.sparkSession)
+    spark = edges.sparkSession
+    path = scratch(spark, "walk")
     steps = edges.select(F.col(parent).alias("_from"), F.col(lib).alias("_to"), F.col(order).alias("_ord"))
     level = steps.where(F.col("_from") == root).select(F.col("_to").alias("lib"), F.lit(1).alias("depth"), F.array(F.col("_ord").cast("long")).alias("place"))
-    found = level = first_of(level, ["lib"], [F.col("place")])
-    for depth in itertools.count(2):
-        after = level.withColumnRenamed("lib", "_from").join(steps, "_from").select(F.col("_to").alias("lib"), F.lit(depth).alias("depth"), F.concat("place", F.array(F.col("_ord").cast("long"))).alias("place"))
-        level = first_of(after.join(found.select("lib"), "lib", "left_anti"), ["lib"], [F.col("place")]).checkpoint()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level).checkpoint()
-    return found
+    schema = level.schema
+    depth = 1
+    while True:
+        first_of(level, ["lib"], [F.col("place")]).write.mode("append").parquet(path)
+        found = spark.read.schema(schema).parquet(path)
+        last = found.where(F.col("depth") == depth)
+        if last.isEmpty():
+            return found
+        depth += 1
+        after = last.withColumnRenamed("lib", "_from").join(steps, "_from").select(F.col("_to").alias("lib"), F.lit(depth).alias("depth"), F.concat("place", F.array(F.col("_ord").cast("long"))).alias("place"))
+        level = after.join(found.select("lib"), "lib", "left_anti")
 
 
 def newest_classpath(folder: Path) -> str | None:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.functions.cursor import apply_edits
-from skein.operators.merge import remove_files
+from skein.operators.merge import remove_files, unused_name
+from skein.plans.session import ship
 
 DEBOUNCE_MS = 300
 EVENT = "uri string, kind string, version int, text string, edits array<struct<line:int,ch:int,to_line:int,to_ch:int,text:string>>"
@@ -31,6 +34,7 @@ def _apply(uri: str, events: pd.DataFrame, version: int, text: str | None) -> tu
 
 def documents(events: DataFrame) -> DataFrame:
     """Each document after each batch of its events: opened, edited in order of version, closed."""
+    ship(events.sparkSession)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         version, text = state.get if state.exists else (-1, None)
@@ -47,6 +51,7 @@ def documents(events: DataFrame) -> DataFrame:
 
 def debounced(changes: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
     """(uri, version): versions that no later one followed within the gap, by processing-time timers."""
+    ship(changes.sparkSession)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -65,38 +70,84 @@ def debounced(changes: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
 
 def settled(events: DataFrame, keys: list[str], ts: str, order: str, gap: Column) -> DataFrame:
     """The same rule over recorded events: those that no later event of the key follows within the gap."""
-    after = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts, order))
-    return events.withColumn("_next", after).where(F.col("_next").isNull() | (F.col("_next") > F.col(ts) + gap)).drop("_next")
+    after = unused_name(events, "_next")
+    marked = events.withColumn(after, F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts, order)))
+    return marked.where(F.col(after).isNull() | (F.col(after) > F.col(ts) + gap)).drop(after)
 
 
 class FileTable:
-    """Rows by file, replaced a batch at a time: each batch writes the next version, readers see whole ones."""
+    """Rows by file in buckets of a hash, replaced a batch at a time.
+
+    A batch writes new versions of the buckets that its files fall in and then one small commit, which names the
+    version of each bucket; readers follow the newest commit and see whole batches. A batch that is played again
+    finds its commit and changes nothing, and of two writers of one commit the second fails. Versions that the last
+    two commits no longer name are removed.
+    """
+
+    BUCKETS = 64
 
     def __init__(self, path: str, file: str = "file"):
         self.path, self.file = path.rstrip("/"), file
 
-    def _version(self, df: DataFrame) -> int:
-        spark = df.sparkSession
-        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max((int(n[1:]) for n in done if n.startswith("v")), default=0)
+    def _fs(self, spark: SparkSession):
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path
+        return hadoop, path, path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def read(self, like: DataFrame) -> DataFrame:
-        version = self._version(like)
-        return like.sparkSession.read.schema(like.schema).parquet(f"{self.path}/v{version}") if version else like.limit(0)
+    def _commits(self, spark: SparkSession) -> list[str]:
+        _, path, fs = self._fs(spark)
+        folder = path(f"{self.path}/commits")
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _state(self, spark: SparkSession, commit: str) -> dict:
+        _, path, fs = self._fs(spark)
+        stream = fs.open(path(f"{self.path}/commits/{commit}"))
+        text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        stream.close()
+        return json.loads(text)
 
-    def replace(self, rows: DataFrame, deleted: DataFrame | None = None) -> None:
-        """The rows' files, and those deleted, give way to the rows."""
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.file), F.lit(self.BUCKETS)).cast("int")
+
+    def _folders(self, versions: dict[str, str]) -> list[str]:
+        return [f"{self.path}/rows/{version}/_bucket={bucket}" for bucket, version in versions.items()]
+
+    def read(self, like: DataFrame) -> DataFrame:
+        spark = like.sparkSession
+        commits = self._commits(spark)
+        folders = self._folders(self._state(spark, commits[-1])["versions"]) if commits else []
+        return spark.read.schema(like.schema).parquet(*folders) if folders else like.limit(0)
+
+    def replace(self, rows: DataFrame, deleted: DataFrame | None = None, batch: int | None = None) -> None:
+        """The rows' files, and those deleted, give way to the rows. ``batch`` is the number of a stream's batch."""
+        spark = rows.sparkSession
+        commits = self._commits(spark)
+        before = self._state(spark, commits[-1]) if commits else {"versions": {}, "batch": -1}
+        if batch is not None and batch <= before["batch"]:
+            return
         rows = rows.persist()
-        files = rows.select(self.file).distinct()
-        files = files if deleted is None else files.unionByName(deleted.select(self.file))
-        rest = remove_files(self.read(rows), files, self.file)
-        rest.unionByName(rows).write.parquet(f"{self.path}/v{self._version(rows) + 1}")
+        files = rows.select(self.file)
+        files = (files if deleted is None else files.unionByName(deleted.select(self.file))).distinct().withColumn("_bucket", self._bucket())
+        touched = sorted(r["_bucket"] for r in files.select("_bucket").distinct().collect())  # at most BUCKETS numbers
+        old = {str(b): before["versions"][str(b)] for b in touched if str(b) in before["versions"]}
+        rest = remove_files(spark.read.schema(rows.schema).parquet(*self._folders(old)), files, self.file) if old else rows.limit(0)
+        version = f"v{len(commits) + 1:09d}-{uuid.uuid4().hex[:8]}"
+        every = rest.unionByName(rows).withColumn("_bucket", self._bucket())
+        every.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/rows/{version}")
         rows.unpersist()
+        _, path, fs = self._fs(spark)
+        made = {str(b) for b in touched if fs.exists(path(f"{self.path}/rows/{version}/_bucket={b}"))}
+        versions = {b: v for b, v in before["versions"].items() if int(b) not in touched} | dict.fromkeys(sorted(made), version)
+        last = before["batch"] if batch is None else batch
+        stream = fs.create(path(f"{self.path}/commits/{len(commits) + 1:09d}.json"), False)  # fails if another writer was first
+        stream.write(bytearray(json.dumps({"versions": versions, "batch": last}).encode()))
+        stream.close()
+        named = set(versions.values()) | set(before["versions"].values())
+        for status in fs.listStatus(path(f"{self.path}/rows")):
+            name = status.getPath().getName()
+            if name not in named and name < version:
+                fs.delete(status.getPath(), True)
 
     def sink(self, stream: DataFrame, checkpoint: str):
         """A streaming query that keeps this table current."""
-        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: self.replace(batch)).start()
+        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, batch: self.replace(rows, batch=batch)).start()
