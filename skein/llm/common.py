@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import io
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +11,11 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.plans import session
+from skein.plans.session import cut, drop, table
+
+__all__ = ["WordHashes", "as_bytes", "chunks", "cut", "drop", "extra", "mix", "ship", "table", "tidy", "window_hashes"]
+
 #: Text handed to one vectorised step inside a Python worker, in bytes.
 CHUNK_BYTES = 2_000_000
 
@@ -27,8 +25,6 @@ BATCHES = (
     ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608", "67108864"),
 )
 
-_shipped: set[str] = set()
-
 try:
     _libc = ctypes.CDLL("libc.so.6")
     _libc.malloc_trim.argtypes = [ctypes.c_size_t]
@@ -36,11 +32,6 @@ except (OSError, AttributeError):  # another C library: freed memory stays with
     _libc = None
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table. Only Spark's reader opens the path, so any store works."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, and keep Arrow batches small.
 
@@ -49,61 +40,7 @@ def ship(spark: SparkSession) -> None:
     for setting, value, default in BATCHES:
         if spark.conf.get(setting, default) == default:
             spark.conf.set(setting, value)
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as archive:
-        for path in sorted(root.rglob("*.py")):
-            archive.write(path, str(path.relative_to(root.parent)))
-    folder = tempfile.mkdtemp(prefix="skein-ship-")
-    target = os.path.join(folder, f"skein_{context.applicationId.replace('-', '_')}.zip")
-    Path(target).write_bytes(buffer.getvalue())
-    context.addPyFile(target)
-    _shipped.add(context.applicationId)
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables.
-
-    ``spark.checkpoint.dir`` decides; a folder of this machine is used only
-    where that setting is absent, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), f"skein-checkpoints-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here.
-
-    The folder is removed when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/skein-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a written table; a session that is gone leaves nothing to do."""
-    context = spark.sparkContext
-    if context._jsc is None:
-        return
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Remove the written table that ``cut`` made, when no plan reads it any more."""
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/skein-" in folder:
-            discard(df.sparkSession, folder)
+    session.ship(spark)
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

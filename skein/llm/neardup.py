@@ -25,6 +25,7 @@ rows that repeat an id are one document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ from skein.llm import common
 
 WIDTH = 5
 SEED = 20_240_601
+STEP = 1.05  # sizes of sets that are a step apart meet under keys of their own
 OP2_PERCENT = 85  # the similarity of op2's contract; the operator's own default is 80
 # From this similarity on (percent): bands, rows of a band, least share of equal minima.
 BANDINGS = {85: (24, 6, 0.70), 80: (30, 5, 0.62)}
@@ -201,18 +203,36 @@ def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def placed_by_size(prefix: DataFrame, percent: int) -> DataFrame:
+    """Prefix shingles by the sizes of node and partner (steps of ``STEP``), where they come early enough for such a partner.
+
+    Seen from the first shingle that two similar sets share, at most ``rest`` of either are left, and these must
+    hold ``percent`` of the union: a partner of nearly the same size must be met within the first shingles.
+    """
+    step = math.log(STEP)
+    own = F.floor(F.log("n") / step)
+    sizes = F.sequence(F.floor(F.log(F.col("n") * percent / 100) / step), F.floor(F.log(F.col("n") * 100 / percent) / step))
+    each = prefix.withColumn("own", own).withColumn("other", F.explode(sizes))
+    least = F.greatest(F.floor(F.pow(F.lit(STEP), F.col("other"))) - 1, F.floor(F.col("n") * percent / 100), F.lit(1))
+    early = each.where((100 + percent) * F.col("rest") >= percent * (F.col("n") + least))
+    return early.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
+
+
 def across(prefix: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b) for each prefix shingle that two nodes of different components share.
+    """Rows (a, b) for each prefix shingle that two nodes of different components and fitting sizes share.
 
     Components meet first and only those that differ bring their nodes, so
     members of one class never meet each other here.
     """
-    owner = prefix.select("token", "component").distinct()
-    meet = owner.withColumnRenamed("component", "ca").join(owner.withColumnRenamed("component", "cb"), "token").where("ca < cb")
-    side = lambda k: prefix.select("token", F.col("component").alias(f"c{k}"), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"))
-    # Seen from their first common shingle, at most ``rest`` shingles of either set are left to share.
-    enough = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
-    met = meet.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(enough)
+    placed = common.cut(placed_by_size(prefix, percent), "by-size")
+    key = ["token", "lo", "hi"]
+    owner = placed.groupBy(*key, "own", "component").agg(F.max("rest").alias("most"), F.min("n").alias("small"))
+    enough = lambda resta, restb, na, nb: (100 + percent) * F.least(resta, restb) >= percent * (F.col(na) + F.col(nb))
+    side = lambda k, own: owner.where(F.col("own") == F.col(own)).select(*key, F.col("component").alias(f"c{k}"), F.col("most").alias(f"most{k}"), F.col("small").alias(f"small{k}"))
+    differ = F.when(F.col("lo") == F.col("hi"), F.col("ca") < F.col("cb")).otherwise(F.col("ca") != F.col("cb"))
+    meet = side("a", "lo").join(side("b", "hi"), key).where(differ & enough("mosta", "mostb", "smalla", "smallb")).select(*key, "ca", "cb")
+    node = lambda k, own: placed.where(F.col("own") == F.col(own)).select(*key, F.col("component").alias(f"c{k}"), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"))
+    met = meet.join(node("a", "lo"), [*key, "ca"]).join(node("b", "hi"), [*key, "cb"]).where(enough("resta", "restb", "na", "nb"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
