@@ -1,19 +1,26 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-A page's containers (by their path of tags and classes) and the text inside
-each are its tokens. A token's occurrence vector over the pages of one host is
-kept as a pair of random sums, so tokens of equal vectors are one equivalence
-class without bringing a host's pages together. The class that occurs exactly
-once on every page is the host's template; its containers nest by their paths.
-Text that a container repeats on most of its pages belongs to the template too
-(menus, notices, footers) and goes where it stands, not what lies in containers
-inside; all containers with varying text are slots, and all slots are extracted.
-An article or main element is judged as one container; where one varies, it is
-the slot of its pages. Pages of equal text count once. Hosts with one page take
-the template of all pages.
-
-Elements that never hold an article (navigation, forms, scripts, adverts, reader
-comments, by element or by class) are left out everywhere.
+A page's tokens are its containers (by their path of tags and classes) and the
+texts in each. A token's occurrence vector says how often each page of the host
+holds it; it is kept as two random sums (exclusive or of hashes of page and
+count), so tokens of equal vectors form an equivalence class without bringing
+a host's pages together. A class is frequent from ``LEAST`` pages and
+``SHARE`` of the host's pages on, and part of the template if it has a
+container. Its texts are the template's if they stand in one order in their
+container on every page; containers nest by their paths. What the template
+leaves open are slots: each text belongs to the innermost container of the
+template around it.
+
+Slots of links are menus and go. The region of the article is found by going
+down the template from its root as long as one container holds ``DOMINANT`` of
+the slots' text. All other slots stay, except where element and class names
+(navigation, adverts, forms, reader comments …) say that a small slot is no
+article: names only break this tie, and none of them counts around the region.
+An ``article`` or ``main`` element is judged as one text. Pages of equal text
+count once. Hosts with fewer than ``LEAST`` pages take the containers that are
+frequent on all pages as their template.
+
+A host's row holds at most ``1 / SHARE`` times the tokens of its average page.
 
 Defined results: a null or empty page, or one without an article, has an empty
 text; unclosed or stray tags are tolerated; repeated rows are reported each; a
@@ -33,21 +40,25 @@ from pyspark.sql import functions as F
 
 from skein.llm import common
 
-ANY_HOST = "*"
-STATIC_SHARE = 0.6  # a container's text is the template's from this share of its pages on
-LINKED_SHARE = 0.7  # a slot of links alone is a menu
-LEAST_ALIKE = 3  # pages of different text that must share a container's text before it is the template's
+ANY_HOST = "//"  # no host is named so
+LEAST = 3  # pages of a frequent class
+SHARE = 0.2  # and its share of the host's pages
+DOMINANT = 0.8  # of a container's text in one container below: the region is there
+LINKED = 0.7  # a slot of links alone is a menu
 BROADCAST_ROWS = 50_000
+ROOT = 1  # the page itself as a container
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 _RAW = frozenset("script style noscript template title textarea iframe svg math canvas object xmp".split())
-_OUT = frozenset("head nav footer aside form button select option datalist dialog menu label fieldset input audio video figure-ad".split()) | _RAW
+_NO_TEXT = _RAW | frozenset("head select option datalist audio video".split())
 _CONTAINERS = frozenset("html body main article section div center table tbody tr td ul ol dl nav header footer aside form fieldset details".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSED_BY_NEXT = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article footer header nav aside form blockquote pre hr main".split()), "li": frozenset(["li"])}
+# Names that break ties between small slots.
+_SIDE_ELEMENTS = frozenset("nav footer aside form button dialog menu label fieldset figure-ad".split())
 _SIDE = re.compile(
     r"^(?:ads?|adv|advert\w*|advertis\w*|banner|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notices?|notification\w*|alert|"
     r"comments?\w*|disqus\w*|respond|replies|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|foot|footer|masthead|"
@@ -56,47 +67,48 @@ _SIDE = re.compile(
 _HEAD = frozenset(["header", "head", "site-header", "page-header", "topbar"])
 
 
-class Block:
-    __slots__ = ("paths", "text", "linked", "inside")
+def _hash(*parts: object) -> int:
+    """A positive 63-bit hash."""
+    return xxhash.xxh3_64_intdigest("\0".join(map(str, parts))) >> 1
 
-    def __init__(self, paths: tuple[int, ...], text: str, linked: int, inside: bool):
-        self.paths, self.text, self.linked, self.inside = paths, text, linked, inside
+
+class Node:
+    """A container of a page: its path, the one around it, how often it occurs, whether its name speaks against it."""
+
+    __slots__ = ("path", "parent", "times", "side", "article")
+
+    def __init__(self, path: int, parent: int, side: bool, article: int):
+        self.path, self.parent, self.times, self.side, self.article = path, parent, 0, side, article
 
 
 class Page:
-    """Blocks of a page's text, each with the hashes of the containers around it; what never holds an article is gone."""
+    """Containers and blocks of text of a page, in order; time and memory grow with the source only."""
 
     def __init__(self, source: str | None):
-        self.blocks: list[Block] = []
-        self.articles: set[int] = set()  # containers that are article or main elements
-        self.seen: dict[int, int] = {}  # how often each container occurs
-        # Open elements: tag, hash of the path (0 if no container), left out?
-        self.stack: list[tuple[str, int, bool, str]] = []
+        self.nodes: dict[int, Node] = {ROOT: Node(ROOT, 0, False, 0)}
+        self.nodes[ROOT].times = 1
+        self.blocks: list[tuple[int, str, int]] = []  # path of the nearest container, text, characters in links
+        # Open elements: name, path of the nearest container, text left out?
+        self.stack: list[tuple[str, int, bool]] = []
+        self.open_at: dict[str, list[int]] = {}
+        self.block_at: list[int] = []  # open elements that are no inline ones
         self.pieces: list[str] = []
-        self.linked = self.links = 0
+        self.linked = 0
         self._read(source or "")
 
-    def judged(self) -> dict[int, tuple[int, list[str], int]]:
-        """Of each container with text: the hash of it with that text, its texts, characters in links.
-
-        A block belongs to the outermost article around it, else to the nearest container.
-        """
-        own: dict[int, list] = {}
-        for block in self.blocks:
-            if block.paths:
-                slot = own.setdefault(self.holder(block), [[], 0])
-                slot[0].append(block.text)
-                slot[1] += block.linked
-        return {path: (xxhash.xxh3_64_intdigest(f"{path}\n" + "\n".join(texts)) >> 1, texts, linked) for path, (texts, linked) in own.items()}
-
-    def holder(self, block: Block) -> int:
-        return next((p for p in block.paths if p in self.articles), block.paths[-1])
+    def keyed(self) -> list[tuple[int, int]]:
+        """Of each block its holder (the outermost article around it, else its container) and its text's token."""
+        whole: dict[int, list[str]] = {}
+        for path, text, _ in self.blocks:
+            if self.nodes[path].article:
+                whole.setdefault(self.nodes[path].article, []).append(text)
+        key = {path: _hash("article", path, *texts) for path, texts in whole.items()}
+        return [(a, key[a]) if (a := self.nodes[path].article) else (path, _hash("text", path, text)) for path, text, _ in self.blocks]
 
     def _flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            paths = tuple(h for _, h, _, _ in self.stack if h)
-            self.blocks.append(Block(paths, text, self.linked, any(h in self.articles for h in paths)))
+            self.blocks.append((self.stack[-1][1] if self.stack else ROOT, text, self.linked))
         self.pieces.clear()
         self.linked = 0
 
@@ -104,7 +116,7 @@ class Page:
         if raw and not (self.stack and self.stack[-1][2]):
             text = html.unescape(raw)
             self.pieces.append(text)
-            if self.links:
+            if self.open_at.get("a"):
                 self.linked += len(text.strip())
 
     def _read(self, source: str) -> None:
@@ -131,39 +143,49 @@ class Page:
             if name in ("br", "hr"):
                 self.pieces.append(" ")
             return
-        if self.stack and name in _CLOSED_BY_NEXT.get(self._block_element(), ()):
-            self._close(self._block_element())
-        if name not in _INLINE:
+        around = self.stack[self.block_at[-1]][0] if self.block_at else ""
+        if name in _CLOSED_BY_NEXT.get(around, ()):
+            self._close(around)
+        inline = name in _INLINE
+        if not inline:
             self._flush()
         known = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
         words = [w.lower() for k in ("class", "id", "role") for w in known.get(k, "").split()]
-        inside = any(h in self.articles for _, h, _, _ in self.stack)
-        out = (bool(self.stack) and self.stack[-1][2]) or name in _OUT or any(map(_SIDE.match, words))
-        out = out or (not inside and (name == "header" or any(w in _HEAD for w in words)))
-        key, path = 0, self.stack[-1][3] if self.stack else ""
-        if name in _CONTAINERS:
-            path = f"{path}/{name}" + "".join(f".{w}" for w in sorted(set(known.get("class", "").lower().split())))
-            key = xxhash.xxh3_64_intdigest(path) >> 1 or 1
-            self.seen[key] = self.seen.get(key, 0) + 1
-            if not out and (name in ("article", "main") or "main" in known.get("role", "").lower().split()):
-                self.articles.add(key)
-        if name == "a":
-            self.links += 1
-        self.stack.append((name, key, out, path))
-
-    def _block_element(self) -> str:
-        return next((t for t, _, _, _ in reversed(self.stack) if t not in _INLINE), "")
+        _, path, out = self.stack[-1] if self.stack else ("", ROOT, False)
+        side = name in _SIDE_ELEMENTS or any(map(_SIDE.match, words))
+        side = side or (not self.nodes[path].article and (name == "header" or any(w in _HEAD for w in words)))
+        out = out or name in _NO_TEXT or (inline and side)
+        if not inline and not out and (name in _CONTAINERS or side):
+            path = self._enter(name, path, side, known, words)
+        self.open_at.setdefault(name, []).append(len(self.stack))
+        if not inline:
+            self.block_at.append(len(self.stack))
+        self.stack.append((name, path, out))
+
+    def _enter(self, name: str, around: int, side: bool, known: dict[str, str], words: list[str]) -> int:
+        path = _hash(around, name, side, *sorted(set(known.get("class", "").lower().split())))
+        if path not in self.nodes:
+            article = self.nodes[around].article
+            if not article and not side and (name in ("article", "main") or "main" in known.get("role", "").lower().split()):
+                article = path
+            self.nodes[path] = Node(path, around, side, article)
+        self.nodes[path].times += 1
+        return path
 
     def _close(self, name: str) -> None:
-        place = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == name), None)
-        if place is None:
+        if not self.open_at.get(name):
             return
-        if name in _INLINE and any(t not in _INLINE for t, _, _, _ in self.stack[place:]):
+        place = self.open_at[name][-1]
+        block = self.block_at[-1] if self.block_at else -1
+        if name in _INLINE and block > place:
             return  # a stray inline end does not close blocks
-        if any(t not in _INLINE for t, _, _, _ in self.stack[place:]):
+        if block >= place:
             self._flush()
-        self.links -= sum(t == "a" for t, _, _, _ in self.stack[place:])
-        del self.stack[place:]
+        while len(self.stack) > place:
+            gone = self.stack.pop()[0]
+            self.open_at[gone].pop()
+            if self.block_at and self.block_at[-1] == len(self.stack):
+                self.block_at.pop()
 
 
 def host_of(url: str | None) -> str:
@@ -171,96 +193,192 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-_TOKENS = pa.list_(pa.struct([(c, pa.int64()) for c in ("path", "own", "once", "chars", "below", "linked", "article")]))
+def _structs(**fields: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct(list(fields.items())))
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page its host, a digest of its text and its containers with their text."""
-    for batch in batches:
-        hosts, digests, tokens = [], [], []
-        for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = Page(source)
-            own = page.judged()
-            below: dict[int, int] = {}
-            for block in page.blocks:
-                for path in set(block.paths):
-                    below[path] = below.get(path, 0) + len(block.text)
-            hosts.append(host_of(url))
-            shape = sorted(page.seen.items())
-            digests.append(xxhash.xxh3_128_digest(repr((shape, [(b.paths, b.text) for b in page.blocks]))))
-            rows = [{"path": 0, "own": 0, "once": 0, "chars": 0, "below": 0, "linked": 0, "article": 0}]  # the page itself: its count is the vector of ones
-            for path, times in shape:
-                key, texts, linked = own.get(path, (0, [], 0))
-                chars = sum(map(len, texts))
-                rows.append({"path": path, "own": key, "once": int(times == 1), "chars": chars, "below": below.get(path, 0), "linked": linked, "article": int(path in page.articles)})
-            tokens.append(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(tokens, _TOKENS)], ["host", "digest", "tokens"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """One row per host: its pages, what is fixed (containers of links, texts in their container), its slots and articles."""
-    kind = "array<struct<path:long,own:long,once:long,chars:long,below:long,linked:long,article:long>>"
-    read = pages.select("url", "html").mapInArrow(_tokens, f"host string, digest binary, tokens {kind}")
-    # Copies of a page say nothing about its template.
-    single = read.dropDuplicates(["host", "digest"]).select("host", F.explode("tokens").alias("t")).select("host", "t.*")
-    sums = lambda: [F.count(F.lit(1)).alias("pages"), *[F.sum(c).alias(c) for c in ("once", "chars", "below", "linked", "article")]]
-    texts = single.groupBy("host", "path", "own").agg(*sums())
-    # Over all hosts only the structure counts; texts of one host say nothing there.
-    total = [F.sum(c).alias(c) for c in ("pages", "once", "chars", "below", "linked", "article")]
-    everywhere = texts.groupBy("path").agg(*total).select(F.lit(ANY_HOST).alias("host"), "path", F.lit(0).cast("long").alias("own"), "pages", "once", "chars", "below", "linked", "article")
-    paths = texts.unionByName(everywhere).groupBy("host", "path").agg(
-        F.sum("pages").alias("on"), *total[1:], F.max(F.when(F.col("own") != 0, F.struct("pages", "own"))).alias("alike")
-    )
-    ones = paths.where("path = 0").select("host", F.col("on").alias("n"))
-    # Occurrence vector of ones: on every page of the host, once on each. Its class is the template.
-    rooted = paths.where("path <> 0").join(ones, "host").withColumn("template", (F.col("on") == F.col("n")) & (F.col("once") == F.col("n")))
-    static = F.coalesce((F.col("alike.pages") >= LEAST_ALIKE) & (F.col("alike.pages") >= STATIC_SHARE * F.col("on")), F.lit(False))
-    linked = (F.col("chars") > 0) & (F.col("linked") >= LINKED_SHARE * F.col("chars")) & (F.col("article") == 0)
-    fixed = F.when(linked, F.col("path")).when(static, F.col("alike.own"))
-    # Where all that a container and those inside it hold is one text, or links, it is no slot.
-    varies = (F.col("below") > 0) & ~linked & ~(static & (F.col("alike.pages") == F.col("on")) & (F.col("below") == F.col("chars")))
-    return rooted.groupBy("host").agg(
-        F.max("n").alias("n"),
-        F.collect_list(fixed).alias("fixed"),
-        F.collect_list(F.when(varies & F.col("template"), F.col("path"))).alias("slots"),
-        F.collect_list(F.when(varies & (F.col("article") > 0), F.col("path"))).alias("articles"),
+_NODES = _structs(path=pa.int64(), parent=pa.int64(), times=pa.int32(), side=pa.bool_())
+_BLOCKS = _structs(path=pa.int64(), holder=pa.int64(), key=pa.int64(), text=pa.string(), linked=pa.int32())
+_TEXTS = _structs(token=pa.int64(), parent=pa.int64(), times=pa.int32())
+READ = (
+    "page_id long, url string, host string, digest binary, nodes array<struct<path:long,parent:long,times:int,side:boolean>>, "
+    "texts array<struct<token:long,parent:long,times:int>>, blocks array<struct<path:long,holder:long,key:long,text:string,linked:int>>"
+)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one reading of a page: its containers, its text tokens and its blocks."""
+    for whole in batches:
+        for batch in common.chunks(whole, "html"):
+            hosts, digests, nodes, texts, blocks = [], [], [], [], []
+            for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                page = Page(source)
+                keyed = page.keyed()
+                hosts.append(host_of(url))
+                digests.append(xxhash.xxh3_128_digest(repr(([(n.path, n.times) for n in page.nodes.values()], page.blocks))))
+                nodes.append([{"path": n.path, "parent": n.parent, "times": n.times, "side": n.side} for n in page.nodes.values()])
+                times: dict[tuple[int, int], int] = {}
+                for pair in keyed if page.blocks else ():
+                    times[pair] = times.get(pair, 0) + 1
+                texts.append([{"token": key, "parent": holder, "times": n} for (holder, key), n in times.items()])
+                blocks.append([{"path": p, "holder": h, "key": k, "text": t, "linked": n} for (p, t, n), (h, k) in zip(page.blocks, keyed, strict=True)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(nodes, _NODES), pa.array(texts, _TEXTS), pa.array(blocks, _BLOCKS)],
+                ["page_id", "url", "host", "digest", "nodes", "texts", "blocks"],
+            )
+    common.tidy()
+
+
+def classes(pages: DataFrame) -> DataFrame:
+    """One row per host: ``tags`` (container, the one around it, side) and ``texts`` of its frequent classes, with the class of each.
+
+    ``pages`` are distinct (host, digest). Only hosts of ``LEAST`` pages and the row of all hosts come out.
+    """
+    tag = pages.select("host", "digest", F.explode("nodes").alias("t")).select("host", "digest", F.col("t.path").alias("token"), F.col("t.parent").alias("parent"), "t.times", F.lit(False).alias("is_text"), "t.side")
+    text = pages.select("host", "digest", F.explode("texts").alias("t")).select("host", "digest", "t.token", "t.parent", "t.times", F.lit(True).alias("is_text"), F.lit(False).alias("side"))
+    vector = [F.bit_xor(F.xxhash64(F.lit(k), "host", "digest", "times")).alias(f"v{k}") for k in (1, 2)]
+    own = tag.unionByName(text).groupBy("host", "token").agg(*vector, F.count(F.lit(1)).alias("support"), F.max("parent").alias("parent"), F.bool_or("is_text").alias("is_text"), F.bool_or("side").alias("side"))
+    # Over all hosts only containers count: a text of one host says nothing there. Sums of vectors are vectors.
+    every = own.where("not is_text").groupBy("token").agg(F.bit_xor("v1").alias("v1"), F.bit_xor("v2").alias("v2"), F.sum("support").alias("support"), F.max("parent").alias("parent"), F.lit(False).alias("is_text"), F.bool_or("side").alias("side"))
+    tokens = own.unionByName(every.select(F.lit(ANY_HOST).alias("host"), "token", "v1", "v2", "support", "parent", "is_text", "side"))
+    sizes = tokens.where(F.col("token") == ROOT).select("host", F.col("support").alias("n")).where((F.col("n") >= LEAST) | (F.col("host") == ANY_HOST))
+    frequent = tokens.join(sizes, "host").where((F.col("support") >= SHARE * F.col("n")) & ((F.col("support") >= LEAST) | (F.col("n") < LEAST)))
+    member = F.struct("token", "parent", "is_text", "side")
+    classed = frequent.groupBy("host", "v1", "v2").agg(F.collect_list(member).alias("members"), F.bool_and("is_text").alias("bare")).where("not bare")
+    each = classed.select("host", F.col("v1").alias("class"), F.explode("members").alias("m")).select("host", "class", "m.*")
+    return each.groupBy("host").agg(
+        F.collect_list(F.when(~F.col("is_text"), F.struct("token", "parent", "side"))).alias("tags"),
+        F.collect_list(F.when(F.col("is_text"), F.struct("token", "class", F.col("parent").alias("holder")))).alias("texts"),
     )
 
 
-def main_text(source: str | None, fixed: frozenset[int], slots: frozenset[int], articles: frozenset[int] = frozenset()) -> str:
-    """Blocks of the page that stand in a slot and are not the template's, in order, joined by one space."""
-    page = Page(source)
-    gone = {path for path, (key, _, _) in page.judged().items() if key in fixed or path in fixed}
-    free = [b for b in page.blocks if not b.paths or page.holder(b) not in gone]
-    for chosen in (articles, slots):  # an article that varies is the slot of its page
-        if any(p in chosen for b in free for p in b.paths):
-            return " ".join(b.text for b in free if any(p in chosen for p in b.paths))
-    return " ".join(b.text for b in free)
+def orders(blocks: list[dict], of_class: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(class, holder, order) of a page: a hash of how the class's texts follow each other in a container, in whole rounds if they do."""
+    found: dict[tuple[int, int], list[int]] = {}
+    for b in blocks:
+        if b["key"] in of_class:
+            found.setdefault((of_class[b["key"]], b["holder"]), []).append(b["key"])
+    out = []
+    for (cls, holder), keys in found.items():
+        single = list(dict.fromkeys(keys))
+        out.append((cls, holder, _hash(*(single if single * (len(keys) // len(single)) == keys else keys))))
+    return out
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for host, blocks, texts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            rows += [(host, *x) for x in orders(blocks, {t["token"]: t["class"] for t in texts or ()})]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "class", "holder", "order"])
+
+
+def slot_of(nodes: list[dict], tags: set[int]) -> dict[int, int]:
+    """Of each container of a page the innermost one of the template at or around it (containers come before those inside)."""
+    slot = {0: ROOT}
+    for n in nodes:
+        slot[n["path"]] = n["path"] if n["path"] in tags else slot[n["parent"]]
+    return slot
+
+
+def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text that the template leaves open, by slot: characters, and those in links."""
+    for batch in batches:
+        mass: dict[tuple[str, int], list[int]] = {}
+        for key, nodes, blocks, tags, fixed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            slot, gone = slot_of(nodes, {t["token"] for t in tags or ()}), set(fixed or ())
+            for b in blocks:
+                if b["key"] not in gone:
+                    own = mass.setdefault((key, slot[b["path"]]), [0, 0])
+                    own[0] += len(b["text"])
+                    own[1] += b["linked"]
+        keys, sums = list(mass), list(mass.values())
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int64()), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64())], ["host", "slot", "chars", "linked"])
+
+
+def region_of(tags: list[dict], slots: list[dict]) -> tuple[list[int], list[int]]:
+    """(containers from the root down to the region of the article, menus)."""
+    parent = {t["token"]: t["parent"] for t in tags}
+    menus = {s["slot"] for s in slots if s["chars"] and s["linked"] >= LINKED * s["chars"]}
+    below: dict[int, int] = {}
+    children: dict[int, set[int]] = {}
+    for s in slots:
+        path = s["slot"]
+        while s["slot"] not in menus and path:
+            below[path] = below.get(path, 0) + s["chars"]
+            children.setdefault(parent.get(path, 0), set()).add(path)
+            path = parent.get(path, 0)
+    spine, at = [], ROOT
+    while at is not None:
+        spine.append(at)
+        at = next((c for c in sorted(children.get(at, ())) if below[c] > 0 and below[c] >= DOMINANT * below[spine[-1]]), None)
+    return spine, sorted(menus - {spine[-1]})
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [region_of(tags, slots) for tags, slots in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        longs = lambda values: pa.array(values, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), longs([s for s, _ in found]), longs([m for _, m in found])], ["host", "spine", "menus"])
+
+
+def main_text(nodes: list[dict], blocks: list[dict], tags: set[int], fixed: set[int], spine: set[int], menus: set[int], hints: bool = True) -> str:
+    """Blocks that stand in a slot of the article and are not the template's, in order, joined by one space."""
+    slot = slot_of(nodes, tags)
+    side = {0: False}
+    for n in nodes:  # names around the region do not count
+        side[n["path"]] = hints and n["path"] not in spine and (n["side"] or side[n["parent"]])
+    return " ".join(b["text"] for b in blocks if b["key"] not in fixed and slot[b["path"]] not in menus and not side[b["path"]])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        chosen = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)
-        texts = [main_text(source, *(frozenset(x or ()) for x in sets)) for source, *sets in chosen]
+        texts = []
+        for nodes, blocks, tags, *sets in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
+            texts.append(main_text(nodes, blocks, {t["token"] for t in tags or ()}, *(set(s or ()) for s in sets)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
+def _small(table: DataFrame, *arrays: str) -> DataFrame:
+    """The table, marked for broadcast if its checked size allows."""
+    weight = table.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in arrays]).first()
+    return F.broadcast(table) if sum(weight) <= BROADCAST_ROWS else table
+
+
+def templates(read: DataFrame) -> DataFrame:
+    """One row per host: tags and fixed texts of its template, the spine of containers down to its region, its menus."""
+    single = read.dropDuplicates(["host", "digest"])  # copies of a page say nothing about its template
+    found = common.cut(classes(single), "classes")
+    texts = _small(found.where("size(texts) > 0").select("host", "texts"), "texts")
+    order = single.select("host", "blocks").join(texts, "host").mapInArrow(_orders, "host string, class long, holder long, order long")
+    order = order.groupBy("host", "class", "holder").agg((F.min("order") == F.max("order")).alias("ordered"))
+    # A class's texts hang together in each container: those out of order leave the template.
+    loose = order.where("not ordered").select("host", "class", "holder")
+    fixed = found.select("host", F.explode("texts").alias("t")).select("host", "t.*").join(loose, ["host", "class", "holder"], "left_anti")
+    template = found.select("host", "tags").join(fixed.groupBy("host").agg(F.collect_list("token").alias("fixed")), "host", "left")
+    template = common.cut(template, "template")
+    small = _small(template, "tags", "fixed")
+    mass = keyed(single, template).select("key", "nodes", "blocks").join(small.withColumnRenamed("host", "key"), "key").mapInArrow(_masses, "host string, slot long, chars long, linked long")
+    slots = mass.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "linked")).alias("slots"))
+    regions = template.select("host", "tags").join(slots, "host").mapInArrow(_decide, "host string, spine array<long>, menus array<long>")
+    return common.cut(template.join(regions, "host", "left"), "regions")
+
+
+def keyed(read: DataFrame, template: DataFrame) -> DataFrame:
+    """Pages with ``key``: the host whose template they take."""
+    own = template.where(F.col("host") != ANY_HOST).select("host", F.col("host").alias("own"))
+    return read.join(own, "host", "left").withColumn("key", F.coalesce("own", F.lit(ANY_HOST))).drop("own")
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text."""
     common.extra(pages, ("page_id", "url", "html"))
     common.ship(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html")
-    found = common.cut(templates(pages), "templates")
-    parts = ("fixed", "slots", "articles")
-    everywhere = found.where(F.col("host") == ANY_HOST).select(*[F.col(c).alias(f"all_{c}") for c in parts])
-    own = found.where((F.col("host") != ANY_HOST) & (F.col("n") > 1)).select("host", *parts)
-    weight = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(F.size(c) for c in parts)), F.lit(0))).first()
-    small = max(weight) <= BROADCAST_ROWS
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)", 1), F.lit("")))
-    placed = pages.withColumn("host", host).join(F.broadcast(own) if small else own, "host", "left")
-    placed = placed.join(F.broadcast(everywhere), F.lit(True), "left")  # one row
-    chosen = placed.select("page_id", "url", "html", *[F.coalesce(c, f"all_{c}").alias(c) for c in parts])
-    return chosen.mapInArrow(_extract, "page_id long, url string, text string")
+    read = common.cut(pages.select("page_id", "url", "html").mapInArrow(_read, READ), "pages")
+    found = templates(read)
+    chosen = keyed(read, found).join(_small(found, "tags", "fixed", "spine", "menus").withColumnRenamed("host", "key"), "key", "left")
+    return chosen.select("page_id", "url", "nodes", "blocks", "tags", "fixed", "spine", "menus").mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
