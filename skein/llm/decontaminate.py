@@ -1,27 +1,30 @@
 """Benchmark decontamination with a positional inverted index.
 
 Training documents are indexed in segments: for each segment of the corpus and
-each test term, the sorted positions of that term. The segments are written
-once to the shared folder. A test window (ten consecutive words of an item) is
-looked up from its rarest term (by its frequency in the whole corpus): the
-lists, shifted by each term's offset, are intersected from the rarest to the
-most frequent. That gives exact phrase matches; the same lists with a slop
-give proximity matches. Postings stay with their segment, so no term's list is
-ever gathered in one task, however frequent the term.
+each term in it, the sorted positions of that term. The index holds every term,
+is written once to the shared folder and serves every block of test items. A
+test window (ten consecutive words of an item) is looked up from its rarest
+term (by its frequency in the whole corpus): the lists, shifted by each term's
+offset, are intersected from the rarest to the most frequent. That gives exact
+phrase matches; the same lists with a slop give proximity matches. Postings
+stay with their segment, so no term's list is ever gathered in one task,
+however frequent the term, and a segment looks only at windows one of whose
+rarest terms it holds.
 
 The benchmark is taken in blocks of at most about ``BLOCK_WORDS`` words (a
 single longer item is its own bound); each block's windows, never the whole
-benchmark, go to the executors.
+benchmark, go to the executors. Blocks are put together by a document's place
+in the index, so the number of blocks changes no result. Terms are told apart
+by 64-bit hashes.
 
 Defined results: null or empty texts have no words and no hits; an item with
-fewer than ten words is one window, one without words is none; an item without
-id still marks words but is not listed; rows that repeat an id are reported
+fewer than ten words is one window, one without words is none; all items
+without id count as one, named null; rows that repeat an id are reported
 each; an empty benchmark marks nothing.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +46,7 @@ _GAP = WINDOW + 2 * SLOP + 1  # between two documents of a segment: nothing matc
 _WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256))
 
 SEGMENT = "segment long, ids array<long>, lengths array<int>, terms binary, ends binary, positions binary"
-MATCH = "doc_id long, n_words long, starts array<int>, stops array<int>, items array<string>, near_items array<string>"
+MATCH = "segment long, place int, doc_id long, n_words long, starts array<int>, stops array<int>, items array<string>, near_items array<string>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -51,21 +54,20 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some items, by length, with the items that hold each."""
+    """The distinct windows of some items, by length, as term hashes, with the items that hold each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
         self.names: list[str | None] = []
-        self.vocabulary: dict[bytes, int] = {}
+        hashes = common.WordHashes()
         found: dict[tuple[int, ...], set[int]] = {}
         number: dict[str | None, int] = {}
         for name, text in items:
-            words = words_of((text or "").encode())
-            if not words:
+            ids = list(map(hashes.__getitem__, words_of((text or "").encode())))
+            if not ids:
                 continue
             if name not in number:
                 number[name] = len(self.names)
                 self.names.append(name)
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             width = min(WINDOW, len(ids))
             for k in range(len(ids) - width + 1):
                 found.setdefault(tuple(ids[k : k + width]), set()).add(number[name])
@@ -73,82 +75,98 @@ class Windows:
         for width in sorted({len(w) for w in found}):
             own = [w for w in found if len(w) == width]
             held = [sorted(found[w]) for w in own]
-            self.groups.append((np.array(own, np.int64), np.concatenate([[0], np.cumsum(list(map(len, held)))]), np.array([x for h in held for x in h], np.int64)))
+            self.groups.append((np.array(own, np.uint64), np.concatenate([[0], np.cumsum(list(map(len, held)))]), np.array([x for h in held for x in h], np.int64)))
+        self.terms = np.unique(np.concatenate([w.reshape(-1) for w, _, _ in self.groups])) if found else np.empty(0, np.uint64)
 
     def order(self, frequency: np.ndarray) -> list[np.ndarray]:
-        """For each group, each window's offsets from the rarest term on."""
-        return [np.argsort(frequency[w], axis=1, kind="stable") for w, _, _ in self.groups]
+        """For each group, each window's offsets from the rarest term on; ``frequency`` follows ``terms``."""
+        return [np.argsort(frequency[np.searchsorted(self.terms, w)], axis=1, kind="stable") for w, _, _ in self.groups]
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, made = TaskContext.get().partitionId(), 0
+    hashes = common.WordHashes()
+    for whole in batches:
+        for batch in common.chunks(whole, "text", SEGMENT_BYTES):
+            docs = [hashes.of(words_of(t)) for t in common.as_bytes(batch.column(1))]
+            lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+            begins = np.cumsum(lengths + _GAP) - lengths
+            term = np.concatenate(docs)
+            place = (np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(term))).astype(np.int32)
+            by = np.argsort(term, kind="stable")
+            terms, counts = np.unique(term[by], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([(part << 33) + made], pa.int64()),
+                    pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([lengths.astype(np.int32)], pa.list_(pa.int32())),
+                    pa.array([terms.tobytes()], pa.binary()),
+                    pa.array([np.cumsum(counts).astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([place[by].tobytes()], pa.binary()),
+                ],
+                ["segment", "ids", "lengths", "terms", "ends", "positions"],
+            )
+            made += 1
+    common.tidy(hashes)
+
+
+def _frequencies(terms: np.ndarray):
+    """How often each of some terms occurs, by its place among them."""
 
-
-def _index(vocabulary: dict[bytes, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
-        look = vocabulary.get
-        for whole in batches:
-            for batch in common.chunks(whole, "text", SEGMENT_BYTES):
-                docs = [words_of(t) for t in common.as_bytes(batch.column(1))]
-                lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-                begins = np.cumsum(lengths + _GAP) - lengths
-                term = np.concatenate([np.fromiter((look(w, -1) for w in d), np.int32, len(d)) for d in docs])
-                place = np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(term))
-                known = term >= 0
-                term, place = term[known], place[known].astype(np.int32)
-                by = np.argsort(term, kind="stable")
-                terms, counts = np.unique(term, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([(part << 33) + made], pa.int64()),
-                        pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([lengths.astype(np.int32)], pa.list_(pa.int32())),
-                        pa.array([terms.astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([np.cumsum(counts).astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([place[by].tobytes()], pa.binary()),
-                    ],
-                    ["segment", "ids", "lengths", "terms", "ends", "positions"],
-                )
-                made += 1
-
-    return run
-
-
-def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for terms, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[np.frombuffer(terms, np.int32)] += np.diff(np.frombuffer(ends, np.int32), prepend=0)
+            for own, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, known = _find(np.frombuffer(own, np.uint64), terms)
+                total[known] += np.diff(np.frombuffer(ends, np.int32), prepend=0)[at[known]]
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["term", "n"])
 
     return run
 
 
+def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted value in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(wanted.shape, np.int64), np.zeros(wanted.shape, bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
+
+
 class Postings:
-    """One segment's lists; positions of a term in ascending order."""
+    """One segment's lists; a term is its place among the segment's terms (-1: not here), positions ascend."""
 
     def __init__(self, terms: bytes, ends: bytes, positions: bytes):
-        self.terms = np.frombuffer(terms, np.int32).astype(np.int64)
+        self.terms = np.frombuffer(terms, np.uint64)
         self.ends = np.frombuffer(ends, np.int32).astype(np.int64)
         self.begins = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
         self.positions = np.frombuffer(positions, np.int32).astype(np.int64)
         self.span = int(self.positions.max(initial=0)) + 4 * _GAP
-        self.keys = np.repeat(self.terms, self.ends - self.begins) * self.span + self.positions
+        self.keys = np.repeat(np.arange(len(self.terms)), self.ends - self.begins) * self.span + self.positions
+
+    def local(self, windows: np.ndarray, order: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that may have ``least`` terms here, and their terms as places."""
+        rows = np.arange(len(windows))
+        some = np.zeros(len(windows), bool)
+        for k in range(windows.shape[1] - least + 1):  # one of so many of the rarest terms is here, or too few are
+            some |= _find(self.terms, windows[rows, order[:, k]])[1]
+        rows = np.flatnonzero(some)
+        at, here = _find(self.terms, windows[rows])
+        enough = here.sum(1) >= least
+        return rows[enough], np.where(here, at, -1)[enough]
 
     def starts(self, terms: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For queries (term, offset): which query, and each position of its term less the offset."""
-        if not len(self.terms):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        counts = np.where(self.terms[at] == terms, self.ends[at] - self.begins[at], 0)
+        counts = np.where(terms >= 0, self.ends[terms] - self.begins[terms], 0)
         query = np.repeat(np.arange(len(terms)), counts)
         inner = np.arange(len(query)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return query, self.positions[np.repeat(self.begins[at], counts) + inner] - np.repeat(offsets, counts)
+        return query, self.positions[np.repeat(self.begins[terms], counts) + inner] - np.repeat(offsets, counts)
 
     def holds(self, terms: np.ndarray, positions: np.ndarray, slop: int = 0) -> np.ndarray:
         """Does the term's list have a position within ``slop`` of the one asked for?"""
         asked = terms * self.span + positions
         at = np.minimum(np.searchsorted(self.keys, asked - slop), len(self.keys) - 1)
-        return (self.keys[at] >= asked - slop) & (self.keys[at] <= asked + slop)
+        return (terms >= 0) & (self.keys[at] >= asked - slop) & (self.keys[at] <= asked + slop)
 
 
 def phrase(postings: Postings, windows: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +220,11 @@ def _search_segment(windows: Windows, order: list[np.ndarray], row: dict) -> pa.
         for search, into in ((phrase, held), (proximity, near)):
             if search is proximity and own.shape[1] < WINDOW or not len(postings.keys):
                 continue
-            window, start = search(postings, own, by)
+            number, terms = postings.local(own, by, own.shape[1] if into is held else NEAR_TERMS)
+            if not len(number):
+                continue
+            window, start = search(postings, terms, by[number])
+            window = number[window]
             if into is held:
                 np.add.at(edges, start, 1)
                 np.add.at(edges, start + own.shape[1], -1)
@@ -220,9 +242,11 @@ def _search_segment(windows: Windows, order: list[np.ndarray], row: dict) -> pa.
     for d, a, b in zip(doc.tolist(), up.tolist(), down.tolist(), strict=True):
         starts[d].append(a - int(begins[d]))
         stops[d].append(b - int(begins[d]))
-    name = lambda found: sorted(windows.names[i] for i in found if windows.names[i] is not None)
+    name = lambda found: sorted((windows.names[i] for i in found), key=lambda x: (x is not None, x or ""))
     return pa.RecordBatch.from_arrays(
         [
+            pa.array([row["segment"]] * len(lengths), pa.int64()),
+            pa.array(np.arange(len(lengths), dtype=np.int32)),
             pa.array(row["ids"], pa.int64()),
             pa.array(lengths),
             pa.array(starts, pa.list_(pa.int32())),
@@ -230,16 +254,16 @@ def _search_segment(windows: Windows, order: list[np.ndarray], row: dict) -> pa.
             pa.array([name(x) for x in held], pa.list_(pa.string())),
             pa.array([name(y - x) for x, y in zip(held, near, strict=True)], pa.list_(pa.string())),
         ],
-        ["doc_id", "n_words", "starts", "stops", "items", "near_items"],
+        ["segment", "place", "doc_id", "n_words", "starts", "stops", "items", "near_items"],
     )
 
 
-def _search_block(docs: DataFrame, items: list[tuple[str | None, str | None]]) -> DataFrame:
+def _search_block(index: DataFrame, items: list[tuple[str | None, str | None]]) -> DataFrame:
     windows = Windows(items)
-    index = common.cut(docs.mapInArrow(_index(windows.vocabulary), SEGMENT), "postings")
-    frequency = np.zeros(len(windows.vocabulary), np.int64)
+    frequency = np.zeros(len(windows.terms), np.int64)
     if len(frequency):
-        for row in index.select("terms", "ends").mapInArrow(_frequencies(len(frequency)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        counted = index.select("terms", "ends").mapInArrow(_frequencies(windows.terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        for row in counted.toLocalIterator():  # at most one row for each term of the block
             frequency[row["term"]] = row["n"]
     return index.mapInArrow(_search(windows, windows.order(frequency)), MATCH)
 
@@ -252,7 +276,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     common.extra(docs, ("doc_id", "text"))
     common.extra(benchmark, ("item_id", "text"))
     common.ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    index = common.cut(docs.select("doc_id", "text").mapInArrow(_index, SEGMENT), "postings")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-chars // (4 * block_words)))
@@ -260,36 +284,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     parts = []
     for k in range(blocks):
         rows = items.where(block == k).collect()  # one block of the stated queries, of bounded size
-        parts.append((k, [(r["item_id"], r["text"]) for r in rows]))
+        parts.append(_search_block(index, [(r["item_id"], r["text"]) for r in rows]))
         if blocks > 1:
-            parts[-1] = (k, _search_block(docs, parts[-1][1]))
-    if blocks == 1:
-        return _search_block(docs, parts[0][1])
-    return _merged(docs, [p for _, p in parts])
+            parts[-1] = common.cut(parts[-1], "matches")
+    return (parts[0] if blocks == 1 else _merged(parts)).drop("segment", "place")
 
 
-def _merged(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """The blocks' results as one: ranges are joined where they touch, items united."""
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    """The blocks' results as one row for each place in the index: ranges are joined where they touch, items united."""
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    # Every block saw the same documents: rows of one id and length are grouped, and repeated rows counted again below.
     span = "transform(starts, (s, i) -> struct(s as a, stops[i] as b))"
-    grouped = union.groupBy("doc_id", "n_words").agg(
+    grouped = union.groupBy("segment", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list(F.expr(span))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near"),
-        F.count(F.lit(1)).alias("rows"),
-    )
+    )
     joined = F.expr(
         "aggregate(array_sort(spans), cast(array() as array<struct<a:int,b:int>>), (done, s) -> "
         "if(size(done) = 0 or element_at(done, -1).b < s.a, concat(done, array(s)), "
         "concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).a as a, greatest(element_at(done, -1).b, s.b) as b)))))"
     )
-    out = grouped.withColumn("spans", joined).withColumn("copies", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(parts)).cast("int"))))
-    return out.select(
-        "doc_id", "n_words", F.expr("transform(spans, s -> s.a)").alias("starts"), F.expr("transform(spans, s -> s.b)").alias("stops"),
-        "items", F.array_sort(F.array_except("near", "items")).alias("near_items"),
+    return grouped.withColumn("spans", joined).select(
+        "segment", "place", "doc_id", "n_words", F.expr("transform(spans, s -> s.a)").alias("starts"), F.expr("transform(spans, s -> s.b)").alias("stops"),
+        "items", F.sort_array(F.array_except("near", "items")).alias("near_items"),
     )
 
 
