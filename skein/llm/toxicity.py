@@ -1,14 +1,17 @@
 """Toxicity by weak supervision.
 
 Sixteen voters (lexicons, patterns, and units induced from labelled rows) fire
-or stay silent on each whole text. A generative label model with one accuracy
-table per voter and a tree of pairwise correlations is fitted by EM on the
-counts of vote patterns over *all* documents; a linear classifier is then
-trained on the posterior labels of a bounded sample of labelled rows and
-scores every text.
-
-Bounds: the pattern table has at most 2**16 patterns x 3 label states; the
-sample has at most ``SAMPLE`` rows and the induced lexicon ``UNITS`` entries.
+or stay silent on each whole text, in one pass that is written. A generative
+label model with one accuracy table per voter and a tree of pairwise
+correlations is fitted by EM on the counts of vote patterns over *all*
+documents; known labels take part as one more voter whose error rate is
+estimated from how often the other voters contradict it. A linear classifier is
+trained on the model's posterior labels of a bounded sample of all documents,
+most of them without a label, and of labelled ones, and scores every text.
+
+Bounds: the pattern table has at most 2**16 patterns x 3 label states; each
+sample has at most ``SAMPLE`` rows. The induced lexicon holds every unit of the
+labelled sample that passes the test of significance.
 
 Defined results: a null or empty text has no words, fires only the "nothing
 found" voter and gets a score; a row without id is scored, is not held out and
@@ -30,8 +33,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import common
 
-SAMPLE = 20_000
-UNITS = 512
+SAMPLE = 20_000  # documents at most that the classifier is trained on, and labelled ones besides
 VOTERS = 16
 THRESHOLD = 0.7
 SIGNIFICANT = 20.0
@@ -54,8 +56,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CENSORED = re.compile(r"[^\W\d_][*]{2,}[^\W\d_]")
 _ADDRESSED = re.compile(r"\b(?:you|your|u|they|he|she|tu|vous|du|ihr|sie|usted|eres)\b(?:\W+\w+){0,3}?\W+(" + "|".join(map(re.escape, sorted(_SEED_ALL))) + r")\b")
 
-PATTERN_SCHEMA = "doc_id long, pattern int"
-FEATURE_SCHEMA = "doc_id long, pattern int, features array<int>"
+LOOKED = "doc_id long, pattern int, features array<int>"
+
+
+def capitals(text: str, low: str) -> int:
+    """Letters of the whole text that have another, small form."""
+    if len(text) != len(low):  # some letter's small form is longer
+        return sum(c != c.lower() for c in text)
+    return int((np.frombuffer(text.encode("utf-32-le"), np.uint32) != np.frombuffer(low.encode("utf-32-le"), np.uint32)).sum())
 
 
 def units(words: set[str]) -> set[str]:
@@ -97,8 +105,7 @@ class Voters:
             bits |= (hits * 200 > len(words)) << 9
             bits |= (len(seeds) > 1) << 10
         bits |= bool(_CENSORED.search(low)) << 8
-        shouted = sum(c.isupper() for c in text[::7])
-        bits |= (len(text) > 20 and shouted * 14 > len(text)) << 11
+        bits |= (len(text) > 20 and capitals(text, low) * 2 > len(text)) << 11
         bits |= (len(telling) > 0) << 12
         bits |= (len(telling) > 1) << 13
         bits |= (len(telling) * 100 > len(own)) << 14
@@ -129,7 +136,7 @@ def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def induced_lexicon(sample: DataFrame, limit: int = UNITS) -> list[str]:
+def induced_lexicon(sample: DataFrame) -> list[str]:
     """Units that labelled toxic texts hold far more often than clean ones."""
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -147,8 +154,7 @@ def induced_lexicon(sample: DataFrame, limit: int = UNITS) -> list[str]:
         .groupBy("unit")
         .agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
         .where((odds > math.log(8)) & (gain >= SIGNIFICANT))
-        .orderBy(gain.desc(), "unit")
-        .limit(limit)
+        .select("unit")
         .collect()
     )
     return sorted(r["unit"] for r in rows)
@@ -159,7 +165,7 @@ class LabelModel:
 
     Each voter has a table P(fires | its parent's vote, class): the accuracies,
     and along the tree's edges the correlations. Known labels enter as one
-    more, nearly sure voter whose error rate is estimated too.
+    more voter; its error rate is how often the others' posterior contradicts it.
     """
 
     def __init__(self, patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 25):
@@ -167,7 +173,7 @@ class LabelModel:
         self.labels, self.counts = labels, counts.astype(float)
         strong = self.votes[:, :8].sum(1) + self.votes[:, 12:15].sum(1)
         self.posterior = np.where(labels >= 0, np.where(labels == 1, 0.98, 0.02), np.where(strong >= 2, 0.8, np.where(strong == 1, 0.3, 0.02)))
-        self.error = 0.005
+        self.error = 0.05
         for _ in range(rounds):
             self._fit()
             self.posterior = self.predict(patterns, labels)
@@ -200,11 +206,15 @@ class LabelModel:
                 self.table[c, j, 0] = (weight[c] @ v[:, j] - joint[c, i, j] + 0.5 * single[c, j]) / (total[c] - fired + 0.5)
         self.table = np.clip(self.table, 1e-6, 1 - 1e-6)
         known = self.labels >= 0
-        wrong = (self.counts * np.where(self.labels == 1, 1 - self.posterior, self.posterior))[known].sum()
-        self.error = float(np.clip((wrong + 1) / (self.counts[known].sum() + 50), 0.0005, 0.005))
+        if known.any():
+            alone = self._posterior(self.votes[known], np.full(int(known.sum()), -1))
+            wrong = (self.counts[known] * np.where(self.labels[known] == 1, 1 - alone, alone)).sum()
+            self.error = float(np.clip((wrong + 1) / (self.counts[known].sum() + 20), 0.001, 0.45))
 
     def predict(self, patterns: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        v = (patterns[:, None] >> np.arange(VOTERS)) & 1
+        return self._posterior((patterns[:, None] >> np.arange(VOTERS)) & 1, labels)
+
+    def _posterior(self, v: np.ndarray, labels: np.ndarray) -> np.ndarray:
         log = np.log(np.array([1 - self.prior, self.prior]))[:, None] + np.zeros((2, len(v)))
         for j, i in enumerate(self.parent):
             above = v[:, i] if i >= 0 else np.zeros(len(v), int)
@@ -250,18 +260,24 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, width: int, l2: float
     return weights
 
 
-def _scan(voters: Voters, ids: bool, weights: np.ndarray | None):
+def _look(voters: Voters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.chunks(whole, "text"):
+                looked = [voters.look(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in looked], pa.int32()), pa.array([f for _, f in looked], pa.list_(pa.int32()))], ["doc_id", "pattern", "features"])
+        common.tidy()
+
+    return run
+
+
+def _score(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            looked = [voters.look(t) for t in batch.column(1).to_pylist()]
-            patterns = pa.array([b for b, _ in looked], pa.int32())
-            if weights is not None:
-                z = np.array([weights[f].sum() for _, f in looked]) + weights[-1] if looked else np.empty(0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), patterns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "pattern", "score"])
-            elif ids:
-                yield pa.RecordBatch.from_arrays([batch.column(0), patterns, pa.array([f for _, f in looked], pa.list_(pa.int32()))], ["doc_id", "pattern", "features"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), patterns], ["doc_id", "pattern"])
+            found = batch.column(2)
+            sizes = np.diff(found.offsets.to_numpy())
+            z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[found.flatten().to_numpy()], len(sizes)) + weights[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "pattern", "score"])
 
     return run
 
@@ -281,34 +297,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int
         .agg(F.max("toxic").cast("int").alias("label"))
     )
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # at most sample_rows small rows, so they are broadcast
-    sample = common.cut(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "toxic-sample")
+    sample = common.cut(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), "toxic-sample")
     voters = Voters(induced_lexicon(sample))
+    common.drop(sample)
 
-    votes = texts.mapInArrow(_scan(voters, False, None), PATTERN_SCHEMA)
-    table = (
-        votes.join(known, "doc_id", "left")
-        .groupBy("pattern", F.coalesce("label", F.lit(-1)).alias("label"))
-        .count()
-        .toPandas()
-    )
-    # The model comes from counts over all documents; the classifier from the posteriors of the sample.
+    looked = common.cut(texts.mapInArrow(_look(voters), LOOKED), "looked")
+    joined = looked.join(known, "doc_id", "left").select("doc_id", "pattern", "features", F.coalesce("label", F.lit(-1)).alias("label"))
+    table = joined.groupBy("pattern", "label").count().toPandas()
     if len(table):
         model = LabelModel(table["pattern"].to_numpy(), table["label"].to_numpy(), table["count"].to_numpy())
-        rows = (
-            sample.select("doc_id", "text")
-            .mapInArrow(_scan(voters, True, None), FEATURE_SCHEMA)
-            .join(F.broadcast(chosen), "doc_id")
-            .toPandas()
-        )
-        features = [list(map(int, f)) for f in rows["features"]]
-        target = model.predict(rows["pattern"].to_numpy(dtype=int), rows["label"].to_numpy(dtype=int)) if features else np.empty(0)
-        if not features:  # no label at hand: every pattern is one example
-            features = [[len(voters.index) + k for k in range(VOTERS) if p >> k & 1] for p in table["pattern"]]
-            target = model.posterior
-        weights = fit_linear(features, target, voters.width)
+        every = joined.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "pattern").limit(sample_rows)
+        rows = every.unionByName(looked.join(F.broadcast(chosen), "doc_id").select(every.columns)).toPandas()
+        target = model.predict(rows["pattern"].to_numpy(dtype=int), rows["label"].to_numpy(dtype=int))
+        weights = fit_linear([list(map(int, f)) for f in rows["features"]], target, voters.width)
     else:
         weights = fit_linear([], np.empty(0), voters.width)
-    return texts.mapInArrow(_scan(voters, False, weights), "doc_id long, pattern int, score double")
+    return looked.mapInArrow(_score(weights), "doc_id long, pattern int, score double")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
