@@ -33,6 +33,7 @@ from skein.llm import common
 
 TRAIN = 250  # labelled credentials of each format
 ALPHA = 0.01
+SEEN = 40
 SEED = 31
 MARGIN = 0.1  # nats a character by which a format must beat the background
 MASK = "[SECRET]"
@@ -72,8 +73,9 @@ class Automaton:
     """A probabilistic automaton learned from a sample by state merging.
 
     States of the prefix tree are red (kept) or blue (a red state's successors);
-    a blue state joins the first red one whose outgoing and stopping frequencies,
-    and those of all states below, do not differ by more than Hoeffding's bound.
+    a blue state joins one of the red states from which its outgoing and stopping
+    frequencies, and those of all states below, do not differ by more than
+    Hoeffding's bound: the one that makes what follows it likeliest.
     """
 
     def __init__(self, sample: list[str], alpha: float = ALPHA):
@@ -102,6 +104,10 @@ class Automaton:
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return abs(a / n - b / m) > self.bound * (n**-0.5 + m**-0.5)
 
+    def _closed(self, state: int, symbols: dict[str, int]) -> bool:
+        """Is a symbol among these that the state should have shown? One seen ``SEEN`` times as often as it has symbols has shown them all."""
+        return self.seen[state] >= SEEN * (len(self.count[state]) + 1) and any(c not in self.count[state] for c in symbols)
+
     def _compatible(self, one: int, two: int) -> bool:
         todo = [(one, two)]
         while todo:
@@ -111,12 +117,26 @@ class Automaton:
                 continue
             if self._differ(self.stop[x], n, self.stop[y], m):
                 return False
+            if self._closed(x, self.next[y]) or self._closed(y, self.next[x]):
+                return False
             for c in self.next[x].keys() | self.next[y].keys():
                 if self._differ(self.count[x].get(c, 0), n, self.count[y].get(c, 0), m):
                     return False
             todo += [(self.next[x][c], self.next[y][c]) for c in self.next[x].keys() & self.next[y].keys() if self.next[x][c] != self.next[y][c]]
         return True
 
+    def _fit(self, red: int, blue: int) -> float:
+        """Log-probability of all that follows the blue state under the red one's smoothed frequencies."""
+        total, symbols = 0.0, len(_ALNUM) + 5
+        todo: list[tuple[int | None, int]] = [(red, blue)]
+        while todo:
+            x, y = todo.pop()
+            known, size = (self.count[x], self.seen[x] + 0.5 * symbols) if x is not None else ({}, 0.5 * symbols)
+            total += sum(n * math.log((known.get(c, 0) + 0.5) / size) for c, n in self.count[y].items())
+            total += self.stop[y] * math.log(((self.stop[x] if x is not None else 0) + 0.5) / size)
+            todo += [(self.next[x].get(c) if x is not None else None, t) for c, t in self.next[y].items() if t != y]
+        return total
+
     def _fold(self, into: int, state: int) -> None:
         todo = [(into, state)]
         while todo:
@@ -142,7 +162,8 @@ class Automaton:
                 break
             # The state with the most evidence first.
             s, c, t = max(blue, key=lambda e: self.seen[e[2]])
-            match = next((r for r in red if self._compatible(r, t)), None)
+            # Of the states that a little evidence cannot tell apart, the one under which it is likeliest.
+            match = max((r for r in red if self._compatible(r, t)), key=lambda r: self._fit(r, t), default=None)
             if match is None:
                 red.append(t)
             else:
@@ -267,42 +288,53 @@ def spans_of(text: str | None, grammar: Grammar) -> tuple[list[tuple[int, int, i
     base = base_spans(text)
     names = [*KINDS, *grammar.automata]
     found = list(base)
+    taken = 0  # base spans before this one end before the run at hand
     for m in _CANDIDATE.finditer(text):
-        # What the base patterns leave of the run.
-        low = m.start()
-        for s, e in [*((s, e) for s, _, e in base if s < m.end() and m.start() < e), (m.end(), m.end())]:
-            if s - low >= SHORTEST:
-                found += [(low + a, names.index(kind), low + b) for a, b, kind in grammar.stretches(text[low:s])]
-            low = max(low, e)
+        while taken < len(base) and base[taken][2] <= m.start():
+            taken += 1
+        # What the base patterns leave of the run; spans of different kinds may overlap, so each end is compared.
+        low, k = m.start(), taken
+        while low < m.end():
+            while k < len(base) and base[k][2] <= low:
+                k += 1
+            stop, after = (base[k][0], base[k][2]) if k < len(base) and base[k][0] < m.end() else (m.end(), m.end())
+            if stop - low >= SHORTEST:
+                found += [(low + a, names.index(kind), low + b) for a, b, kind in grammar.stretches(text[low:stop])]
+            low = max(low, after)
+            k += 1
     return base, [(s, e, names[k]) for s, k, e in sorted(found)]
 
 
 def _scan(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base, every = [], []
-            for text in batch.column(1).to_pylist():
-                own, found = spans_of(text, grammar)
-                base.append([{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in own])
-                every.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(every, kind)], ["doc_id", "base", "spans"])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+        for whole in batches:
+            for batch in common.chunks(whole, "text"):
+                base, every = [], []
+                for text in batch.column(1).to_pylist():
+                    own, found = spans_of(text, grammar)
+                    base.append([{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in own])
+                    every.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(every, kind)], ["doc_id", "base", "spans"])
+        common.tidy()
 
     return run
 
 
 def _mask(grammar: Grammar, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(place).to_pylist():
-                end, pieces = 0, []
-                for s, e, _ in spans_of(text, grammar)[1]:
-                    if s >= end:
-                        pieces += [text[end:s], MASK]
-                    end = max(end, e)
-                out.append("".join([*pieces, text[end:]]) if end else text)
-            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+        for whole in batches:
+            for batch in common.chunks(whole, "text"):
+                out = []
+                for text in batch.column(place).to_pylist():
+                    end, pieces = 0, []
+                    for s, e, _ in spans_of(text, grammar)[1]:
+                        if s >= end:
+                            pieces += [text[end:s], MASK]
+                        end = max(end, e)
+                    out.append("".join([*pieces, text[end:]]) if end else text)
+                yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+        common.tidy()
 
     return run
 
