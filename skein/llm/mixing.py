@@ -2,13 +2,17 @@
 
 Each source's documents, in a fixed order, form one stream of words, packed
 into blocks of ``BLOCK`` words. The output is cut into shards of ``SHARD``
-slots; each shard draws multinomial source counts (a hashed uniform for each
-slot, matched with the sources' shares). A source's n-th slot takes block
+slots. Source counts of the shards are multinomial draws given the sources'
+totals (drawn without replacement: a pseudorandom permutation of all slots
+deals each source's slots out), so no shard is left over: a count deviates
+from its share by some ``sqrt(SHARD * share * (1 - share))`` slots, and each
+source lands on its target to the word. A source's n-th slot takes block
 ``p(n mod blocks)`` of epoch ``n div blocks``, where ``p`` is the source's own
 pseudorandom permutation of its block numbers (swap-or-not rounds). Blocks are
-joined by number. A source that has drawn all its slots draws no more, and what
-is missing when the shards are full goes to a last shard, so each source lands
-on its target to the word; the last slot of a source may take part of a block.
+joined by number. The last slot of a source may take part of a block.
+
+The plan has a row for each source and is made in one task: it serves some
+millions of sources.
 
 Targets: all words are shared by weights; a source stops at ``EPOCHS`` times
 its size and the excess goes to the others by weight (water filling). So no
@@ -35,7 +39,7 @@ SEED = 1_234_567
 #: Slots that one task makes, about.
 SLOTS_A_TASK = 200_000
 #: Rows of one window partition of a running sum, about.
-RUN = 10_000
+RUN = 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -103,26 +107,19 @@ def source_plan(sized: DataFrame) -> DataFrame:
 
 
 def mix_slots(spark: SparkSession, plan: DataFrame) -> DataFrame:
-    """The mix itself: shard, sid, epoch, block, take (words of the block), one row per slot."""
+    """The mix itself: shard, sid, epoch, block, take (words of the block), one row per slot.
+
+    A permutation of all slots says which source's range each slot of the output falls in.
+    """
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    shards = -(-total // SHARD)
-    # The sources' shares of the unit interval, cut at bin borders so that draws meet them by an equi-join.
-    share = F.sum("slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    shares = plan.where("slots > 0").select("sid", ((share - F.col("slots")) / F.lit(float(max(total, 1)))).alias("low"), (share / F.lit(float(max(total, 1)))).alias("high"))
-    binned = shares.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") * BINS), F.floor(F.col("high") * BINS))))
-    uniform = F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    draws = spark.range(total).select(F.floor(F.col("id") / SHARD).alias("shard"), uniform.alias("u")).withColumn("bin", F.floor(F.col("u") * BINS))
-    drawn = draws.join(binned, "bin").where("u >= low and u < high").groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("n"))
-    placed = running(drawn.withColumn("run", F.floor(F.col("shard") / RUN)), ["sid"], "run", ["shard"], "n").select("sid", "shard", "n", "start")
-    sums = drawn.groupBy("sid").agg(F.sum("n").alias("drawn"))
-    missing = plan.join(sums, "sid", "left").select("sid", F.lit(shards).cast("long").alias("shard"), (F.col("slots") - F.coalesce("drawn", F.lit(0))).alias("n"), F.coalesce("drawn", F.lit(0)).cast("long").alias("start")).where("n > 0")
-    counts = placed.unionByName(missing).join(plan, "sid")
-    counts = counts.withColumn("n", F.least(F.col("n"), F.col("slots") - F.col("start"))).where("n > 0")
-    pieces = counts.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SHARD))))
-    # A few small rows stand for all slots: dealt out by how many slots they make, not by their bytes.
-    pieces = pieces.repartition(-(-total // SLOTS_A_TASK) or 1, "sid", "shard", "at")
-    low = F.col("start") + F.col("at") * SHARD
-    slots = pieces.withColumn("slot", F.explode(F.sequence(low, F.least(low + SHARD, F.col("start") + F.col("n")) - 1)))
+    high = F.sum("slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = plan.where("slots > 0").withColumn("high", high).withColumn("low", F.col("high") - F.col("slots"))
+    # Ranges are cut at bin borders so that slots meet them by an equi-join.
+    width = -(-total // BINS) or 1
+    binned = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+    parts = -(-total // SLOTS_A_TASK) or 1
+    drawn = spark.range(0, total, 1, parts).select(F.floor(F.col("id") / SHARD).alias("shard"), permuted(F.col("id"), F.lit(total).cast("long"), F.lit(-1)).alias("at"))
+    slots = drawn.withColumn("bin", F.floor(F.col("at") / width)).join(binned, "bin").where("at >= low and at < high").withColumn("slot", F.col("at") - F.col("low"))
     is_last = (F.col("slot") == F.col("slots") - 1) & (F.col("part_slots") > 0)
     return slots.select(
         "shard", "sid", F.floor(F.col("slot") / F.col("blocks")).alias("epoch"),
@@ -139,7 +136,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     plan = common.cut(source_plan(sized), "source-plan")
     runs = max(1, -(-sized.count() // RUN))
     named = sized.join(plan.select("source", "sid", "source_size", "target"), sized["source"].eqNullSafe(plan["source"])).select("doc_id", "size", "sid", "source_size", "target")
-    full = named.where("size > 0").withColumn("run", F.pmod(F.xxhash64(F.lit(SEED + 3), "doc_id"), F.lit(runs)))
+    full = named.where("size > 0").withColumn("run", F.pmod(F.xxhash64(F.lit(SEED + 3), "doc_id", "size"), F.lit(runs)))
     stream = running(full, ["sid"], "run", ["doc_id", "size"], "size")
     end = F.col("start") + F.col("size")
     blocks = stream.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))))
