@@ -57,6 +57,53 @@ def removed_words(docs, width=50):
     return out
 
 
+def late_windows(words, doc, width=50):
+    """Places of the document's windows that a smaller id holds too; ``words`` are id -> words."""
+    held = {tuple(w[k : k + width]) for i, w in words.items() if i < doc for k in range(len(w) - width + 1)}
+    return {k for k in range(len(words[doc]) - width + 1) if tuple(words[doc][k : k + width]) in held}
+
+
+def page_templates(pages, hosts, least=3, share=0.2):
+    """host -> (containers, texts) of the frequent classes, from whole occurrence vectors.
+
+    ``pages`` are (id, host, nodes {path: times}, texts {(holder, key): times}, blocks [(holder, key)]); equal ids are copies.
+    """
+    out = {}
+    for host in hosts:
+        own = {i: p for i, *p in pages if p[0] == host}
+        if len(own) < least:
+            continue
+        vectors, kinds, holder = {}, {}, {}
+        for i, (_, nodes, texts, _) in own.items():
+            for token, times in nodes.items():
+                vectors.setdefault(token, {})[i] = times
+                kinds[token] = "tag"
+            for (where, token), times in texts.items():
+                vectors.setdefault(token, {})[i] = times
+                kinds[token], holder[token] = "text", where
+        classes = {}
+        for token, vector in vectors.items():
+            if len(vector) >= max(least, share * len(own)):
+                classes.setdefault(tuple(sorted(vector.items())), set()).add(token)
+        tags, fixed = set(), set()
+        for members in classes.values():
+            if not any(kinds[t] == "tag" for t in members):
+                continue
+            tags |= {t for t in members if kinds[t] == "tag"}
+            mine = {t for t in members if kinds[t] == "text"}
+            for where in {holder[t] for t in mine}:
+                rounds = set()
+                for _, _, _, blocks in own.values():
+                    seen = [k for h, k in blocks if h == where and k in mine]
+                    if seen:
+                        once = list(dict.fromkeys(seen))
+                        rounds.add(tuple(once) if once * (len(seen) // len(once)) == seen else tuple(seen))
+                if len(rounds) == 1:
+                    fixed |= {t for t in mine if holder[t] == where}
+        out[host] = (tags, fixed)
+    return out
+
+
 def item_hits(docs, items, width=10):
     """[(id, n_words, n_hit, item ids)] in order of docs."""
     rule = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,7 +121,7 @@ def item_hits(docs, items, width=10):
                 if (names := windows.get(tuple(w[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
                     found |= names
-        out.append((i, len(w), len(hit), sorted(x for x in found if x is not None)))
+        out.append((i, len(w), len(hit), sorted(found, key=lambda x: (x is not None, x or ""))))
     return out
 
 

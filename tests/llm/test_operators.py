@@ -120,12 +120,67 @@ def test_substrings_equal_all_windows(spark):
     assert found[None]["spans"] == []
 
 
-def test_substrings_do_not_depend_on_batches(spark, monkeypatch):
+def test_substrings_do_not_depend_on_batches(spark):
     rows = [(k, " ".join(f"p{j % 60}" for j in range(200 + k)), "a") for k in range(30)]
-    one = {r["doc_id"]: r["kept_text"] for r in substrings.dedupe_substrings(docs_of(spark, rows).coalesce(1)).collect()}
-    two = {r["doc_id"]: r["kept_text"] for r in substrings.dedupe_substrings(docs_of(spark, rows).repartition(7)).collect()}
+    wanted = {i: k for i, (_, _, k) in brute.removed_words([(i, t) for i, t, _ in rows]).items()}
+    for docs, hot in ((docs_of(spark, rows).coalesce(1), 10**9), (docs_of(spark, rows).repartition(7), 10**9), (docs_of(spark, rows).repartition(7), 1)):
+        assert {r["doc_id"]: r["kept_text"] for r in substrings.dedupe_substrings(docs, 1, hot).collect()} == wanted
+
+
+def passages(seed=12):
+    """Documents that share passages with each other, one of them with many different endings."""
+    rng = random.Random(seed)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    shared, hot = [text(rng.randint(50, 160)) for _ in range(6)], text(70)
+    rows = []
+    for k in range(60):
+        words = text(rng.randint(0, 40))
+        for part in rng.sample(shared, rng.randint(0, 3)):
+            cut = rng.randint(0, 20)
+            words += part[cut:] + text(rng.randint(0, 8))
+        rows.append((k, " ".join(words + hot + text(rng.randint(1, 60))), "a"))
+    return rows
+
+
+def test_factors_are_matches_that_reach_as_far_as_their_reference(spark):
+    rows = passages()
+    words = {i: t.split() for i, t, _ in rows}
     wanted = brute.removed_words([(i, t) for i, t, _ in rows])
-    assert one == two == {i: k for i, (_, _, k) in wanted.items()}
+    for docs, hot in ((docs_of(spark, rows).repartition(5), 10**9), (docs_of(spark, rows).repartition(5), 2)):
+        for r in substrings.dedupe_substrings(docs, 1, hot).collect():
+            own, end = words[r["doc_id"]], 0
+            assert r["kept_text"] == wanted[r["doc_id"]][2]
+            late = brute.late_windows(words, r["doc_id"])
+            for f in r["factors"]:
+                there = words[f["source"]][f["source_start"] :]
+                size = f["stop"] - f["start"]
+                assert f["source"] < r["doc_id"] and f["start"] >= end and own[f["start"] : f["stop"]] == there[:size]
+                # Greedy: the first word that begins a factor does; between factors no window starts that has a reference.
+                assert f["start"] in late and not any(k in late for k in range(end, f["start"]))
+                end = f["stop"]
+            assert not any(k in late for k in range(end, len(own)))
+
+
+def test_a_greedy_parse_takes_the_factor_that_reaches_farthest():
+    runs = [(0, 3, 7, 10), (3, 2, 7, 13), (4, 30, 8, 0), (60, 1, 9, 5)]
+    factors = substrings.parse(200, runs)
+    # Both runs of document 7 are one factor; the window at its end belongs to document 8, which goes on from there.
+    assert factors == [(0, 54, 7, 10), (60, 110, 9, 5)]
+    assert substrings.duplicate_spans(factors, runs) == [(0, 110)]  # windows 5 to 33 lie across the border
+    assert substrings.parse(200, [(10, 5, 3, 0), (12, 20, 4, 2)]) == [(10, 64, 3, 0)]
+    assert substrings.parse(10, []) == []
+
+
+def test_hot_anchors_spread(spark):
+    """Every ending of a hot passage meets under a key of its own."""
+    rows = passages()
+    hashes = common.WordHashes()
+    listed = [(i, 0, t.encode()) for i, t, _ in rows]
+    anchors = np.unique(substrings.Windows(listed, hashes).gram[substrings.Windows(listed, hashes).at])
+    cold = substrings.blocks_of(listed, hashes, np.empty(0, np.uint64)).to_pandas()
+    warm = substrings.blocks_of(listed, hashes, anchors).to_pandas()
+    most = lambda d: d[d["hashes"].notna()].groupby("anchor").size().max()
+    assert most(cold) > 20 and most(warm) == 1
 
 
 def test_decontamination_equals_all_windows_in_one_and_many_blocks(spark, docs, rows):
@@ -136,10 +191,20 @@ def test_decontamination_equals_all_windows_in_one_and_many_blocks(spark, docs,
     wanted = sorted(brute.item_hits([(i, t) for i, t, _ in rows], items), key=str)
     for block_words in (10**6, 8):
         found = decontaminate.decontaminate(docs, bench, block_words).collect()
-        got = sorted(((r["doc_id"], r["n_words"], sum(b - a for a, b in zip(r["starts"], r["stops"], strict=True)), sorted(r["items"])) for r in found), key=str)
+        got = sorted(((r["doc_id"], r["n_words"], sum(b - a for a, b in zip(r["starts"], r["stops"], strict=True)), r["items"]) for r in found), key=str)
         assert got == wanted
 
 
+def test_blocks_keep_rows_of_one_id_and_length_apart(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "h i j k l m n", "x"), (None, "a b c d e f g", "x"), (None, "q r s t u v w", "x"), (2, None, "x")]
+    items = [("one", "a b c"), ("two", "h i j"), (None, "k l")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    wanted = sorted(brute.item_hits([(i, t) for i, t, _ in rows], items), key=str)
+    for block_words in (10**6, 1):
+        found = decontaminate.decontaminate(docs_of(spark, rows).repartition(2), bench, block_words).collect()
+        assert sorted(((r["doc_id"], r["n_words"], sum(b - a for a, b in zip(r["starts"], r["stops"], strict=True)), r["items"]) for r in found), key=str) == wanted
+
+
 def test_proximity_matches(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     near = "alpha beta gamma so delta epsilon zeta eta theta iota kappa"
@@ -233,18 +298,45 @@ def test_language_forward_sums_all_segmentations():
                     out += table[number, k] * total(end, k)
             return out
 
-        reached = langid.Lattice(vocabulary, [word]).forward(table, 1)[-1][0]
-        assert np.allclose(reached, [total(0, 0), total(0, 1)])
-    word, piece, uses = langid.Lattice(vocabulary, ["abab"]).posteriors(table[:, :1], 1)
+        reached = langid.Lattice(vocabulary, [word]).log_forward(table)[0]
+        assert np.allclose(np.exp(reached), [total(0, 0), total(0, 1)])
+    word, piece, uses = langid.Lattice(vocabulary, ["abab"]).posteriors(table[:, :1])
     length = np.array([len((pieces + ["?"])[p]) for p in piece])
     assert np.isclose((uses * length).sum(), 5)  # expected pieces cover every character once
 
 
+def test_words_of_any_length_sum_all_segmentations():
+    """Against a plain forward pass in logarithms: no piece and no word is too long."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "abababababababab", "▁" + "ab" * 15]
+    vocabulary = langid.Vocabulary(pieces)
+    rng = np.random.default_rng(1)
+    table = rng.random((len(pieces) + 1, 3)) * 1e-6
+    number = {p: k for k, p in enumerate(pieces)}
+    for word in ("ab" * 100, "abx" * 700, "ab" * 15, "a" * 17):
+        marked = "▁" + word
+        done = np.full((len(marked) + 1, 3), -np.inf)
+        done[0] = 0
+        for to in range(1, len(marked) + 1):
+            for size in range(1, min(to, vocabulary.longest) + 1):
+                k = number.get(marked[to - size : to], len(pieces) if size == 1 else None)
+                if k is not None:
+                    done[to] = np.logaddexp(done[to], done[to - size] + np.log(table[k]))
+        lattice = langid.Lattice(vocabulary, [word, word])
+        assert np.allclose(lattice.log_forward(table), done[-1])
+        owner, piece, uses = lattice.posteriors(table[:, :1])
+        length = np.array([len((pieces + ["?"])[p]) for p in piece])
+        assert np.allclose(np.bincount(owner, uses * length), len(marked))
+        # Forward and backward agree on the whole.
+        total, scale = lattice.sums(table, True)
+        assert np.allclose(np.log(total[0]) + scale[0], done[-1])
+    assert vocabulary.longest == 31
+
+
 def test_languages(spark):
     rows = [(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * (1 + k % 5), "en" if k % 2 else "de") for k in range(60)]
     rows += [(100, None, "en"), (101, "", "de"), (102, "12 34 !!", "en"), (103, "the dog", None), (None, "die katze und", "de"), (104, "x" * 5000, None), (7, rows[7][1], "en")]
     table = spark.createDataFrame([(*r, "s", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
-    found = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(table, F.col("doc_id") % 4 != 2).collect()]
+    found = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(table, F.col("doc_id") % 4 != 2, langid.PIECES).collect()]
     names = {i: n for i, n, _ in found}
     assert len(found) == len(rows) and all(0 <= s <= 1 for _, _, s in found)
     assert names[100] == names[101] == names[102] == "und" and names[103] == "en" and names[None] == "de"
@@ -304,6 +396,34 @@ def test_credentials_inside_runs_are_found():
     assert not any(secrets.spans_of(t, grammar)[1] for t in clean)
 
 
+def test_recall_by_format_in_frames():
+    grammar = secrets.Grammar()
+    rng = random.Random(79)
+    frames = ["{}", "export VALUE={}", "https://h.io/x/{}", '{{"value": "{}"}}', "hex: " + "a1" * 20 + " {}"]
+    for kind, (prefixes, alphabet, lengths) in secrets.FORMATS.items():
+        fresh = [rng.choice(prefixes) + "".join(rng.choices(alphabet, k=rng.choice(lengths))) for _ in range(100)]
+        for frame in frames:
+            hits = 0
+            for token in fresh:
+                text = frame.format(token)
+                hits += any(s <= text.index(token) and e >= text.index(token) + len(token) for s, e, _ in secrets.spans_of(text, grammar)[1])
+            assert hits >= 90, (kind, frame, hits)
+
+
+def test_spans_of_a_long_log_cost_no_square():
+    import time
+
+    grammar = secrets.Grammar()
+    line = "token=abcdefgh12345 id=" + "0123456789abcdef" * 2 + " path/to/some/long/file/name.txt\n"
+    took = []
+    for n in (1000, 4000):
+        began = time.perf_counter()
+        base, every = secrets.spans_of(line * n, grammar)
+        took.append(time.perf_counter() - began)
+        assert len(base) == 2 * n and len(every) >= 2 * n
+    assert took[1] < 12 * took[0]
+
+
 def test_mixing_meets_its_targets(spark, docs, rows):
     found = mixing.mix_sources(docs).collect()
     again = mixing.mix_sources(docs.repartition(5)).collect()
@@ -321,6 +441,28 @@ def test_mixing_meets_its_targets(spark, docs, rows):
     assert all(abs(sum(v) - t) <= 1 for t, v in by_target.items())
 
 
+def test_shards_hold_the_sources_by_weight(spark):
+    """Totals are exact, each slot is dealt once, and no shard strays far from the shares."""
+    rows = [(k, "w " * (50 + k % 100), "abc"[k % 3] if k % 7 else "a") for k in range(6000)]
+    sized = docs_of(spark, rows).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    plan = mixing.source_plan(sized).cache()
+    wanted = {r["sid"]: (r["slots"], r["blocks"]) for r in plan.collect()}
+    slots = mixing.mix_slots(spark, plan).collect()
+    by_shard, dealt = {}, {}
+    for r in slots:
+        by_shard.setdefault(r["shard"], {}).setdefault(r["sid"], []).append(1)
+        dealt.setdefault(r["sid"], []).append((r["epoch"], r["block"]))
+    total = sum(n for n, _ in wanted.values())
+    assert len(slots) == total and all(len(set(v)) == len(v) == wanted[s][0] for s, v in dealt.items())
+    assert max(by_shard) == -(-total // mixing.SHARD) - 1
+    for shard, own in by_shard.items():
+        size = sum(map(len, own.values()))
+        assert size == mixing.SHARD or shard == max(by_shard)
+        for sid, (n, _) in wanted.items():
+            share = n / total
+            assert abs(len(own.get(sid, [])) - size * share) < 6 * (size * share * (1 - share)) ** 0.5 + 1
+
+
 def test_permutations_are_permutations(spark):
     for size in (1, 2, 7, 100):
         table = spark.range(size).select("id", mixing.permuted(F.col("id"), F.lit(size).cast("long"), F.lit(4)).alias("p"))
@@ -350,6 +492,43 @@ def test_forest_isolates_the_odd_row():
     assert scores[1] > scores[0] + 0.1
 
 
+def test_paths_equal_walks_through_the_trees():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(0, 1, (300, 4))
+    forest = quality.Forest(rows, rows.min(0), rows.max(0), trees=20)
+    found = forest.score(rows)
+    for row, score in zip(rows[:50], found, strict=False):
+        total = 0.0
+        for feature, split, path in zip(forest.feature, forest.split, forest.path, strict=True):
+            node = 0
+            while feature[node] >= 0:
+                node = 2 * node + (2 if row[feature[node]] >= split[node] else 1)
+            total += path[node]
+        assert np.isclose(score, 2 ** (-total / 20 / quality._average_path(forest.size)))
+
+
+def test_one_extreme_document_changes_no_other_verdict(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) + str(rng.randrange(50))
+    plain = lambda: " ".join(word() for _ in range(rng.randint(30, 80)))
+    rows = [(k, plain(), "a") for k in range(3000)] + [(3000 + k, plain().upper() + " !!! | | | ### $$$ ***", "a") for k in range(60)]
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 3000, 3)] + [(3000 + k, 0) for k in range(30)], "doc_id long, quality int")
+    found = {r["doc_id"]: r["kept"] for r in quality.quality(docs_of(spark, rows), labels).collect()}
+    assert sum(found[3000 + k] for k in range(60)) <= 3 and sum(not found[k] for k in range(3000)) <= 30
+    blob = (9999, "QUJD" * 200_000 + " " + plain(), "a")
+    other = {r["doc_id"]: r["kept"] for r in quality.quality(docs_of(spark, [*rows, blob]), labels).collect()}
+    assert sum(other[k] != found[k] for k in found) <= 3
+
+
+def test_calibration_equals_a_try_of_every_threshold():
+    rng = np.random.default_rng(4)
+    scores = rng.random(400)
+    good, bad = rng.random(400) < 0.7, rng.random(400) < 0.2
+    bad &= ~good
+    value = lambda t: (scores[bad] >= t).mean() - quality.WEIGHT * (scores[good] >= t).mean()
+    assert np.isclose(value(quality.calibrate(scores, good, bad)), max(value(t) for t in [*scores, 2.0]))
+
+
 def test_toxicity_learns_and_leaves_clean_texts(spark):
     rng = random.Random(4)
     plain = [f"t{k}" for k in range(200)]
@@ -370,6 +549,29 @@ def test_toxicity_learns_and_leaves_clean_texts(spark):
     assert all(r["score"] < 0.7 for r in found if r["doc_id"] in (1000, 1001))
 
 
+def test_unlabelled_documents_teach_and_wrong_labels_do_not_rule(spark):
+    """Few labels, a tenth of them wrong: the posteriors of all documents decide."""
+    rng = random.Random(8)
+    plain = [f"t{k}" for k in range(300)]
+    rows, truth = [], {}
+    for k in range(3000):
+        words = rng.choices(plain, k=30)
+        truth[k] = k % 6 == 0
+        if truth[k]:
+            words[2], words[9], words[15] = "idiot", "you", "scum"
+        rows.append((k, " ".join(words), "a"))
+    known = [(k, int(truth[k]) if rng.random() > 0.1 else 1 - int(truth[k])) for k in range(0, 3000, 10)]
+    labels = spark.createDataFrame(known, "doc_id long, toxic int")
+    found = toxicity.toxicity(docs_of(spark, rows), labels, F.lit(True)).collect()
+    assert sum((r["score"] >= 0.7) != truth[r["doc_id"]] for r in found) <= 30
+
+
+def test_capitals_of_the_whole_text_count():
+    assert toxicity.capitals("aBCdÉ ß1", "abcdé ß1") == 3 and toxicity.capitals("İA", "İA".lower()) == 2
+    look = toxicity.Voters([]).look
+    assert look("aaaaaaA" * 10)[0] >> 11 & 1 == 0 and look("AAAAAAa" * 10)[0] >> 11 & 1 == 1
+
+
 def test_label_model_finds_accurate_voters():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.2
@@ -385,7 +587,7 @@ def test_label_model_finds_accurate_voters():
 
 @pytest.mark.parametrize("run", [
     neardup.near_duplicates, substrings.dedupe_substrings, mixing.mix_sources, secrets.find_secrets, secrets.mask_secrets,
-    lambda d: langid.identify(d, F.col("doc_id") % 4 != 2),
+    lambda d: langid.identify(d, F.col("doc_id") % 4 != 2, langid.PIECES),
     lambda d: quality.quality(d, d.sparkSession.createDataFrame([], "doc_id long, quality int")),
     lambda d: toxicity.toxicity(d, d.sparkSession.createDataFrame([], "doc_id long, toxic int"), F.lit(True)),
     lambda d: decontaminate.decontaminate(d, d.sparkSession.createDataFrame([], "item_id long, text string")),
