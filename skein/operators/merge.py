@@ -26,6 +26,13 @@ def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return _ranked(rows, keys, order, lambda rank: rank == 1)
 
 
+def best_of(rows: DataFrame, keys: list[str], order: list[str], kept: list[str]) -> DataFrame:
+    """The ``kept`` columns of each key's least row by ``order``: an aggregate, combined before rows are dealt out."""
+    best = unused_name(rows, "_best")
+    chosen = rows.groupBy(*keys).agg(F.min_by(F.struct(*kept), F.struct(*order)).alias(best))
+    return chosen.select(*keys, f"{best}.*")
+
+
 def repeats(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Every row after the first of its key."""
     return _ranked(rows, keys, order, lambda rank: rank > 1)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import columns as C
-from skein.operators.merge import first_of, repeats
+from skein.operators.merge import best_of, first_of, repeats
 
-# Conventional aliases whose namespace is not their last segment's only bearer.
+# Short names under which these namespaces are usually required.
 ALIASES = {"str": "clojure.string", "set": "clojure.set", "io": "clojure.java.io", "edn": "clojure.edn", "walk": "clojure.walk", "pp": "clojure.pprint", "async": "clojure.core.async", "sh": "clojure.java.shell"}
 
 
@@ -79,14 +79,12 @@ def candidates(usages: DataFrame, namespaces: DataFrame, symbols: DataFrame, ali
     curated = asked.join(F.broadcast(aliases), "prefix").select("qid", "file", "name", "namespace", F.col("prefix").alias("alias"), F.lit(0).alias("rank"))
     named = asked.join(known, F.col("prefix") == F.col("namespace")).select("qid", "file", "name", "namespace", F.lit(None).cast("string").alias("alias"), F.lit(1).alias("rank"))
     segment = asked.join(last, "prefix").where("prefix <> namespace").select("qid", "file", "name", "namespace", F.col("prefix").alias("alias"), F.lit(2).alias("rank"))
-    best = curated.unionByName(named).unionByName(segment).groupBy("qid", "file", "name", "namespace").agg(F.min_by(F.struct("alias", "rank"), "rank").alias("b"))
+    best = best_of(curated.unionByName(named).unionByName(segment), ["qid", "file", "name", "namespace"], ["rank"], ["alias", "rank"])
     own = namespaces.select("file", F.col("name").alias("own_ns"))
     defined = symbols.select(F.col("ns").alias("namespace"), "name").distinct()
     valid = best.join(own, "file", "left").where(~F.col("own_ns").eqNullSafe(F.col("namespace"))).join(defined, ["namespace", "name"], "left_semi")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("qid").orderBy("b.rank", "namespace")
-    return valid.select("qid", "file", "namespace", F.col("b.alias").alias("alias"), F.col("b.rank").alias("rank"), F.row_number().over(order).alias("position"))
+    order = Window.partitionBy("qid").orderBy("rank", "namespace")
+    return valid.select("qid", "file", "namespace", "alias", "rank", F.row_number().over(order).alias("position"))
 
 
 def require_edits(found: DataFrame, libspecs: DataFrame, ns_forms: DataFrame) -> DataFrame:

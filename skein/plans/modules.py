@@ -194,10 +194,10 @@ def code_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
         asked = asked.unionByName(base.select((F.col("k") + at * 10**9).alias("qid"), _columns(fqn).alias("fqn"), _columns(name).alias("new_name")))
     edits, refused = references.rename(asked, r.symbols, r.occurrences)
     done = flat(edits, "qid", "file", "new_text", F.lit(None).cast("string").alias("error"), span="name_range")
-    return done.unionByName(refused.select("qid", F.lit(None).cast("string").alias("file"), F.col("new_name").alias("new_text"), "error", *[F.lit(None).cast("int").alias(c) for c in ("sl", "sc", "el", "ec")]))
+    return done.unionByName(refused.select("qid", F.lit(None).cast("string").alias("file"), F.col("new_name").alias("new_text"), "error", *[F.lit(-1).alias(c) for c in ("sl", "sc", "el", "ec")]))
 
 
-_NO_SPAN = "cast(null as int) as sl, cast(null as int) as sc, cast(null as int) as el, cast(null as int) as ec"
+_NO_SPAN = "-1 as sl, -1 as sc, -1 as el, -1 as ec"
 RENAME_SQL = _CTE + f"""
 , uses as ({_USES_SQL}), asked as (select k, {_sql('p.n{k}/g{k}')} as fqn from part_links where k % 20 = 0)
 select asked.k as qid, file, 'fresh' as new_text, cast(null as varchar) as error, sl, sc, el, ec from asked join uses using (fqn)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import columns as C
-from skein.operators import merge, references, requires
+from skein.operators import intervals, merge, references, requires
 from skein.operators.resolve import first_hit
 from skein.operators.search import search
 from skein.plans.session import table
@@ -49,8 +49,8 @@ def best_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best candidate of each supplier: the cheapest part it delivers, ties by key."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
-    best = F.min(F.struct("p_retailprice", "l_partkey"))
-    return lines.join(parts, "l_partkey").groupBy("l_suppkey").agg(best.alias("b")).select("l_suppkey", F.col("b.l_partkey").alias("part"), F.col("b.p_retailprice").alias("price"))
+    best = merge.best_of(lines.join(parts, "l_partkey"), ["l_suppkey"], ["p_retailprice", "l_partkey"], ["l_partkey", "p_retailprice"])
+    return best.select("l_suppkey", F.col("l_partkey").alias("part"), F.col("p_retailprice").alias("price"))
 
 
 BEST_SQL = """
@@ -86,15 +86,15 @@ where next_ts is null or next_ts > ts + interval 1 hour
 
 
 def utf16_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths in bytes, code points and UTF-16 units of first lines with a character beyond the basic plane."""
-    line = F.concat(F.lit("\U0001f600"), F.split_part("text", F.lit("\n"), F.lit(1)))
+    """Lengths in bytes, code points and UTF-16 units of whole texts with a character beyond the basic plane."""
+    line = F.concat(F.lit("\U0001f600"), F.coalesce("text", F.lit("")))
     docs = table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
     return docs.select("doc_id", C.utf16_length(F.col("line")).alias("units"), F.length("line").cast("long").alias("points"), F.octet_length("line").cast("long").alias("bytes"))
 
 
 UTF16_SQL = """
 select doc_id, length(line) + 1 as units, length(line) as points, strlen(line) as bytes
-from (select doc_id, chr(128512) || split_part(text, chr(10), 1) as line from documents)
+from (select doc_id, chr(128512) || coalesce(text, '') as line from documents)
 """
 
 
@@ -232,7 +232,8 @@ def interval_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     windows = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("window"), F.col("ts").alias("from_ts"), (F.col("ts") + F.expr("interval 1 day")).alias("to_ts"))
     views = events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts")
-    met = views.join(windows, "user_id").where("ts between from_ts and to_ts")
+    day = 86_400
+    met = intervals.meet(views, windows, ["user_id"], F.unix_timestamp("ts"), F.unix_timestamp("from_ts"), F.unix_timestamp("to_ts"), day).where("ts between from_ts and to_ts")
     return merge.first_of(met, ["event_id"], [F.col("from_ts").desc(), F.col("window").desc()]).select("event_id", "window")
 
 

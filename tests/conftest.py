@@ -21,7 +21,6 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.executorEnv.PYTHONPATH", str(ROOT))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
