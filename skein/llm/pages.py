@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -198,34 +199,39 @@ def _structs(**fields: pa.DataType) -> pa.DataType:
 
 
 _NODES = _structs(path=pa.int64(), parent=pa.int64(), times=pa.int32(), side=pa.bool_())
-_BLOCKS = _structs(path=pa.int64(), holder=pa.int64(), key=pa.int64(), text=pa.string(), linked=pa.int32())
 _TEXTS = _structs(token=pa.int64(), parent=pa.int64(), times=pa.int32())
+_BLOCKS = _structs(node=pa.int32(), text=pa.int32(), chars=pa.int32(), linked=pa.int32())
+#: A page's containers, its text tokens (with their holders), its blocks as places in these two lists, and the blocks' words.
 READ = (
     "page_id long, url string, host string, digest binary, nodes array<struct<path:long,parent:long,times:int,side:boolean>>, "
-    "texts array<struct<token:long,parent:long,times:int>>, blocks array<struct<path:long,holder:long,key:long,text:string,linked:int>>"
+    "texts array<struct<token:long,parent:long,times:int>>, blocks array<struct<node:int,text:int,chars:int,linked:int>>, words array<string>"
 )
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The one reading of a page: its containers, its text tokens and its blocks."""
+    """The one reading of a page."""
     for whole in batches:
         for batch in common.chunks(whole, "html"):
-            hosts, digests, nodes, texts, blocks = [], [], [], [], []
+            hosts, digests, nodes, texts, blocks, words = [], [], [], [], [], []
             for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 page = Page(source)
-                keyed = page.keyed()
+                place = {path: k for k, path in enumerate(page.nodes)}
+                token: dict[tuple[int, int], int] = {}
+                at = [token.setdefault(pair, len(token)) for pair in page.keyed()]
+                times = Counter(at)
                 hosts.append(host_of(url))
                 digests.append(xxhash.xxh3_128_digest(repr(([(n.path, n.times) for n in page.nodes.values()], page.blocks))))
                 nodes.append([{"path": n.path, "parent": n.parent, "times": n.times, "side": n.side} for n in page.nodes.values()])
-                times: dict[tuple[int, int], int] = {}
-                for pair in keyed if page.blocks else ():
-                    times[pair] = times.get(pair, 0) + 1
-                texts.append([{"token": key, "parent": holder, "times": n} for (holder, key), n in times.items()])
-                blocks.append([{"path": p, "holder": h, "key": k, "text": t, "linked": n} for (p, t, n), (h, k) in zip(page.blocks, keyed, strict=True)])
+                texts.append([{"token": key, "parent": holder, "times": times[k]} for (holder, key), k in token.items()])
+                blocks.append([{"node": place[p], "text": k, "chars": len(t), "linked": n} for (p, t, n), k in zip(page.blocks, at, strict=True)])
+                words.append([t for _, t, _ in page.blocks])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(nodes, _NODES), pa.array(texts, _TEXTS), pa.array(blocks, _BLOCKS)],
-                ["page_id", "url", "host", "digest", "nodes", "texts", "blocks"],
-            )
+                [
+                    batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(nodes, _NODES), pa.array(texts, _TEXTS),
+                    pa.array(blocks, _BLOCKS), pa.array(words, pa.list_(pa.string())),
+                ],
+                ["page_id", "url", "host", "digest", "nodes", "texts", "blocks", "words"],
+            )
     common.tidy()
 
 
@@ -252,12 +258,12 @@ def classes(pages: DataFrame) -> DataFrame:
     )
 
 
-def orders(blocks: list[dict], of_class: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(class, holder, order) of a page: a hash of how the class's texts follow each other in a container, in whole rounds if they do."""
+def orders(tokens: list[tuple[int, int]], of_class: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(class, holder, order) of a page's (holder, text token) rows: a hash of how a class's texts follow each other in a container, in whole rounds if they do."""
     found: dict[tuple[int, int], list[int]] = {}
-    for b in blocks:
-        if b["key"] in of_class:
-            found.setdefault((of_class[b["key"]], b["holder"]), []).append(b["key"])
+    for holder, key in tokens:
+        if key in of_class:
+            found.setdefault((of_class[key], holder), []).append(key)
     out = []
     for (cls, holder), keys in found.items():
         single = list(dict.fromkeys(keys))
@@ -268,30 +274,32 @@ def orders(blocks: list[dict], of_class: dict[int, int]) -> list[tuple[int, int,
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for host, blocks, texts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            rows += [(host, *x) for x in orders(blocks, {t["token"]: t["class"] for t in texts or ()})]
+        for host, own, blocks, texts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            tokens = [(own[b["text"]]["parent"], own[b["text"]]["token"]) for b in blocks]
+            rows += [(host, *x) for x in orders(tokens, {t["token"]: t["class"] for t in texts or ()})]
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "class", "holder", "order"])
 
 
-def slot_of(nodes: list[dict], tags: set[int]) -> dict[int, int]:
+def slots_of(nodes: list[dict], tags: set[int]) -> list[int]:
     """Of each container of a page the innermost one of the template at or around it (containers come before those inside)."""
-    slot = {0: ROOT}
+    slot, out = {0: ROOT}, []
     for n in nodes:
         slot[n["path"]] = n["path"] if n["path"] in tags else slot[n["parent"]]
-    return slot
+        out.append(slot[n["path"]])
+    return out
 
 
 def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text that the template leaves open, by slot: characters, and those in links."""
     for batch in batches:
         mass: dict[tuple[str, int], list[int]] = {}
-        for key, nodes, blocks, tags, fixed in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            slot, gone = slot_of(nodes, {t["token"] for t in tags or ()}), set(fixed or ())
+        for key, nodes, texts, blocks, tags, fixed in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            slot, gone = slots_of(nodes, {t["token"] for t in tags or ()}), set(fixed or ())
             for b in blocks:
-                if b["key"] not in gone:
-                    own = mass.setdefault((key, slot[b["path"]]), [0, 0])
-                    own[0] += len(b["text"])
+                if texts[b["text"]]["token"] not in gone:
+                    own = mass.setdefault((key, slot[b["node"]]), [0, 0])
+                    own[0] += b["chars"]
                     own[1] += b["linked"]
         keys, sums = list(mass), list(mass.values())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int64()), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64())], ["host", "slot", "chars", "linked"])
@@ -323,20 +331,23 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), longs([s for s, _ in found]), longs([m for _, m in found])], ["host", "spine", "menus"])
 
 
-def main_text(nodes: list[dict], blocks: list[dict], tags: set[int], fixed: set[int], spine: set[int], menus: set[int], hints: bool = True) -> str:
+def main_text(nodes: list[dict], texts: list[dict], blocks: list[dict], words: list[str], tags: set[int], fixed: set[int], spine: set[int], menus: set[int], hints: bool = True) -> str:
     """Blocks that stand in a slot of the article and are not the template's, in order, joined by one space."""
-    slot = slot_of(nodes, tags)
-    side = {0: False}
+    slot = slots_of(nodes, tags)
+    side, out = {0: False}, []
     for n in nodes:  # names around the region do not count
         side[n["path"]] = hints and n["path"] not in spine and (n["side"] or side[n["parent"]])
-    return " ".join(b["text"] for b in blocks if b["key"] not in fixed and slot[b["path"]] not in menus and not side[b["path"]])
+    for b, said in zip(blocks, words, strict=True):
+        if texts[b["text"]]["token"] not in fixed and slot[b["node"]] not in menus and not side[nodes[b["node"]]["path"]]:
+            out.append(said)
+    return " ".join(out)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for nodes, blocks, tags, *sets in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
-            texts.append(main_text(nodes, blocks, {t["token"] for t in tags or ()}, *(set(s or ()) for s in sets)))
+        for *page, tags, fixed, spine, menus in zip(*(batch.column(k).to_pylist() for k in range(2, 10)), strict=True):
+            texts.append(main_text(*page, {t["token"] for t in tags or ()}, *(set(s or ()) for s in (fixed, spine, menus))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -348,10 +359,11 @@ def _small(table: DataFrame, *arrays: str) -> DataFrame:
 
 def templates(read: DataFrame) -> DataFrame:
     """One row per host: tags and fixed texts of its template, the spine of containers down to its region, its menus."""
-    single = read.dropDuplicates(["host", "digest"])  # copies of a page say nothing about its template
+    # Copies of a page say nothing about its template. Words stay behind: only numbers are dealt out.
+    single = read.select("host", "digest", "nodes", "texts", "blocks").dropDuplicates(["host", "digest"])
     found = common.cut(classes(single), "classes")
     texts = _small(found.where("size(texts) > 0").select("host", "texts"), "texts")
-    order = single.select("host", "blocks").join(texts, "host").mapInArrow(_orders, "host string, class long, holder long, order long")
+    order = single.select("host", F.col("texts").alias("own"), "blocks").join(texts, "host").mapInArrow(_orders, "host string, class long, holder long, order long")
     order = order.groupBy("host", "class", "holder").agg((F.min("order") == F.max("order")).alias("ordered"))
     # A class's texts hang together in each container: those out of order leave the template.
     loose = order.where("not ordered").select("host", "class", "holder")
@@ -359,7 +371,7 @@ def templates(read: DataFrame) -> DataFrame:
     template = found.select("host", "tags").join(fixed.groupBy("host").agg(F.collect_list("token").alias("fixed")), "host", "left")
     template = common.cut(template, "template")
     small = _small(template, "tags", "fixed")
-    mass = keyed(single, template).select("key", "nodes", "blocks").join(small.withColumnRenamed("host", "key"), "key").mapInArrow(_masses, "host string, slot long, chars long, linked long")
+    mass = keyed(single, template).select("key", "nodes", "texts", "blocks").join(small.withColumnRenamed("host", "key"), "key").mapInArrow(_masses, "host string, slot long, chars long, linked long")
     slots = mass.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "linked")).alias("slots"))
     regions = template.select("host", "tags").join(slots, "host").mapInArrow(_decide, "host string, spine array<long>, menus array<long>")
     return common.cut(template.join(regions, "host", "left"), "regions")
@@ -375,10 +387,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text."""
     common.extra(pages, ("page_id", "url", "html"))
     common.ship(pages.sparkSession)
-    read = common.cut(pages.select("page_id", "url", "html").mapInArrow(_read, READ), "pages")
+    read = common.cut(pages.select("page_id", "url", "html").mapInArrow(_read, READ), "pages", "zstd")
     found = templates(read)
     chosen = keyed(read, found).join(_small(found, "tags", "fixed", "spine", "menus").withColumnRenamed("host", "key"), "key", "left")
-    return chosen.select("page_id", "url", "nodes", "blocks", "tags", "fixed", "spine", "menus").mapInArrow(_extract, "page_id long, url string, text string")
+    return chosen.select("page_id", "url", "nodes", "texts", "blocks", "words", "tags", "fixed", "spine", "menus").mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
