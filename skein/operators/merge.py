@@ -73,6 +73,11 @@ def remove_packed(packed: DataFrame, files: DataFrame) -> DataFrame:
     return remove_files(packed, files.select(F.col("file").alias("path")), "path")
 
 
+def with_live(packed: DataFrame, live: DataFrame) -> DataFrame:
+    """Packed files where those of open documents come from their live text: every relation then follows the edits."""
+    return packed.join(live.select("path"), "path", "left_anti").select(live.columns).unionByName(live)
+
+
 def rescan_packed(current: DataFrame, fresh: DataFrame, kept_files: DataFrame) -> DataFrame:
     """Packed files after a new scan of the project: scanned files are replaced, project files it lacks go, save the kept ones.
 

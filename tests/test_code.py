@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.facts import file_facts
-from skein.operators import merge, references, resolve, search
+from skein.operators import completion, host, intervals, merge, references, resolve, search
 from skein.plans import modules, registry
 from skein.sources import cache, code
-from skein.streaming import documents
+from skein.streaming import documents, watch
 
 SF = "/root/testdata/sf0.001"
 COMPONENT = "(ns app (:require [integrant.core :as ig]))\n(def store 1)\n(defmethod ig/init-key ::store [_ c] c)\n(defrecord Item [a])\n(defn use-it [] [store (->Item 1) (map->Item {})])\n"
@@ -153,3 +153,51 @@ def test_empty_relations(spark):
     assert r.symbols.count() == r.occurrences.count() == r.problems.count() == 0
     words = spark.createDataFrame([(1, "x", "a")], "qid int, word string, ns string")
     assert [x["fqn"] for x in resolve.resolve(words, r.namespaces, r.symbols, r.core_names, special).collect()] == [None]
+
+
+def test_live_text_comes_before_indexed_rows(spark):
+    packed = packed_of(spark, [("a.clj", "(ns a)\n(def old 1)", "project"), ("b.clj", "(ns b)\n(def kept 1)", "project")])
+    live = packed_of(spark, [("a.clj", "(ns a)\n(def fresh 1)", "project")])
+    outline = references.document_symbols(code.Relations(merge.with_live(packed, live)).symbols, spark.createDataFrame([("a.clj",), ("b.clj",)], "file string"))
+    assert {r["name"] for r in outline.collect()} == {"fresh", "kept"}
+
+
+def test_renames_start_in_project_files(spark):
+    r = code.Relations(packed_of(spark, [("a.clj", "(ns a)\n(def x 1)\n(inc x)", "project"), ("l.clj", "(ns l)\n(def m 1)", "jar")]))
+    asked = spark.createDataFrame([(1, "a/x", "y", "a.clj"), (2, "a/x", "y", "l.clj")], "qid int, fqn string, new_name string, origin string")
+    edits, refused = references.rename(asked, r.symbols, r.occurrences, r.namespaces.where("source_kind = 'project'").select("file"))
+    assert {(e["qid"], e["new_text"]) for e in edits.collect()} == {(1, "y")} and edits.count() == 2
+    assert [(x["qid"], x["error"]) for x in refused.collect()] == [(2, "library file")]
+
+
+def test_completion_offers_locals_statics_and_natives(spark):
+    r = code.Relations(packed_of(spark, [("a.clj", "(ns a (:require [b :as Box]) (:import [java.util Map]))", "project"), ("b.clj", "(ns b)\n(def size 1)", "project")]))
+    members = host.class_members(spark.createDataFrame([("z!/java/util/Map.java", "package java.util; public class Map { public static int of(int k) { return k; } }"), ("z!/java/util/Box.java", "package java.util; public class Box { public static int sum() { return 1; } }")], "path string, text string"))
+    none = spark.createDataFrame([], "name string")
+    asked = spark.createDataFrame([(1, "Map/o", "a"), (2, "Box/s", "a"), (3, "c", "a")], "qid int, prefix string, ns string")
+    found = completion.complete(asked, r.namespaces, r.symbols, none, none, members=members, visible_locals=spark.createDataFrame([(3, "cell")], "qid int, name string"), natives=spark.createDataFrame([("count",)], "name string"))
+    assert {tuple(x) for x in found.collect()} == {(1, "static", "Map/of"), (2, "alias member", "Box/size"), (3, "local", "cell"), (3, "native", "count")}
+
+
+def test_a_folder_is_kept_current(spark, tmp_path):
+    root, table = tmp_path / "p", documents.FileTable(str(tmp_path / "t"), "path")
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.clj").write_text("(ns a)\n(def x 1)")
+    (root / "src" / "b.clj").write_text("(ns b)\n(def y 1)")
+    (root / "deps.edn").write_text("{}")
+    names = lambda: {s["fqn"] for s in code.Relations(watch.read(spark, table)).symbols.collect()}
+    seen, routed = watch.refresh(spark, str(root), table)
+    assert names() == {"a/x", "b/y"} and {r["action"] for r in routed.collect()} == {"extract", "libraries"}
+    (root / "src" / "a.clj").write_text("(ns a)\n(def changed 1)")
+    (root / "src" / "b.clj").unlink()
+    seen, routed = watch.refresh(spark, str(root), table, seen)
+    assert names() == {"a/changed"}
+    assert {(r["path"].rpartition("/")[2], r["kind"], r["action"]) for r in routed.collect()} == {("a.clj", "changed", "extract"), ("b.clj", "deleted", "remove")}
+
+
+def test_points_meet_the_spans_around_them(spark):
+    spans = spark.createDataFrame([(k, "a", k * 7.0, k * 7.0 + (k % 5) * 40) for k in range(60)] + [(99, "a", None, 5.0)], "s int, key string, low double, high double")
+    points = spark.createDataFrame([(k, "a" if k % 2 else "b", k * 3.5) for k in range(120)], "p int, key string, at double")
+    met = intervals.meet(points, spans, ["key"], F.col("at"), F.col("low"), F.col("high"), 16.0).where("at between low and high")
+    wanted = {(p, s) for p in range(1, 120, 2) for s in range(60) if s * 7.0 <= p * 3.5 <= s * 7.0 + (s % 5) * 40}
+    assert sorted((r["p"], r["s"]) for r in met.collect()) == sorted(wanted)
