@@ -39,14 +39,14 @@ THRESHOLD = 0.7
 SIGNIFICANT = 20.0
 PREFIXES = (4, 5, 6, 7)
 
-# Seed words of the lexicon voters, by kind.
+# Seed words of the lexicon voters, by kind; none is a common word of another of these languages.
 SEEDS = {
     "intellect": "idiot idiots moron morons stupid dumb imbecile fool cretin dimwit halfwit brainless idiota estúpido tonto imbécil idiote stupide crétin débile abruti dumm trottel depp blödmann",
     "worth": "worthless loser losers pathetic useless failure nobody inútil perdedor patético minable nul raté wertlos versager erbärmlich",
-    "filth": "scum trash filth garbage vermin disgusting pig rat sewage escoria basura asqueroso ordure racaille dégoûtant abschaum müll ekelhaft dreck",
+    "filth": "scum trash filth garbage vermin disgusting pig sewage escoria basura asqueroso ordure racaille dégoûtant abschaum müll ekelhaft dreck",
     "ridicule": "clown freak creep weirdo coward joke buffoon payaso cobarde bouffon lâche witzfigur feigling",
     "profanity": "fuck fucking shit bullshit damn crap bitch bastard asshole mierda joder puta merde putain connard scheiße arschloch",
-    "threat": "kill murder destroy strangle hurt die matar muere tuer crever töten sterben",
+    "threat": "kill murder destroy strangle hurt matar muere tuer crever töten sterben",
     "hate": "hate despise loathe detest odio desprecio haine déteste hasse verachte",
 }
 _SEED_SETS = {k: frozenset(v.split()) for k, v in SEEDS.items()}
@@ -165,7 +165,7 @@ class LabelModel:
 
     Each voter has a table P(fires | its parent's vote, class): the accuracies,
     and along the tree's edges the correlations. Known labels enter as one
-    more voter; its error rate is how often the others' posterior contradicts it.
+    more voter; its error rates on either class are how often the others' posterior contradicts it.
     """
 
     def __init__(self, patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 25):
@@ -173,7 +173,7 @@ class LabelModel:
         self.labels, self.counts = labels, counts.astype(float)
         strong = self.votes[:, :8].sum(1) + self.votes[:, 12:15].sum(1)
         self.posterior = np.where(labels >= 0, np.where(labels == 1, 0.98, 0.02), np.where(strong >= 2, 0.8, np.where(strong == 1, 0.3, 0.02)))
-        self.error = 0.05
+        self.error = np.array([0.05, 0.05])  # of labels on clean and on toxic documents
         for _ in range(rounds):
             self._fit()
             self.posterior = self.predict(patterns, labels)
@@ -208,8 +208,9 @@ class LabelModel:
         known = self.labels >= 0
         if known.any():
             alone = self._posterior(self.votes[known], np.full(int(known.sum()), -1))
-            wrong = (self.counts[known] * np.where(self.labels[known] == 1, 1 - alone, alone)).sum()
-            self.error = float(np.clip((wrong + 1) / (self.counts[known].sum() + 20), 0.001, 0.45))
+            of = np.stack([1 - alone, alone]) * self.counts[known]
+            wrong = (of * (self.labels[known] != np.array([[0], [1]]))).sum(1)
+            self.error = np.clip((wrong + 1) / (of.sum(1) + 20), 0.001, 0.45)
 
     def predict(self, patterns: np.ndarray, labels: np.ndarray) -> np.ndarray:
         return self._posterior((patterns[:, None] >> np.arange(VOTERS)) & 1, labels)
@@ -222,7 +223,7 @@ class LabelModel:
                 p = self.table[c, j][above]
                 log[c] += np.log(np.where(v[:, j] == 1, p, 1 - p))
         for c in range(2):
-            log[c] += np.where(labels < 0, 0, np.where(labels == c, np.log(1 - self.error), np.log(self.error)))
+            log[c] += np.where(labels < 0, 0, np.where(labels == c, np.log(1 - self.error[c]), np.log(self.error[c])))
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
 
 
