@@ -46,9 +46,11 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     marked = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"), escape(t["text"]).alias("body"))).alias("turns"))
     parts = marked.select("conv_id", "turns", F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))).alias("parts"))
-    targets = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (F.get("turns", i - 1)["role"] == "assistant") | (i == F.size("turns")))
-    each = parts.select("conv_id", "turns", "parts", F.posexplode(targets).alias("example", "at"))
-    each = each.select("conv_id", F.col("example").cast("long").alias("example"), F.get("turns", F.col("at") - 1).alias("last"), F.array_join(F.slice("parts", 1, F.col("at") - 1), "").alias("context"))
+    chosen = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (F.get("turns", i - 1)["role"] == "assistant") | (i == F.size("turns")))
+    # An example carries its own turn; of the others only the finished parts go along.
+    targets = F.transform(chosen, lambda i: F.struct(i.alias("at"), F.get("turns", i - 1).alias("last")))
+    each = parts.select("conv_id", "parts", F.posexplode(targets).alias("example", "t"))
+    each = each.select("conv_id", F.col("example").cast("long").alias("example"), F.col("t.last").alias("last"), F.array_join(F.slice("parts", 1, F.col("t.at") - 1), "").alias("context"))
     is_target = F.col("last.role") == "assistant"
     return each.select(
         "conv_id", "example", F.concat("context", "last.head", "last.body", F.lit(END)).alias("formatted"),
