@@ -10,11 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.plans import session
 from skein.plans.session import cut, drop, table
 
-__all__ = ["WordHashes", "as_bytes", "chunks", "cut", "drop", "extra", "mix", "ship", "table", "tidy", "window_hashes"]
+__all__ = ["WordHashes", "as_bytes", "chunks", "cut", "drop", "extra", "mix", "sampled", "ship", "table", "tidy", "window_hashes"]
 
 #: Text handed to one vectorised step inside a Python worker, in bytes.
 CHUNK_BYTES = 2_000_000
@@ -125,6 +126,16 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return mix(out)
 
 
+def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """At most ``rows`` of ``total`` rows, drawn by a hash of the key: the same ones in every run.
+
+    Rows are first thinned out to about as many, so partitions do not each send ``rows`` of them.
+    """
+    place = F.pmod(F.xxhash64(key, F.lit(77)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    share = 1.0 if total <= rows else 1.2 * rows / total
+    return df.where(place <= share).orderBy(place, key).limit(rows)
+
+
 def extra(df: DataFrame, kept: tuple[str, ...]) -> None:
     """Fail early and plainly when a needed column is missing."""
     missing = [c for c in kept if c not in df.columns]

@@ -297,7 +297,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("label"))
     )
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # at most sample_rows small rows, so they are broadcast
+    chosen = common.sampled(known, "doc_id", sample_rows, known.count())  # at most sample_rows small rows, so they are broadcast
     sample = common.cut(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), "toxic-sample")
     voters = Voters(induced_lexicon(sample))
     common.drop(sample)
@@ -307,7 +307,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int
     table = joined.groupBy("pattern", "label").count().toPandas()
     if len(table):
         model = LabelModel(table["pattern"].to_numpy(), table["label"].to_numpy(), table["count"].to_numpy())
-        every = joined.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "pattern").limit(sample_rows)
+        every = common.sampled(joined, "doc_id", sample_rows, int(table["count"].sum()))
         rows = every.unionByName(looked.join(F.broadcast(chosen), "doc_id").select(every.columns)).toPandas()
         target = model.predict(rows["pattern"].to_numpy(dtype=int), rows["label"].to_numpy(dtype=int))
         weights = fit_linear([list(map(int, f)) for f in rows["features"]], target, voters.width)
