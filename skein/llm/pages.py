@@ -175,6 +175,8 @@ class Page:
 
     def _close(self, name: str) -> None:
         if not self.open_at.get(name):
+            if name not in _INLINE:
+                self._flush()  # the end of no open block still ends a block's text
             return
         place = self.open_at[name][-1]
         block = self.block_at[-1] if self.block_at else -1
