@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skein.llm.chat import OP4_SQL, op4_chat
 from skein.llm.decontaminate import OP3_SQL, op3_decontaminate
+from skein.llm.fim import OP12_SQL, op12_fim
 from skein.llm.langid import op6_langid
 from skein.llm.mixing import op8_mixing
 from skein.llm.neardup import OP2_SQL, op2_neardup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
+    "op12_fim": op12_fim,
 }
 
 ORACLE: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op4_chat": OP4_SQL,
     "op9_substrings": OP9_SQL,
+    "op12_fim": OP12_SQL,
 }
