@@ -13,6 +13,7 @@ from skein.llm.quality import op10_quality
 from skein.llm.secrets import op7_secrets
 from skein.llm.substrings import OP9_SQL, op9_substrings
 from skein.llm.toxicity import op1_toxicity
+from skein.llm.warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
     "op12_fim": op12_fim,
+    "op13_warc": op13_warc,
 }
 
 ORACLE: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLE: dict[str, str] = {
     "op4_chat": OP4_SQL,
     "op9_substrings": OP9_SQL,
     "op12_fim": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
