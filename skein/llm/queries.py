@@ -9,6 +9,7 @@ from skein.llm.langid import op6_langid
 from skein.llm.mixing import op8_mixing
 from skein.llm.neardup import OP2_SQL, op2_neardup
 from skein.llm.pages import op5_pages
+from skein.llm.phrases import OP11_SQL, op11_phrases
 from skein.llm.quality import op10_quality
 from skein.llm.secrets import op7_secrets
 from skein.llm.substrings import OP9_SQL, op9_substrings
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
+    "op11_phrases": op11_phrases,
     "op12_fim": op12_fim,
     "op13_warc": op13_warc,
 }
@@ -35,6 +37,7 @@ ORACLE: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op4_chat": OP4_SQL,
     "op9_substrings": OP9_SQL,
+    "op11_phrases": OP11_SQL,
     "op12_fim": OP12_SQL,
     "op13_warc": OP13_SQL,
 }
