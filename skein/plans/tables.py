@@ -33,6 +33,33 @@ select qid, tier, p_name, key, position from ranked where position <= 128
 """
 
 
+MANY_LIMIT = 10
+
+
+def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many searches as there are parts: pieces of their long names, some with a character left out; the best ten of each."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_partkey").alias("long_name"))
+    rows = part.select("long_name", F.format_string("%012d", F.col("p_partkey")).alias("key"))
+    piece = F.substring("long_name", F.lit(1) + F.col("p_partkey") % 25, F.lit(2) + F.col("p_partkey") % 6)
+    loose = F.concat(F.left(piece, F.lit(1)), F.substring(piece, F.lit(3), F.lit(9)))
+    asked = part.select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 3 == 0, loose).otherwise(piece).alias("query"))
+    return search(rows, asked, "long_name", "key", MANY_LIMIT).select("qid", F.col("tier").cast("int").alias("tier"), "key", F.col("position").cast("long").alias("position"))
+
+
+MANY_SQL = f"""
+with parts as (select p_partkey as qid, printf('%012d', p_partkey) as key, lower(concat_ws(' ', p_name, p_type, p_brand, p_partkey)) as name from part),
+pieces as (select qid, substring(name, 1 + qid % 25, 2 + qid % 6) as piece from parts),
+asked as (select qid, case when qid % 3 = 0 then substring(piece, 1, 1) || substring(piece, 3, 9) else piece end as query from pieces),
+texts as (select distinct query from asked),
+scored as (
+  select query, name, key, case when query = '' then 3 when name = query then 0 when starts_with(name, query) then 1
+    when contains(name, query) then 2 when regexp_matches(name, '(?s)' || array_to_string(string_split(query, ''), '.*')) then 3 end as tier
+  from parts, texts
+), ranked as (select *, row_number() over (partition by query order by tier, strlen(name), key) as position from scored where tier is not null)
+select qid, tier, key, position from ranked join asked using (query) where position <= {MANY_LIMIT}
+"""
+
+
 def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line item of an order and supplier after the first."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
@@ -315,12 +342,12 @@ select qid, ns as namespace, case when qid % 2 = 0 then r end as alias, case whe
 """
 
 QUERIES = {f.__name__: f for f in (
-    search_tiers, repeated_rows, best_rank, unresolved_keys, debounce, utf16_columns, precedence_chain, library_merge, rescan_merge, last_write,
+    search_tiers, search_many, repeated_rows, best_rank, unresolved_keys, debounce, utf16_columns, precedence_chain, library_merge, rescan_merge, last_write,
     remove_files, cache_plan, alias_copies, settings_overlay, interval_containment, first_wins_walk, name_functions, token_references, candidate_ranks,
 )}
 
 ORACLE = {
-    "search_tiers": SEARCH_SQL, "repeated_rows": REPEATED_SQL, "best_rank": BEST_SQL, "unresolved_keys": UNRESOLVED_SQL, "debounce": DEBOUNCE_SQL,
+    "search_tiers": SEARCH_SQL, "search_many": MANY_SQL, "repeated_rows": REPEATED_SQL, "best_rank": BEST_SQL, "unresolved_keys": UNRESOLVED_SQL, "debounce": DEBOUNCE_SQL,
     "utf16_columns": UTF16_SQL, "precedence_chain": PRECEDENCE_SQL, "library_merge": LIBRARY_SQL, "rescan_merge": RESCAN_SQL, "last_write": LAST_SQL,
     "remove_files": REMOVE_SQL, "cache_plan": CACHE_SQL, "alias_copies": ALIAS_SQL, "settings_overlay": OVERLAY_SQL, "interval_containment": INTERVAL_SQL,
     "first_wins_walk": WALK_SQL, "name_functions": NAMES_SQL, "token_references": REFERENCES_SQL, "candidate_ranks": CANDIDATES_SQL,

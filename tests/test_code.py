@@ -138,15 +138,6 @@ def test_columns_that_clash(spark):
         search.search(rows.withColumn("tier", F.lit(1)), rows.select(F.col("x").alias("qid"), F.col("k").alias("query")), "k", "k")
 
 
-def test_search_in_blocks(spark, monkeypatch):
-    rows = spark.createDataFrame([("alpha",), ("beta",), ("alphabet",), ("",), (None,)], "name string")
-    asked = spark.createDataFrame([(1, "alpha"), (2, "b"), (3, "ab"), (4, "")], "qid int, query string")
-    one = {tuple(r) for r in search.search(rows, asked, "name", "name").select("qid", "name", "tier", "position").collect()}
-    monkeypatch.setattr(search, "BLOCK", 1)
-    assert one == {tuple(r) for r in search.search(rows, asked, "name", "name").select("qid", "name", "tier", "position").collect()}
-    assert {(q, n, t) for q, n, t, _ in one if q == 1} == {(1, "alpha", 0), (1, "alphabet", 1)}
-
-
 def test_empty_relations(spark):
     r = code.Relations(packed_of(spark, []))
     special = spark.createDataFrame([], "name string")
