@@ -129,11 +129,14 @@ def precedence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which name a customer key resolves to: a supplier's, else a part's brand, else its nation's; the rule that hit."""
     asked = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     rules = [
-        (table(spark, sf_dir, "supplier").where("s_acctbal > 5000"), F.col("c_custkey") == F.col("s_suppkey"), F.col("s_name")),
-        (table(spark, sf_dir, "part").where("p_size < 10"), F.col("c_custkey") == F.col("p_partkey"), F.col("p_brand")),
-        (table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), F.col("n_name")),
-    ]
-    return first_hit(asked, "c_custkey", rules, ["name", "rule"]).select("c_custkey", "name", F.col("rule").cast("int").alias("rule"))
+        ("supplier", "s_acctbal > 5000", "s_suppkey", "s_name", "c_custkey"), ("part", "p_size < 10", "p_partkey", "p_brand", "c_custkey"), ("nation", "true", "n_nationkey", "n_name", "c_nationkey"),
+    ]
+    known = None
+    for name, rule, key, value, _ in rules:
+        one = table(spark, sf_dir, name).where(rule).select(F.concat(F.lit(f"{name}:"), F.col(key)).alias("term"), F.col(value).alias("name"))
+        known = one if known is None else known.unionByName(one)
+    tries = F.array(*[F.struct(F.lit(k).alias("rank"), F.concat(F.lit(f"{name}:"), F.col(own)).alias("term")) for k, (name, _, _, _, own) in enumerate(rules)])
+    return first_hit(asked, "c_custkey", tries, known).select("c_custkey", "hit.name", F.col("rank").cast("int").alias("rule"))
 
 
 PRECEDENCE_SQL = """

@@ -219,11 +219,16 @@ class Relations:
         own = self.symbols.where(F.col("ns") == CORE_NS).select("name")
         return (own if self.core is None else own.unionByName(self.core.select("name"))).distinct()
 
+    @property
+    def usages(self) -> DataFrame:
+        """Usages as their file alone explains them; ``open`` is a bare name that nothing there explains."""
+        return self._exploded("occurrences").drop("source_path", "scan_seq")
+
     @property
     def occurrences(self) -> DataFrame:
         """Usages; a bare name that nothing in its file explains is the core namespace's if that has it."""
         core = self.core_names.select(F.col("name").alias("open"), F.lit(True).alias("is_core"))
-        found = self._exploded("occurrences").drop("source_path", "scan_seq").join(core, "open", "left")
+        found = self.usages.join(core, "open", "left")
         return found.withColumn("fqn", F.when(F.col("is_core"), F.concat(F.lit(f"{CORE_NS}/"), "open")).otherwise(F.col("fqn"))).drop("open", "is_core")
 
     @property
