@@ -362,15 +362,56 @@ _CARDS[1] = "'```clojure' || chr(10) || " + _sql("(defn f{b} [x y])") + " || chr
 HOVER_SQL = _CTE + " union all ".join(f"select k * 10 + {at} as qid, {_sql(_WORDS[at][0])} as word, {text} as text from part_links where k % 20 = 0" for at, text in enumerate(_CARDS))
 
 
-def code_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that prefixes grow into, by pool."""
-    r = relations(spark, sf_dir)
-    base = _asked(spark, sf_dir)
-    asked = base.select((F.col("k") * 10).alias("qid"), F.lit("a/g").alias("prefix"), _columns("p.n{k}").alias("ns")).unionByName(base.select((F.col("k") * 10 + 1).alias("qid"), _columns("h{k}").alias("prefix"), _columns("p.n{k}").alias("ns")))
-    return completion.complete(asked, r.namespaces, r.symbols, r.core_names, _special(spark))
+# What is typed in every twentieth part's namespace; the last one stands at the place of a local.
+_TYPED = ["a/g", "h{k}", "f{b}", "sl", "i", "b", "p.n{k}", "Part{k}", "host.Box{k}/s", "zn{k}", "w"]
 
 
-COMPLETION_SQL = _CTE + f"select k * 10 as qid, 'alias member' as pool, {_sql('a/g{a}')} as label from part_links where k % 20 = 0 union all select k * 10 + 1, 'own', {_sql('h{k}')} from part_links where k % 20 = 0"
+def _host_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A host class for each part, with a static method, a static field and a method of its instances."""
+    rows = parts(spark, sf_dir)
+    spelled = [("Box{k}", "class", False), ("size{k}", "method", True), ("spare", "field", True), ("start", "method", False)]
+    texts = F.lit(None).cast("array<string>")
+    out = None
+    for line, (name, kind, static) in enumerate(spelled):
+        span = F.struct(F.lit(line).alias("start_line"), F.lit(0).alias("start_char"), F.lit(line).alias("end_line"), F.length(_columns(name)).alias("end_char"))
+        one = rows.select(
+            _columns("host.Box{k}").alias("class"), _columns(name).alias("name"), F.lit(kind).alias("kind"), F.lit(static).alias("is_static"), F.lit("(int n)" if kind == "method" else "").alias("params"),
+            F.lit("int").alias("returns"), F.lit(None).cast("string").alias("doc"), texts.alias("extends"), texts.alias("implements"), _columns("host/Box{k}.java").alias("file"), span.alias("range"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def code_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that prefixes grow into, from all pools: own, referred, built-in, native, local, aliases, namespaces, classes, their members."""
+    r, base = relations(spark, sf_dir), _asked(spark, sf_dir)
+    typed = F.explode(F.array(*[F.struct(F.lit(at).alias("at"), _columns(t).alias("prefix")) for at, t in enumerate(_TYPED)]))
+    asked = base.select("k", _columns("p.n{k}").alias("ns"), typed.alias("t")).select((F.col("k") * 100 + F.col("t.at")).alias("qid"), "t.prefix", "ns")
+    place = base.select((F.col("k") * 100 + 10).alias("qid"), _columns(FILE).alias("file"), F.lit(8).alias("line"), F.length(_columns(_before(H_LINE, "x g{k}"))).alias("ch"), F.lit("w").alias("prefix"))
+    every = parts(spark, sf_dir)
+    return completion.complete(
+        asked, r.namespaces, r.symbols, r.core_names, _special(spark), classes=every.select(_columns("host.m{a}.Part{k}").alias("fqn")), members=_host_members(spark, sf_dir),
+        visible_locals=references.local_completions(place, r.bindings), natives=every.select(_columns("zn{k}").alias("name")),
+    )
+
+
+COMPLETION_SQL = _CTE + f"""
+, asked as (select * from part_links where k % 20 = 0),
+classes as (select a.k, 'Part' || p.k as label, row_number() over (partition by a.k order by 'host.m' || p.a || '.Part' || p.k) as place from asked a join part_links p on starts_with('Part' || p.k, 'Part' || a.k))
+select k * 100 as qid, 'alias member' as pool, {_sql('a/g{a}')} as label from asked
+union all select a.k * 100 + 1, 'own', 'h' || a.k from asked a
+union all select k * 100 + 2, 'refer', 'f' || b from asked
+union all select k * 100 + 2, 'own', 'f' || k from asked where starts_with('f' || k, 'f' || b)
+union all select k * 100 + 3, 'core', 'slurp' from asked
+union all select k * 100 + 4, 'special', 'if' from asked
+union all select k * 100 + 5, 'alias', 'b' from asked
+union all select a.k * 100 + 6, 'namespace', 'p.n' || p.k from asked a join part_links p on starts_with('p.n' || p.k, 'p.n' || a.k)
+union all select distinct k * 100 + 7, 'class', label from classes where place <= 50
+union all select k * 100 + 8, 'static', 'host.Box' || k || '/' || m.name from asked, (values ('size'), ('spare')) as m(name) where m.name <> 'size'
+union all select k * 100 + 8, 'static', 'host.Box' || k || '/size' || k from asked
+union all select a.k * 100 + 9, 'native', 'zn' || p.k from asked a join part_links p on starts_with('zn' || p.k, 'zn' || a.k)
+union all select k * 100 + 10, 'local', 'w' from asked
+"""
 
 
 def code_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
