@@ -1,15 +1,26 @@
-"""Library archives read once: a table of their extracted rows, kept by path and time of change."""
+"""Library archives read once: their extracted rows in one partition for each archive.
+
+A partition is replaced when its archive changes, and nothing else is written;
+archives that are gone are passed over by the join with the listing, which also
+prunes the partitions that are read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators.merge import cache_plan
-from skein.sources.code import PACKED, extract, read_archives
+from skein.plans.session import cut
+from skein.sources.archives import entries_in
+from skein.sources.code import ARCHIVE_PATTERN, PACKED, extract
 
 #: Changes when the packed rows change, so that rows of an older engine are read anew.
-VERSION = 2
+VERSION = 3
+KEY = "archive_key"
+#: Archives whose partitions one task writes.
+TASK_ARCHIVES = 64
 
 
 def archives(spark: SparkSession, root: str) -> DataFrame:
@@ -18,43 +29,51 @@ def archives(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.unix_timestamp("modificationTime").alias("mtime"))
 
 
-def load(spark: SparkSession, cache: str) -> DataFrame:
-    """The cached rows of the newest complete generation, or none."""
-    found = generations(spark, cache)
-    if found:
-        return spark.read.parquet(f"{cache.rstrip('/')}/g{found[-1]}")
-    empty = spark.createDataFrame([], PACKED)
-    return empty.withColumn("version", F.lit(VERSION)).withColumn("archive", F.lit("")).withColumn("mtime", F.lit(0).cast("long"))
+def _key(path: Column) -> Column:
+    return F.md5(path)
 
 
-def generations(spark: SparkSession, cache: str) -> list[int]:
-    """Numbers of the complete generations of the cache, in order."""
+def load(spark: SparkSession, cache: str) -> DataFrame:
+    """The cached rows (packed rows, version, archive, mtime and the partition's key), or none."""
     root = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    done = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done if n[:1] == "g" and n[1:].isdigit())
+    schema = spark.createDataFrame([], PACKED).selectExpr("*", "0 as version", "'' as archive", "0L as mtime", f"'' as {KEY}").schema
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(cache)
+
+
+def stale_archives(spark: SparkSession, root: str, cache: str, version: int = VERSION) -> DataFrame:
+    """(path, mtime) of the archives that the cache does not hold as they are now."""
+    held = load(spark, cache).where(F.col("version") == version).select(F.col("archive").alias("path"), "mtime").distinct()
+    return archives(spark, root).join(held, ["path", "mtime"], "left_anti")
 
 
 def packed_archives(spark: SparkSession, root: str, cache: str, version: int = VERSION) -> DataFrame:
-    """Packed rows of all archives under ``root``: cached ones that still hold, the others read anew; the union is saved.
+    """Packed rows of all archives under ``root``: partitions that still hold stay, the others are read and written anew.
 
-    Rows of archives that are gone or changed leave the cache. An archive without sources is remembered by one
-    row without a path.
+    An archive without sources, and one that cannot be read, is remembered by one row without a path. A file that
+    cannot be read keeps its reason.
     """
-    listed = archives(spark, root)
-    cached = load(spark, cache).withColumnRenamed("path", "entry").withColumnRenamed("archive", "path")
-    stale, valid = cache_plan(listed, cached, version)
-    valid = valid.withColumnRenamed("path", "archive").withColumnRenamed("entry", "path")
-    entries = read_archives(spark, root, only=stale).withColumn("source_kind", F.lit("jar"))
-    fresh = extract(entries.where("text is not null").select("path", "text", "source_kind", "source_path"))
-    seen = stale.select(F.col("path").alias("archive"), "mtime")
-    fresh = seen.join(fresh, F.col("archive") == F.col("source_path"), "left").withColumn("version", F.lit(version))
-    done = generations(spark, cache)
-    target = f"{cache.rstrip('/')}/g{(done[-1] if done else 0) + 1}"
-    valid.select(fresh.columns).unionByName(fresh).write.parquet(target)
-    for old in done[:-1]:  # a reader of the generation before may still be at work
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{cache.rstrip('/')}/g{old}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return spark.read.parquet(target).where("path is not null").select(PACKED.fieldNames())
+    stale = cut(stale_archives(spark, root, cache, version), "stale")
+    n = stale.count()
+    if n:
+        entries = entries_in(stale.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4)), "path"), ARCHIVE_PATTERN)
+        texts = entries.where("text is not null").select("path", "text", F.lit("jar").alias("source_kind"), "source_path")
+        fresh = stale.select(F.col("path").alias("archive"), "mtime").join(extract(texts), F.col("archive") == F.col("source_path"), "left")
+        rows = fresh.select(*PACKED.fieldNames(), F.lit(version).alias("version"), "archive", F.col("mtime").cast("long").alias("mtime"), _key(F.col("archive")).alias(KEY))
+        # A partition is one archive's: its rows meet in one task, so it is one file.
+        rows.repartition(-(-n // TASK_ARCHIVES), KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEY).parquet(cache)
+    listed = archives(spark, root).select(_key(F.col("path")).alias(KEY), F.col("mtime").alias("now"))
+    held = load(spark, cache).where(F.col("version") == version)
+    return held.join(listed, KEY).where("mtime = now and path is not null").select(PACKED.fieldNames())
+
+
+def vacuum(spark: SparkSession, root: str, cache: str) -> int:
+    """Remove the partitions of archives that are gone; returns how many."""
+    keys = archives(spark, root).select(_key(F.col("path")).alias(KEY))
+    gone = load(spark, cache).select(KEY).distinct().join(keys, KEY, "left_anti")
+    removed = 0
+    for row in gone.toLocalIterator():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{re.sub('/+$', '', cache)}/{KEY}={row[KEY]}")
+        removed += bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+    return removed

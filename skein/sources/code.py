@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +11,8 @@ from pyspark.sql import types as T
 
 from skein.functions.facts import CORE_NAMES, CORE_NS, Facts, file_facts
 from skein.plans.session import ship
+from skein.sources.archives import entries_in, read_entries
+from skein.sources.ignore import ignore_rules, kept
 
 #: Extensions of source files, and files that only declare a build.
 SOURCE_PATTERN = r"[.](?:clj|cljs|cljc|lg)$"
@@ -63,100 +62,23 @@ def read_files(spark: SparkSession, root: str, glob: str = "*", ignored: bool =
     """Files under a root: path, text, mtime.
 
     Hidden files and folders are left out (Spark's listing passes over names that begin with a dot or an underscore),
-    and what the ignore files of the tree exclude, unless ``ignored``.
+    and what the ignore files of the tree exclude, unless ``ignored``. Contents are read of the files that stay.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    if not ignored:
-        raw = raw.where(~is_ignored(_plain_path(), ignore_rules(spark, root)))
-    return raw.select(_plain_path().alias("path"), F.decode("content", "UTF-8").alias("text"), F.unix_timestamp("modificationTime").alias("mtime"))
-
-
-IGNORE_FILES = (".gitignore", ".ignore")
-
-
-def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
-    """Rules (pattern of paths, excluded?) of the ignore files under a root, outer folders first; later rules win."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, folders = [], [path]
-    while folders:
-        folder = folders.pop()
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            if status.isDirectory() and not name.startswith((".", "_")):
-                folders.append(status.getPath())
-            elif name in IGNORE_FILES:
-                stream = fs.open(status.getPath())
-                text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
-                stream.close()
-                where = folder.toUri().getPath().rstrip("/")
-                found.append((where.count("/"), where, IGNORE_FILES.index(name), text))
-    return [rule for _, where, _, text in sorted(found) for rule in parse_ignore(where, text)]
-
-
-def parse_ignore(folder: str, text: str) -> list[tuple[str, bool]]:
-    """Rules of one ignore file: globs by line; a leading ``!`` takes back, a slash inside ties to the folder."""
-    rules = []
-    for line in text.splitlines():
-        line = line.rstrip() if not line.endswith("\\ ") else line
-        if not line or line.startswith("#"):
-            continue
-        excluded, glob = not line.startswith("!"), line.removeprefix("!")
-        only_folders, body = glob.endswith("/"), glob.strip("/")
-        tied = "/" in glob.rstrip("/")
-        parts = []
-        for token in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[!?[^\]]+\]|\\.|[^*?\[\\]+|.", body, re.S):
-            special = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(token)
-            if special is None and token[0] == "[" and len(token) > 1:
-                special = "[" + token[1:].replace("!", "^", 1) if token[1] == "!" else token
-            parts.append(special if special is not None else re.escape(token[1:] if token[0] == "\\" and len(token) > 1 else token))
-        # A rule for a folder holds for all that lies in it.
-        rules.append((f"^{re.escape(folder)}/{'' if tied else '(?:.*/)?'}{''.join(parts)}{'/.*' if only_folders else '(?:/.*)?'}$", excluded))
-    return rules
-
-
-def is_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
-    """Does the last rule that fits the path exclude it?"""
-    verdict = F.lit(False)
-    for pattern, excluded in rules:
-        verdict = F.when(F.rlike(path, F.lit(pattern)), F.lit(excluded)).otherwise(verdict)
-    return verdict
+    read = raw.select(_plain_path().alias("path"), F.decode("content", "UTF-8").alias("text"), F.unix_timestamp("modificationTime").alias("mtime"))
+    if ignored:
+        return read
+    listed = raw.select(_plain_path().alias("path"))
+    return read.join(kept(listed, ignore_rules(listed, root), root), "path", "left_semi")
 
 
 def read_archives(spark: SparkSession, root: str, pattern: str = ARCHIVE_PATTERN, only: DataFrame | None = None) -> DataFrame:
     """Entries of archives under a root as files: path ``archive!/entry``, text, mtime, source_path, problem.
 
     An archive or entry that cannot be read is a row without text whose ``problem`` says why. Entries come out one by one.
-    ``only`` (path) names the archives to read.
+    ``only`` (path, mtime) names the archives to read.
     """
-    ship(spark)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jar,zip}").load(root)
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = re.compile(pattern)
-        for batch in batches:
-            for path, mtime, content in zip(batch["path"], batch["mtime"], batch["content"], strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    names = [n for n in archive.namelist() if wanted.search(n)]
-                except zipfile.BadZipFile as fault:
-                    yield pd.DataFrame([(path, None, mtime, path, str(fault))], columns=_ENTRY)
-                    continue
-                for name in names:
-                    text, problem = None, None
-                    try:
-                        text = archive.read(name).decode("utf-8", "replace")
-                    except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as fault:
-                        problem = str(fault)
-                    yield pd.DataFrame([(f"{path}!/{name}", text, mtime, path, problem)], columns=_ENTRY)
-
-    named = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), "content")
-    if only is not None:
-        named = named.join(only.select("path").distinct(), "path", "left_semi").select("path", "mtime", "content")
-    return named.mapInPandas(entries, "path string, text string, mtime long, source_path string, problem string")
-
-
-_ENTRY = ["path", "text", "mtime", "source_path", "problem"]
+    return read_entries(spark, root, pattern) if only is None else entries_in(only, pattern)
 
 
 def extract(files: DataFrame, lint_as: dict[str, str] | None = None, core: frozenset[str] = CORE_NAMES) -> DataFrame:

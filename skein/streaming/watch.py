@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from skein.operators.editing import route_changes
 from skein.plans.session import cut
-from skein.sources.code import PACKED, extract, ignore_rules, is_ignored, is_source
+from skein.sources.code import PACKED, extract, is_source
+from skein.sources.ignore import ignore_rules, kept
 from skein.streaming.documents import FileTable
 
 LISTED = "path string, mtime timestamp, length long"
@@ -17,7 +18,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime, length) of the files under a root that its ignore files leave; contents are not read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     found = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("mtime"), "length")
-    return found.where(~is_ignored(F.col("path"), ignore_rules(spark, root)))
+    return kept(found, ignore_rules(found.select("path"), root), root)
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -95,30 +95,6 @@ def test_ignore_files(spark, tmp_path):
     assert code.read_files(spark, str(tmp_path), "*.clj", ignored=True).count() == 8
 
 
-def test_archives_are_read_once(spark, tmp_path):
-    libs, kept = tmp_path / "libs", str(tmp_path / "cache")
-    libs.mkdir()
-
-    def jar(name, text):
-        with zipfile.ZipFile(libs / name, "w") as out:
-            out.writestr("b/c.clj", text)
-
-    jar("one.jar", "(ns b.c) (def x 1)")
-    jar("two.jar", "(ns d) (def y 1)")
-    (libs / "bad.jar").write_text("no archive")
-    names = lambda p: {s["fqn"] for s in code.Relations(p).symbols.collect()}
-    assert names(cache.packed_archives(spark, str(libs), kept)) == {"b.c/x", "d/y"}
-    listed = cache.archives(spark, str(libs))
-    stale, valid = merge.cache_plan(listed, cache.load(spark, kept).withColumnRenamed("path", "entry").withColumnRenamed("archive", "path"), cache.VERSION)
-    assert stale.count() == 0 and valid.select("path").distinct().count() == 3
-    (libs / "two.jar").unlink()
-    jar("three.jar", "(ns e) (def z 1)")
-    assert names(cache.packed_archives(spark, str(libs), kept)) == {"b.c/x", "e/z"}
-    assert cache.generations(spark, kept) == [1, 2]
-    problems = [r["problem"] for r in code.read_archives(spark, str(libs)).where("problem is not null").collect()]
-    assert len(problems) == 1
-
-
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     table = documents.FileTable(str(tmp_path / "t"))
     one = spark.createDataFrame([("a", 1), ("b", 2)], "file string, x int")
