@@ -87,17 +87,6 @@ def indent_at(text: str) -> int | None:
     return column + (form.kind in _CALLS and bool(form.kids) and form.kids[0].kind == "symbol" and not form.kids[0].meta)
 
 
-def apply_edits(text: str, edits: list[tuple[int, int, int, int, str]]) -> str:
-    """Edits (start, end, text) in order, each on the outcome of the one before; a full replacement has line -1."""
-    for line, ch, to_line, to_ch, new in edits:
-        if line < 0:
-            text = new
-            continue
-        lines = Lines(text)
-        text = text[: lines.offset(line, ch)] + new + text[lines.offset(to_line, to_ch) :]
-    return text
-
-
 _WORD_AT = T.StructType([T.StructField("word", T.StringType()), T.StructField("is_keyword", T.BooleanType())])
 _CALL_AT = T.StructType([T.StructField("head", T.StringType()), T.StructField("argument", T.IntegerType())])
 
@@ -122,4 +111,4 @@ def split_params_udf(arity: pd.Series) -> pd.Series:
     return arity.map(lambda a: split_params(a or ""))
 
 
-__all__ = ["active_arity", "apply_edits", "call_at", "call_at_udf", "indent_at", "indent_udf", "is_ident", "split_arities", "split_params", "split_params_udf", "utf16", "word_at", "word_at_udf"]
+__all__ = ["active_arity", "call_at", "call_at_udf", "indent_at", "indent_udf", "is_ident", "split_arities", "split_params", "split_params_udf", "utf16", "word_at", "word_at_udf"]

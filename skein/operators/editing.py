@@ -75,5 +75,5 @@ def route_changes(changes: DataFrame) -> DataFrame:
     """(path, kind) to what a watched change asks for: read the file again, drop it, or rebuild more."""
     name = F.element_at(F.split("path", "/"), -1)
     manifest = name.isin("deps.edn", "lgx.edn", "project.clj", "bb.edn", "shadow-cljs.edn") | F.endswith("path", F.lit(".cp"))
-    action = F.when(name == "config.edn", "rebuild").when(manifest, "libraries").when(F.col("kind") == "deleted", "remove").otherwise("extract")
+    action = F.when(name.isin("config.edn", ".gitignore", ".ignore"), "rebuild").when(manifest, "libraries").when(F.col("kind") == "deleted", "remove").otherwise("extract")
     return changes.select("path", action.alias("action"))

@@ -1,71 +1,114 @@
-"""Open documents as a stream: edits with state, debounced checks, replacement by file."""
+"""Open documents as a stream: edits with state and timers, debounced checks, replacement by file."""
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from skein.functions.cursor import apply_edits
+from skein.functions.edits import fold
 from skein.operators.merge import remove_files, unused_name
-from skein.plans.session import ship
+from skein.plans.session import cut, ship
 
 DEBOUNCE_MS = 300
 EVENT = "uri string, kind string, version int, text string, edits array<struct<line:int,ch:int,to_line:int,to_ch:int,text:string>>"
-DOCUMENT = "uri string, version int, text string, open boolean"
+DOCUMENT = "uri string, version int, text string, open boolean, settled boolean"
+#: Stateful operators of this kind need Spark's RocksDB store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _apply(uri: str, events: pd.DataFrame, version: int, text: str | None) -> tuple[int, str | None]:
-    for event in events.sort_values("version", kind="stable").itertuples(index=False):
-        if event.kind == "close":
-            version, text = event.version, None
-        elif event.kind == "open":
-            version, text = event.version, event.text or ""
-        elif text is not None and event.version > version:  # a stale version changes nothing
-            edits = [(e["line"], e["ch"], e["to_line"], e["to_ch"], e["text"]) for e in (event.edits if event.edits is not None else [])]
-            version, text = event.version, apply_edits(text, edits)
-    return version, text
+class Documents(StatefulProcessor):
+    """One open document: its text as of the last settled version, the edits since, and the timer that settles them.
 
+    Each batch of events gives the document as it is (``settled`` false); when no event came for ``gap_ms`` a timer
+    folds the edits into the text and gives it once more, settled. Closing forgets the document; so does an idle
+    time of ``ttl_ms``, where one is given.
+    """
 
-def documents(events: DataFrame) -> DataFrame:
-    """Each document after each batch of its events: opened, edited in order of version, closed."""
-    ship(events.sparkSession)
+    def __init__(self, gap_ms: int, ttl_ms: int | None):
+        self.gap_ms, self.ttl_ms = gap_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.base = handle.getValueState("base", "version int, text string, newest int, due long", self.ttl_ms)
+        self.edits = handle.getListState("edits", "line int, ch int, to_line int, to_ch int, text string", self.ttl_ms)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.iloc[0]
+        self.base.update((int(first["version"]), first["text"] or "", int(first["version"]), -1))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values("version", kind="stable")
+        base = self.base.get() if self.base.exists() else None
+        pending, last = [], -1
+        for e in events.itertuples(index=False):
+            if e.kind == "close":
+                base, last, pending = None, e.version, []
+                self.edits.clear()
+            elif e.kind == "open":
+                base, pending = (e.version, e.text or "", e.version, base[3] if base else -1), []
+                self.edits.clear()
+            elif base is not None and e.version > base[2]:  # a stale version changes nothing
+                pending += [(x["line"], x["ch"], x["to_line"], x["to_ch"], x["text"]) for x in (e.edits if e.edits is not None else [])]
+                base = (base[0], base[1], e.version, base[3])
+        if base is None:
+            if self.base.exists():
+                self._forget_timer(self.base.get()[3])
+                self.base.clear()
+            yield _row(key[0], last if last >= 0 else int(events["version"].max()), None, False)
+            return
+        if pending:
+            self.edits.appendList(pending)
+        self._forget_timer(base[3])
+        due = timerValues.getCurrentProcessingTimeInMs() + self.gap_ms
+        self.handle.registerTimer(due)
+        self.base.update((base[0], base[1], base[2], due))
+        yield _row(key[0], base[2], fold(base[1], self.edits.get()), False)
+
+    def _forget_timer(self, due: int) -> None:
+        if due >= 0:
+            self.handle.deleteTimer(due)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.base.exists():
+            return
+        _, text, newest, _ = self.base.get()
+        text = fold(text, self.edits.get())
+        self.edits.clear()
+        self.base.update((newest, text, newest, -1))
+        yield _row(key[0], newest, text, True)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, text = state.get if state.exists else (-1, None)
-        version, text = _apply(key[0], pd.concat(list(batches)), version, text)
-        if text is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((version, text))
-        yield pd.DataFrame([(key[0], version, text, text is not None)], columns=["uri", "version", "text", "open"])
+    def close(self) -> None:
+        pass
 
-    return events.groupBy("uri").applyInPandasWithState(run, DOCUMENT, "version int, text string", "append", GroupStateTimeout.NoTimeout)
 
+def _row(uri: str, version: int, text: str | None, settled: bool) -> pd.DataFrame:
+    return pd.DataFrame([(uri, version, text, text is not None, settled)], columns=["uri", "version", "text", "open", "settled"])
 
-def debounced(changes: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
-    """(uri, version): versions that no later one followed within the gap, by processing-time timers."""
-    ship(changes.sparkSession)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            version = state.get[0]
-            state.remove()
-            yield pd.DataFrame([(key[0], version)], columns=["uri", "version"])
-            return
-        newest = max(int(b["version"].max()) for b in batches)
-        if not state.exists or newest >= state.get[0]:
-            state.update((newest,))
-        state.setTimeoutDuration(gap_ms)
-        yield pd.DataFrame([], columns=["uri", "version"])
 
-    return changes.select("uri", "version").groupBy("uri").applyInPandasWithState(run, "uri string, version int", "version int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def documents(events: DataFrame, gap_ms: int = DEBOUNCE_MS, ttl_ms: int | None = None, opened: DataFrame | None = None) -> DataFrame:
+    """Each document (``DOCUMENT``) after each batch of its events, and once more when it has been left alone for ``gap_ms``.
+
+    ``opened`` (uri, version, text) are documents that are open when the stream begins.
+    """
+    spark = events.sparkSession
+    ship(spark)
+    if spark.conf.get(STORE[0], "") != STORE[1]:
+        raise RuntimeError(f"set {STORE[0]} to {STORE[1]}: Spark keeps this kind of state nowhere else")
+    start = None if opened is None else opened.select("uri", "version", "text").groupBy("uri")
+    return events.groupBy("uri").transformWithStateInPandas(
+        statefulProcessor=Documents(gap_ms, ttl_ms), outputStructType=DOCUMENT, outputMode="Append", timeMode="ProcessingTime", initialState=start
+    )
+
+
+def debounced(changes: DataFrame, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
+    """(uri, version) of a stream of changes: versions that no later one followed within the gap."""
+    events = changes.select("uri", F.lit("open").alias("kind"), "version", F.lit("").alias("text"), F.lit(None).cast(EVENT.partition("edits ")[2]).alias("edits"))
+    return documents(events, gap_ms).where("settled").select("uri", "version")
 
 
 def settled(events: DataFrame, keys: list[str], ts: str, order: str, gap: Column) -> DataFrame:
@@ -76,78 +119,53 @@ def settled(events: DataFrame, keys: list[str], ts: str, order: str, gap: Column
 
 
 class FileTable:
-    """Rows by file in buckets of a hash, replaced a batch at a time.
+    """Rows by file in a plain parquet table, partitioned by a hash of the file and replaced a batch at a time.
 
-    A batch writes new versions of the buckets that its files fall in and then one small commit, which names the
-    version of each bucket; readers follow the newest commit and see whole batches. A batch that is played again
-    finds its commit and changes nothing, and of two writers of one commit the second fails. Versions that the last
-    two commits no longer name are removed.
+    A batch rewrites the partitions that its files fall in, by Spark's own dynamic overwrite, and no others. Replacing
+    is idempotent, so a batch that a stream plays again does no harm whatever its number, and streams with
+    checkpoints of their own may follow each other on one table.
     """
 
     BUCKETS = 64
+    BUCKET = "file_bucket"
 
     def __init__(self, path: str, file: str = "file"):
         self.path, self.file = path.rstrip("/"), file
 
-    def _fs(self, spark: SparkSession):
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path
-        return hadoop, path, path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _commits(self, spark: SparkSession) -> list[str]:
-        _, path, fs = self._fs(spark)
-        folder = path(f"{self.path}/commits")
-        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-
-    def _state(self, spark: SparkSession, commit: str) -> dict:
-        _, path, fs = self._fs(spark)
-        stream = fs.open(path(f"{self.path}/commits/{commit}"))
-        text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        stream.close()
-        return json.loads(text)
-
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.file), F.lit(self.BUCKETS)).cast("int")
 
-    def _folders(self, versions: dict[str, str]) -> list[str]:
-        return [f"{self.path}/rows/{version}/_bucket={bucket}" for bucket, version in versions.items()]
+    def _exists(self, spark: SparkSession) -> bool:
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
     def read(self, like: DataFrame) -> DataFrame:
+        """The rows of the table, with the columns of ``like``."""
         spark = like.sparkSession
-        commits = self._commits(spark)
-        folders = self._folders(self._state(spark, commits[-1])["versions"]) if commits else []
-        return spark.read.schema(like.schema).parquet(*folders) if folders else like.limit(0)
+        if not self._exists(spark):
+            return like.limit(0)
+        # A partition that lost its last file holds one row without a file.
+        return spark.read.schema(like.schema).parquet(self.path).where(F.col(self.file).isNotNull()).select(like.columns)
 
-    def replace(self, rows: DataFrame, deleted: DataFrame | None = None, batch: int | None = None) -> None:
-        """The rows' files, and those deleted, give way to the rows. ``batch`` is the number of a stream's batch."""
+    def replace(self, rows: DataFrame, deleted: DataFrame | None = None) -> None:
+        """The rows' files, and those deleted, give way to the rows."""
         spark = rows.sparkSession
-        commits = self._commits(spark)
-        before = self._state(spark, commits[-1]) if commits else {"versions": {}, "batch": -1}
-        if batch is not None and batch <= before["batch"]:
-            return
-        rows = rows.persist()
+        rows = cut(rows, "replaced")
         files = rows.select(self.file)
-        files = (files if deleted is None else files.unionByName(deleted.select(self.file))).distinct().withColumn("_bucket", self._bucket())
-        touched = sorted(r["_bucket"] for r in files.select("_bucket").distinct().collect())  # at most BUCKETS numbers
-        old = {str(b): before["versions"][str(b)] for b in touched if str(b) in before["versions"]}
-        rest = remove_files(spark.read.schema(rows.schema).parquet(*self._folders(old)), files, self.file) if old else rows.limit(0)
-        version = f"v{len(commits) + 1:09d}-{uuid.uuid4().hex[:8]}"
-        every = rest.unionByName(rows).withColumn("_bucket", self._bucket())
-        every.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/rows/{version}")
-        rows.unpersist()
-        _, path, fs = self._fs(spark)
-        made = {str(b) for b in touched if fs.exists(path(f"{self.path}/rows/{version}/_bucket={b}"))}
-        versions = {b: v for b, v in before["versions"].items() if int(b) not in touched} | dict.fromkeys(sorted(made), version)
-        last = before["batch"] if batch is None else batch
-        stream = fs.create(path(f"{self.path}/commits/{len(commits) + 1:09d}.json"), False)  # fails if another writer was first
-        stream.write(bytearray(json.dumps({"versions": versions, "batch": last}).encode()))
-        stream.close()
-        named = set(versions.values()) | set(before["versions"].values())
-        for status in fs.listStatus(path(f"{self.path}/rows")):
-            name = status.getPath().getName()
-            if name not in named and name < version:
-                fs.delete(status.getPath(), True)
+        files = cut((files if deleted is None else files.unionByName(deleted.select(self.file))).distinct().withColumn(self.BUCKET, self._bucket()), "touched")
+        buckets = [r[0] for r in files.select(self.BUCKET).distinct().collect()]  # at most BUCKETS numbers
+        if not buckets:
+            return
+        old = rows.limit(0)
+        if self._exists(spark):
+            held = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(self.BUCKET, T.IntegerType())])).parquet(self.path).where(F.col(self.BUCKET).isin(buckets))
+            old = remove_files(held.where(F.col(self.file).isNotNull()), files, self.file).select(rows.columns)
+        every = old.unionByName(rows).withColumn(self.BUCKET, self._bucket())
+        marks = files.select(self.BUCKET).distinct().select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema], self.BUCKET)
+        # What is written is read of the partitions that it replaces, so it is cut first.
+        whole = cut(every.unionByName(marks), "whole")
+        whole.repartition(len(buckets), self.BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.BUCKET).parquet(self.path)
 
     def sink(self, stream: DataFrame, checkpoint: str):
         """A streaming query that keeps this table current."""
-        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, batch: self.replace(rows, batch=batch)).start()
+        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: self.replace(rows)).start()

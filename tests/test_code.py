@@ -98,12 +98,29 @@ def test_ignore_files(spark, tmp_path):
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     table = documents.FileTable(str(tmp_path / "t"))
     one = spark.createDataFrame([("a", 1), ("b", 2)], "file string, x int")
-    table.replace(one, batch=0)
-    table.replace(spark.createDataFrame([("a", 5)], one.schema), batch=1)
-    table.replace(spark.createDataFrame([("a", 7)], one.schema), batch=1)
-    assert {tuple(r) for r in table.read(one).collect()} == {("a", 5), ("b", 2)}
-    state = json.loads((tmp_path / "t" / "commits" / "000000002.json").read_text())
-    assert len(set(state["versions"].values())) == 2  # the bucket of b was not written again
+    table.replace(one)
+    held = lambda: {tuple(r) for r in table.read(one).collect()}
+    parts = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = parts()
+    for _ in range(2):
+        table.replace(spark.createDataFrame([("a", 5)], one.schema))
+        assert held() == {("a", 5), ("b", 2)}
+    assert len(set(before) & set(parts())) == 1  # the partition of b was not written again
+    table.replace(one.limit(0), spark.createDataFrame([("a",), ("none",)], "file string"))
+    assert held() == {("b", 2)}
+
+
+def test_a_new_stream_begins_on_an_old_table(spark, tmp_path):
+    table = documents.FileTable(str(tmp_path / "t"))
+    for k, text in enumerate(("old", "new")):
+        source = tmp_path / f"in{k}"
+        source.mkdir()
+        for n in range(3):
+            (source / f"{n}.json").write_text(json.dumps({"file": f"f{n}", "x": text}))
+        query = table.sink(spark.readStream.schema("file string, x string").option("maxFilesPerTrigger", 1).json(str(source)), str(tmp_path / f"c{k}"))
+        query.processAllAvailable()
+        query.stop()
+        assert {tuple(r) for r in table.read(spark.createDataFrame([], "file string, x string")).collect()} == {(f"f{n}", text) for n in range(3)}
 
 
 def test_columns_that_clash(spark):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.functions.cursor import active_arity, apply_edits, call_at, indent_at, split_arities, split_params, word_at
+from skein.functions.edits import fold
+from skein.functions.cursor import active_arity, call_at, indent_at, split_arities, split_params, word_at
 from skein.functions.edn import parse, values_after
 from skein.functions.facts import file_facts, is_config
 from skein.functions.java import outline
@@ -98,8 +99,8 @@ def test_cursor_functions():
 
 
 def test_edits_apply_in_order():
-    assert apply_edits("ab\ncd", [(0, 1, 1, 1, "X"), (0, 0, 0, 0, "Y")]) == "YaXd"
-    assert apply_edits("a", [(-1, 0, 0, 0, "new")]) == "new"
+    assert fold("ab\ncd", [(0, 1, 1, 1, "X"), (0, 0, 0, 0, "Y")]) == "YaXd"
+    assert fold("a", [(-1, 0, 0, 0, "new")]) == "new"
 
 
 def test_manifests():

@@ -92,7 +92,7 @@ def test_every_kind_of_damage_is_a_row(spark, tmp_path, monkeypatch):
     assert {n for n, r in rows.items() if r["text"] is not None} == {"b.clj", "c.cljc", "fine.clj", "latin.clj"}
     assert rows["b.clj"]["text"] == text and rows["latin.clj"]["text"] == "(def � 1)"
     listed = cache.archives(spark, str(tmp_path))
-    assert {tuple(r) for r in code.read_archives(spark, str(tmp_path), only=listed).collect()} == {tuple(r) for r in rows.values()}
+    assert {tuple(r) for r in code.read_archives(spark, str(tmp_path), only=listed).collect()} == {tuple(r) for n, r in rows.items() if n != "empty.zip"}  # Spark lists no empty file
 
 
 def test_one_entry_is_read_for_one_lookup(spark, tmp_path):

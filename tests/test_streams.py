@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import zipfile
 
+import pytest
+
 from skein.sources import code, projects
 from skein.streaming import documents as D
 
@@ -13,33 +15,78 @@ def _events(path, name, rows):
     (path / name).write_text("\n".join(json.dumps(r) for r in rows))
 
 
-def test_documents_follow_their_edits(spark, tmp_path):
-    source = tmp_path / "in"
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set(*D.STORE)
+    yield spark
+    spark.conf.unset(D.STORE[0])
+
+
+def _until(spark, query, table, rows):
+    """Waits until the memory table has as many rows; timers fire in batches of their own."""
+    for _ in range(150):
+        query.awaitTermination(0.2)
+        if spark.table(table).count() >= rows:
+            break
+    return [tuple(r) for r in spark.table(table).collect()]
+
+
+def test_documents_follow_their_edits_and_settle(rocks, tmp_path):
+    spark, source = rocks, tmp_path / "in"
     source.mkdir()
     edit = {"line": 0, "ch": 1, "to_line": 0, "to_ch": 1, "text": "!"}
     _events(source, "1.json", [{"uri": "a", "kind": "open", "version": 1, "text": "xy"}, {"uri": "a", "kind": "change", "version": 2, "edits": [edit]}, {"uri": "b", "kind": "open", "version": 1, "text": "q"}])
+    opened = spark.createDataFrame([("c", 7, "kept")], "uri string, version int, text string")
     stream = spark.readStream.schema(D.EVENT).option("maxFilesPerTrigger", 1).json(str(source))
-    query = D.documents(stream).writeStream.format("memory").queryName("docs").outputMode("append").start()
-    query.processAllAvailable()
-    _events(source, "2.json", [{"uri": "a", "kind": "change", "version": 1, "edits": [edit]}, {"uri": "b", "kind": "close", "version": 2}])
-    query.processAllAvailable()
+    made = D.documents(stream, 100, opened=opened).writeStream.queryName("docs").outputMode("append").trigger(processingTime="100 milliseconds").option("checkpointLocation", str(tmp_path / "state"))
+    query = made.format("memory").start()
+    rows = set(_until(spark, query, "docs", 4))
+    assert rows == {("a", 2, "x!y", True, False), ("b", 1, "q", True, False), ("a", 2, "x!y", True, True), ("b", 1, "q", True, True)}
+    _events(source, "2.json", [{"uri": "a", "kind": "change", "version": 1, "edits": [edit]}, {"uri": "b", "kind": "close", "version": 2}, {"uri": "c", "kind": "change", "version": 8, "edits": [edit]}])
+    rows = set(_until(spark, query, "docs", 9)) - rows
     query.stop()
-    rows = {(r["uri"], r["version"], r["text"], r["open"]) for r in spark.table("docs").collect()}
-    assert rows == {("a", 2, "x!y", True), ("b", 1, "q", True), ("b", 2, None, False)}
+    assert rows == {("a", 2, "x!y", True, False), ("a", 2, "x!y", True, True), ("b", 2, None, False, False), ("c", 8, "k!ept", True, False), ("c", 8, "k!ept", True, True)} - {("a", 2, "x!y", True, False), ("a", 2, "x!y", True, True)}
 
 
-def test_debounced_keeps_the_last_version(spark, tmp_path):
-    source = tmp_path / "in"
+def test_documents_go_on_after_a_restart(rocks, tmp_path):
+    spark, source, out = rocks, tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    edit = lambda at, text: {"line": 0, "ch": at, "to_line": 0, "to_ch": at, "text": text}
+
+    def run(name, n):
+        stream = spark.readStream.schema(D.EVENT).json(str(source))
+        made = D.documents(stream, 10**7).writeStream.trigger(processingTime="100 milliseconds")
+        query = made.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).start()
+        rows = set()
+        for _ in range(100):  # a stream with timers never has all done
+            query.awaitTermination(0.3)
+            rows = {(r["uri"], r["version"], r["text"]) for r in spark.read.schema(D.DOCUMENT).parquet(out).collect()} if (tmp_path / "out" / "_spark_metadata").exists() else set()
+            if len(rows) >= n:
+                break
+        query.stop()
+        return rows
+
+    _events(source, "1.json", [{"uri": "a", "kind": "open", "version": 1, "text": "one"}, {"uri": "a", "kind": "change", "version": 2, "edits": [edit(3, "!")]}])
+    assert run("r1", 1) == {("a", 2, "one!")}
+    _events(source, "2.json", [{"uri": "a", "kind": "change", "version": 3, "edits": [edit(4, "?"), edit(0, "<")]}])
+    assert run("r2", 2) == {("a", 2, "one!"), ("a", 3, "<one!?")}
+
+
+def test_debounced_keeps_the_last_version(rocks, tmp_path):
+    spark, source = rocks, tmp_path / "in"
     source.mkdir()
     _events(source, "1.json", [{"uri": "a", "version": 1}, {"uri": "a", "version": 3}, {"uri": "b", "version": 5}])
     stream = spark.readStream.schema("uri string, version int").json(str(source))
     query = D.debounced(stream, 50).writeStream.format("memory").queryName("settled").outputMode("append").trigger(processingTime="200 milliseconds").start()
-    for _ in range(100):
-        query.awaitTermination(0.3)
-        if spark.table("settled").count() >= 2:
-            break
+    rows = _until(spark, query, "settled", 2)
     query.stop()
-    assert {(r["uri"], r["version"]) for r in spark.table("settled").collect()} == {("a", 3), ("b", 5)}
+    assert sorted(rows) == [("a", 3), ("b", 5)]
+
+
+def test_another_state_store_is_an_error(spark, tmp_path):
+    stream = spark.readStream.schema(D.EVENT).json(str(tmp_path))
+    with pytest.raises(RuntimeError, match="RocksDB"):
+        D.documents(stream)
 
 
 def test_file_table_replaces_by_file(spark, tmp_path):
