@@ -2,10 +2,12 @@
 
 Each source's documents, in a fixed order, form one stream of words, packed
 into blocks of ``BLOCK`` words. The output is cut into shards of ``SHARD``
-slots. Source counts of the shards are multinomial draws given the sources'
-totals (drawn without replacement: a pseudorandom permutation of all slots
-deals each source's slots out), so no shard is left over: a count deviates
-from its share by some ``sqrt(SHARD * share * (1 - share))`` slots, and each
+slots. Each slot draws its source by a hash, with the sources' shares of all
+slots as probabilities, so the counts of a shard are a multinomial draw: they
+deviate from their shares by some ``sqrt(SHARD * share * (1 - share))`` slots.
+Over all shards a source is then a few slots off (the square root of all, at
+most about): the slots that come last in the order of another hash, wherever they
+stand, go over from sources that have too many to those that lack some, and each
 source lands on its target to the word. A source's n-th slot takes block
 ``p(n mod blocks)`` of epoch ``n div blocks``, where ``p`` is the source's own
 pseudorandom permutation of its block numbers (swap-or-not rounds). Blocks are
@@ -38,8 +40,8 @@ ROUNDS = 8
 SEED = 1_234_567
 #: Slots that one task makes, about.
 SLOTS_A_TASK = 200_000
-#: Rows of one window partition of a running sum, about.
-RUN = 1_000
+#: Rows of one window partition of a running sum, about: of documents, of slots.
+RUN, SLOT_RUN = 1_000, 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -106,20 +108,41 @@ def source_plan(sized: DataFrame) -> DataFrame:
     )
 
 
-def mix_slots(spark: SparkSession, plan: DataFrame) -> DataFrame:
-    """The mix itself: shard, sid, epoch, block, take (words of the block), one row per slot.
+def _binned(ranges: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """Ranges (low, high) once for each bin of the axis that they touch, so that places meet them by an equi-join."""
+    width = -(-total // BINS) or 1
+    return ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width)))), width
 
-    A permutation of all slots says which source's range each slot of the output falls in.
-    """
+
+def _dealt(spark: SparkSession, plan: DataFrame) -> DataFrame:
+    """(id, shard, sid, slot): every slot of the output with its source, and its number among that source's slots."""
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    high = F.sum("slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    ranges = plan.where("slots > 0").withColumn("high", high).withColumn("low", F.col("high") - F.col("slots"))
-    # Ranges are cut at bin borders so that slots meet them by an equi-join.
-    width = -(-total // BINS) or 1
-    binned = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+    up_to = lambda value: F.sum(value).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
+    some = plan.where("slots > 0").select("sid", "slots")
+    ranges, width = _binned(some.withColumn("high", up_to("slots")).withColumn("low", F.col("high") - F.col("slots")), total)
     parts = -(-total // SLOTS_A_TASK) or 1
-    drawn = spark.range(0, total, 1, parts).select(F.floor(F.col("id") / SHARD).alias("shard"), permuted(F.col("id"), F.lit(total).cast("long"), F.lit(-1)).alias("at"))
-    slots = drawn.withColumn("bin", F.floor(F.col("at") / width)).join(binned, "bin").where("at >= low and at < high").withColumn("slot", F.col("at") - F.col("low"))
+    at = F.pmod(F.xxhash64(F.lit(SEED + 5), "id"), F.lit(max(total, 1)))
+    slots = spark.range(0, total, 1, parts).select("id", F.floor(F.col("id") / SHARD).alias("shard"), at.alias("at"))
+    drawn = slots.withColumn("bin", F.floor(F.col("at") / width)).join(ranges, "bin").where("at >= low and at < high")
+    run = F.pmod(F.xxhash64(F.lit(SEED + 6), "id"), F.lit(max(1, -(-total // SLOT_RUN))))
+    drawn = drawn.select("id", "shard", "sid", "slots", F.lit(1).alias("one"), run.alias("run"), F.xxhash64(F.lit(SEED + 7), "id").alias("turn"))
+    numbered = common.cut(running(drawn, ["sid"], "run", ["turn", "id"], "one"), "drawn-slots")
+    kept = numbered.where("start < slots").select("id", "shard", "sid", F.col("start").alias("slot"))
+
+    # What a source has too many of goes to those that lack some.
+    had = numbered.groupBy("sid").agg(F.count(F.lit(1)).alias("had"))
+    lacking = some.join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).withColumn("lack", F.col("slots") - F.col("had")).where("lack > 0")
+    moved = lacking.agg(F.coalesce(F.sum("lack"), F.lit(0))).first()[0]
+    gaps, gap_width = _binned(lacking.withColumn("high", up_to("lack")).withColumn("low", F.col("high") - F.col("lack")).select("sid", "had", "low", "high"), moved)
+    over = numbered.where("start >= slots").select("id", "shard", "one", "run", "turn", F.lit(0).alias("all"))
+    over = running(over, ["all"], "run", ["turn", "id"], "one").withColumn("bin", F.floor(F.col("start") / gap_width))
+    filled = over.join(gaps, "bin").where("start >= low and start < high").select("id", "shard", "sid", (F.col("had") + F.col("start") - F.col("low")).alias("slot"))
+    return kept.unionByName(filled)
+
+
+def mix_slots(spark: SparkSession, plan: DataFrame) -> DataFrame:
+    """The mix itself: shard, sid, epoch, block, take (words of the block), one row per slot."""
+    slots = _dealt(spark, plan).join(plan.select("sid", "slots", "blocks", "part_slots", "last_take"), "sid")
     is_last = (F.col("slot") == F.col("slots") - 1) & (F.col("part_slots") > 0)
     return slots.select(
         "shard", "sid", F.floor(F.col("slot") / F.col("blocks")).alias("epoch"),
