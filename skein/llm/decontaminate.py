@@ -277,7 +277,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     common.extra(benchmark, ("item_id", "text"))
     common.ship(docs.sparkSession)
     index = common.cut(docs.select("doc_id", "text").mapInArrow(_index, SEGMENT), "postings")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()  # a repeated item is one
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-chars // (4 * block_words)))
     block = F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks))

@@ -9,7 +9,8 @@ tables of vocabulary x languages reach the driver.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 so is every text when nothing can be learned. A row without id is predicted,
-never learned from, and not held out.
+never learned from, and not held out. Repeated rows are predicted and learned
+from each; of languages with equal scores the first in code point order wins.
 """
 
 from __future__ import annotations

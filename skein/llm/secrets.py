@@ -13,7 +13,8 @@ Offsets count code points; ends are exclusive. A base span is the whole match
 of its pattern.
 
 Defined results: a null or empty text has no spans; a row without id is
-scanned like any other; repeated rows are reported each.
+scanned like any other; repeated rows are reported each. Of formats that hit at
+one place the longest stretch wins, then the likelier, then the later by name.
 """
 
 from __future__ import annotations

@@ -17,6 +17,9 @@ Defined results: a null or empty text has no words, fires only the "nothing
 found" voter and gets a score; a row without id is scored, is not held out and
 is never learned from; several labels of one id count as the largest; a null
 label counts as none; without any labelled row the seed voters alone decide.
+Repeated rows are scored each and alike, whatever their number, and one row of
+a labelled id is learned from (the least text). A text of any length is scored
+whole. Equal scores stay equal; a score at the threshold is predicted toxic.
 """
 
 from __future__ import annotations
@@ -298,7 +301,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int
         .agg(F.max("toxic").cast("int").alias("label"))
     )
     chosen = common.sampled(known, "doc_id", sample_rows, known.count())  # at most sample_rows small rows, so they are broadcast
-    sample = common.cut(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), "toxic-sample")
+    # One row of each labelled id is learned from, however often the id occurs.
+    drawn = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("row"))
+    sample = common.cut(drawn.select("row.text", "row.label"), "toxic-sample")
     voters = Voters(induced_lexicon(sample))
     common.drop(sample)
 
@@ -308,7 +313,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int
     if len(table):
         model = LabelModel(table["pattern"].to_numpy(), table["label"].to_numpy(), table["count"].to_numpy())
         every = common.sampled(joined, "doc_id", sample_rows, int(table["count"].sum()))
-        rows = every.unionByName(looked.join(F.broadcast(chosen), "doc_id").select(every.columns)).toPandas()
+        marked = looked.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("pattern", "features", "label")).alias("row"))
+        rows = every.unionByName(marked.select("doc_id", "row.*").select(every.columns)).toPandas()
         target = model.predict(rows["pattern"].to_numpy(dtype=int), rows["label"].to_numpy(dtype=int))
         weights = fit_linear([list(map(int, f)) for f in rows["features"]], target, voters.width)
     else:
