@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +68,18 @@ def settings_rows(text: str) -> list[tuple[str, str]]:
     return [(str(k), str(v)) for k, v in (table or {}).items()]
 
 
+def settings(files: DataFrame) -> DataFrame:
+    """Settings files (path, text) to their ``:lint-as`` entries: (path, macro, target)."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, *entry) for path, text in zip(batch["path"], batch["text"], strict=True) for entry in settings_rows(text or "")]
+            yield pd.DataFrame(rows, columns=["path", "macro", "target"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, macro string, target string")
+
+
 def definer_kinds() -> list[tuple[str, str]]:
     """(target, kind) of every definer of the core namespace."""
     return [(f"clojure.core/{name}", kind) for name, kind in DEFINERS.items()]

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import completion, editing, merge, references, requires, resolve, search
 from skein.plans.corpus import flat
 from skein.plans.session import cut, table
-from skein.sources.code import Relations, extract
+from skein.sources.code import Relations, counted, extract
 
 # Numbers of the other parts that part k's file refers to.
 LINKS = {"a": 1, "b": 7, "c": 13, "d": 3}
@@ -36,15 +36,15 @@ PROTOCOL = '(defprotocol P{k} (m{k} [this] "Doc {k}."))'  # the last line elsewh
 CORE_FILE = ("lib/clojure/core.clj", "(ns clojure.core)\n(defmacro comment [& body])\n(defn format [fmt & args])\n(defn slurp [f])\n")
 FILES_A_TASK = 500
 
-_packed: dict[tuple[str, str], DataFrame] = {}
+_packed: dict[tuple[str, str], tuple[DataFrame, Observation]] = {}
 
 
 def _columns(template: str) -> Column:
-    return F.concat(*[F.col(x[1:-1]).cast("string") if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", template) if x] or [F.lit("")])
+    return F.concat(*[F.col(x[1:-1]).cast("string") if re.fullmatch(r"\{\w+\}", x) else F.lit(x) for x in re.split(r"(\{\w+\})", template) if x] or [F.lit("")])
 
 
 def _sql(template: str) -> str:
-    return " || ".join([f"cast({x[1:-1]} as varchar)" if x.startswith("{") else "'" + x.replace("'", "''") + "'" for x in re.split(r"(\{\w+\})", template) if x]) or "''"
+    return " || ".join([f"cast({x[1:-1]} as varchar)" if re.fullmatch(r"\{\w+\}", x) else "'" + x.replace("'", "''") + "'" for x in re.split(r"(\{\w+\})", template) if x]) or "''"
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +65,25 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> Relations:
-    """The corpus's relations: read once per application, written, and shared by all queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The corpus's relations: read once per application and state of the input, written, and shared by all queries."""
+    key = _state(spark, sf_dir)
     if key not in _packed:
-        _packed[key] = cut(extract(files(spark, sf_dir)), "packed")
-    return Relations(_packed[key])
+        packed, seen = counted(extract(files(spark, sf_dir)), f"corpus{len(_packed)}")
+        _packed[key] = cut(packed, "packed"), seen
+    return Relations(_packed[key][0])
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """The application, and what the input is now: a table that is written anew under its path is another one."""
+    files = table(spark, sf_dir, "part").select("_metadata.file_path", "_metadata.file_modification_time").distinct()
+    sums = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("file_path", "file_modification_time"))).first()
+    return (spark.sparkContext.applicationId, sf_dir, *sums)
+
+
+def counts(spark: SparkSession, sf_dir: str) -> dict:
+    """What the extraction of the corpus counted on its way."""
+    relations(spark, sf_dir)
+    return _packed[_state(spark, sf_dir)][1].get
 
 
 def _special(spark: SparkSession) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,6 +118,26 @@ def extract(files: DataFrame, lint_as: dict[str, str] | None = None, core: froze
     return files.mapInPandas(run, PACKED)
 
 
+def counted(packed: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Packed rows that are counted as they pass: files, problems, symbols, usages, bindings, files with a namespace.
+
+    The pass that writes the rows fills the observation, so no second one is needed. ``namespace_sketch`` estimates
+    the distinct namespaces, and can be merged with the sketches of other scans (``distinct_of``).
+    """
+    seen = Observation(name)
+    return packed.observe(
+        seen, F.count(F.lit(1)).alias("files"), F.count("problem").alias("problems"), F.sum(F.size("symbols")).alias("symbols"), F.sum(F.size("occurrences")).alias("usages"),
+        F.sum(F.size("bindings")).alias("bindings"), F.count_if(F.col("ns") != "").alias("namespaces"),
+        F.hll_sketch_agg(F.when(F.col("ns") != "", F.col("ns"))).alias("namespace_sketch"),
+    ), seen
+
+
+def distinct_of(spark: SparkSession, sketches: list[bytes]) -> int:
+    """The number of distinct namespaces of several scans, by their sketches (a few kilobytes each)."""
+    rows = spark.createDataFrame([(bytearray(x),) for x in sketches], "s binary")
+    return rows.agg(F.hll_sketch_estimate(F.hll_union_agg("s"))).first()[0] or 0
+
+
 class Relations:
     """The relations of packed files, each a projection of the one extraction.
 

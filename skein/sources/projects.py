@@ -7,14 +7,17 @@ of one project); what they declare becomes tables.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.columns import artifact_path
 from skein.functions.edn import Name, parse, values_after
 from skein.operators.merge import first_of
-from skein.plans.session import scratch
+from skein.plans.session import scratch, ship
 
 DEPS = "parent string, ord int, lib string, kind string, location string, ref string, deps_root string"
 COORDS = "ord int, group string, artifact string, version string"
@@ -61,15 +64,37 @@ def source_folders(root: Path) -> list[Path]:
     return [root / p for p in _unique([*declared, "src", "test"]) if (root / p).is_dir()]
 
 
-def lein_coordinates(spark: SparkSession, text: str) -> DataFrame:
-    """Direct dependencies, each once, in order."""
-    found: dict[tuple[str, str, str], int] = {}
+def _coordinates(text: str) -> list[tuple[str, str, str]]:
+    """Direct dependencies (group, artifact, version) of a build file, each once, in order."""
+    found: dict[tuple[str, str, str], None] = {}
     for group in values_after(text, ":dependencies"):
         for item in group:
             if isinstance(item, list) and len(item) > 1 and isinstance(item[0], Name) and isinstance(item[1], str) and not isinstance(item[1], Name):
                 ns, _, name = item[0].rpartition("/")
-                found.setdefault((ns or name, name, item[1]), len(found))
-    return spark.createDataFrame([(k, *c) for c, k in found.items()], COORDS)
+                found.setdefault((ns or name, name, item[1]))
+    return list(found)
+
+
+def coordinates(manifests: DataFrame) -> DataFrame:
+    """Build files (path, text) to their direct dependencies: (path, ord, group, artifact, version), each once, in order."""
+    ship(manifests.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, k, *c) for path, text in zip(batch["path"], batch["text"], strict=True) for k, c in enumerate(_coordinates(text or ""))]
+            yield pd.DataFrame(rows, columns=["path", "ord", "group", "artifact", "version"])
+
+    return manifests.select("path", "text").mapInPandas(run, f"path string, {COORDS}")
+
+
+def present_artifacts(coords: DataFrame, repo: Column, archives: DataFrame) -> DataFrame:
+    """Coordinates (path, ord, ..) whose archive is there, as (path, ord, archive); each archive of a build file once.
+
+    ``archives`` (path) is a listing of the local repository.
+    """
+    placed = coords.select("path", "ord", artifact_path(repo, F.col("group"), F.col("artifact"), F.col("version")).alias("archive"))
+    there = placed.join(archives.select(F.col("path").alias("archive")).distinct(), "archive", "left_semi")
+    return there.groupBy("path", "archive").agg(F.min("ord").alias("ord")).select("path", "ord", "archive")
 
 
 def dependency_rows(parent: str, text: str) -> list[tuple]:
@@ -90,26 +115,36 @@ def dependency_rows(parent: str, text: str) -> list[tuple]:
     return rows
 
 
-def walk_dependencies(edges: DataFrame, root: str, parent: str = "parent", lib: str = "lib", order: str = "ord") -> DataFrame:
+def walk_dependencies(edges: DataFrame, root: str, parent: str = "parent", lib: str = "lib", order: str = "ord", folder: str | None = None, present: DataFrame | None = None) -> DataFrame:
     """(lib, depth, place): all libraries reached, each as first met in breadth-first order.
 
-    A level is one join, written once; libraries met before are left out at once, so cycles end.
+    With ``present``, a listing of folders (column ``folder``), an edge counts only where the checkout that its column
+    ``folder`` names is there. A library is decided where it is met first: if its checkout is missing there it is left
+    out, and nothing below it is followed, whatever later edges say.
+
+    A level is one join with the edges and, where asked for, one with the listing, written once; libraries met before
+    are left out at once, so cycles end.
     """
     spark = edges.sparkSession
     path = scratch(spark, "walk")
-    steps = edges.select(F.col(parent).alias("_from"), F.col(lib).alias("_to"), F.col(order).alias("_ord"))
-    level = steps.where(F.col("_from") == root).select(F.col("_to").alias("lib"), F.lit(1).alias("depth"), F.array(F.col("_ord").cast("long")).alias("place"))
-    schema = level.schema
-    depth = 1
+    where = F.lit(None).cast("string") if folder is None else F.col(folder)
+    steps = edges.select(F.col(parent).alias("_from"), F.col(lib).alias("_to"), F.col(order).cast("long").alias("_ord"), where.alias("_folder"))
+    listed = None if present is None else present.select(F.col("folder").alias("_folder")).distinct().withColumn("here", F.lit(True))
+    level = steps.where(F.col("_from") == root).select(F.col("_to").alias("lib"), F.lit(1).alias("depth"), F.array("_ord").alias("place"), "_folder")
+    depth, schema = 1, None
     while True:
-        first_of(level, ["lib"], [F.col("place")]).write.mode("append").parquet(path)
+        first = first_of(level, ["lib"], [F.col("place")])
+        judged = first.withColumn("here", F.lit(True)) if listed is None else first.join(listed, "_folder", "left").withColumn("here", F.coalesce("here", F.lit(False)))
+        judged = judged.select("lib", "depth", "place", "here")
+        schema = schema or judged.schema
+        judged.write.mode("append").parquet(path)
         found = spark.read.schema(schema).parquet(path)
-        last = found.where(F.col("depth") == depth)
+        last = found.where((F.col("depth") == depth) & F.col("here"))
         if last.isEmpty():
-            return found
+            return found.where("here").select("lib", "depth", "place")
         depth += 1
-        after = last.withColumnRenamed("lib", "_from").join(steps, "_from").select(F.col("_to").alias("lib"), F.lit(depth).alias("depth"), F.concat("place", F.array(F.col("_ord").cast("long"))).alias("place"))
-        level = after.join(found.select("lib"), "lib", "left_anti")
+        after = last.select(F.col("lib").alias("_from"), "place").join(steps, "_from")
+        level = after.select(F.col("_to").alias("lib"), F.lit(depth).alias("depth"), F.concat("place", F.array("_ord")).alias("place"), "_folder").join(found.select("lib"), "lib", "left_anti")
 
 
 def newest_classpath(folder: Path) -> str | None:
