@@ -131,3 +131,25 @@ def test_walk_ends_on_cycles(spark):
 def test_walk_follows_long_chains(spark):
     edges = spark.createDataFrame([(str(k), 0, str(k + 1)) for k in range(70)], "parent string, ord int, lib string")
     assert {(r["lib"], r["depth"]) for r in projects.walk_dependencies(edges, "0").collect()} == {(str(k), k) for k in range(1, 71)}
+
+
+def test_a_missing_checkout_ends_its_branch_and_hides_later_edges(spark):
+    edges = [("r", 0, "a", "/a"), ("r", 1, "gone", "/gone1"), ("r", 2, "b", "/b"), ("a", 0, "gone", "/gone2"), ("gone", 0, "x", "/x"), ("b", 0, "c", "/c2"), ("a", 1, "c", "/c1"), ("c", 0, "r2", "/r2")]
+    table = spark.createDataFrame(edges, "parent string, ord int, lib string, at string")
+    there = spark.createDataFrame([("/a",), ("/b",), ("/gone2",), ("/x",), ("/c1",), ("/r2",)], "folder string")
+    found = projects.walk_dependencies(table, "r", folder="at", present=there)
+    # gone is met first where it is missing, so its other place is not tried; c is met first through a.
+    assert sorted((r["lib"], r["depth"]) for r in found.collect()) == [("a", 1), ("b", 1), ("c", 2), ("r2", 3)]
+    assert projects.walk_dependencies(table, "r", folder="at", present=there.limit(0)).collect() == []
+
+
+def test_counts_are_observed_and_sketches_merge(spark):
+    rows = lambda n, m: spark.createDataFrame([(f"{k}.clj", f"(ns n{k % m})\n(def x{k} 1)\n(def y{k} x{k})", "project") for k in range(n)], "path string, text string, source_kind string")
+    sketches = []
+    for at, (n, m) in enumerate(((300, 200), (300, 250))):
+        packed, seen = code.counted(code.extract(rows(n, m)), f"scan{at}")
+        packed.write.format("noop").mode("overwrite").save()
+        got = seen.get
+        assert (got["files"], got["symbols"], got["namespaces"], got["problems"]) == (n, 2 * n, n, 0)
+        sketches.append(got["namespace_sketch"])
+    assert abs(code.distinct_of(spark, sketches[:1]) - 200) <= 6 and abs(code.distinct_of(spark, sketches) - 250) <= 8
