@@ -10,10 +10,17 @@ earliest document that holds it and its place there: its reference.
 A document is then parsed greedily into factors and literals: from the first
 word on, the factor that begins there and reaches farthest is taken, a factor
 being a stretch whose windows have consecutive references in one document; a
-word that begins none is a literal. At the borders of factors the windows that
-lie across are checked: those with a reference of their own join the duplicate
-spans. So the spans hold exactly the words of windows that an earlier document
-holds, and each factor says where its words come from.
+word that begins none is a literal. The duplicate spans are the factors, and
+what the check at each factor's end adds: windows across that end which have a
+reference of their own. A window with a reference begins in a factor, so nothing
+else need be looked at; without factors there are no spans. The spans hold
+exactly the words of windows that an earlier document holds, and each factor
+says where its words come from.
+
+A reference is the earliest holder of a window, so a factor is the longest in
+these references. A later document may hold a longer stretch in one piece; to
+know it, every window would have to learn all its holders, which is the square
+of a group of copies. The spans do not depend on it.
 
 Windows repeated inside one batch of input are settled before the shuffle. An
 anchor that is frequent in a sample of the documents (one in ``SAMPLED``, taken
@@ -274,15 +281,37 @@ def parse(n_words: int, runs: list[tuple[int, int, int, int]]) -> list[tuple[int
     return out
 
 
+def referenced(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Stretches (first, last) of windows that have a reference, apart from each other, in order."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted((r[0], r[0] + r[1] - 1) for r in runs):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
 def duplicate_spans(factors: list[tuple[int, int, int, int]], runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Stretches of words that the factors cover, with the windows across their borders that have references of their own."""
-    spans: list[list[int]] = []
-    across = [(first, first + count - 1 + WINDOW) for first, count, _, _ in runs]
-    for start, stop in sorted([(f[0], f[1]) for f in factors] + across):
+    """Stretches of words that the factors cover, and those that the check at each factor's end adds.
+
+    A window with a reference begins in a factor, as a word that begins one is no literal. So it lies in the factor, or
+    across its end: only windows across ends are looked up, and no others.
+    """
+    known, spans, k = referenced(runs), [], 0
+    for start, stop, _, _ in factors:
+        found = stop
+        low, high = max(start, stop - WINDOW + 1), stop - 1  # beginnings of windows across this end
+        while k < len(known) and known[k][1] < low:
+            k += 1
+        at = k
+        while at < len(known) and known[at][0] <= high:
+            found = max(found, min(known[at][1], high) + WINDOW)
+            at += 1
         if spans and start <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], stop)
+            spans[-1][1] = max(spans[-1][1], found)
         else:
-            spans.append([start, stop])
+            spans.append([start, found])
     return [(a, b) for a, b in spans]
 
 
