@@ -13,9 +13,10 @@ template around it.
 
 Slots of links are menus and go. The region of the article is found by going
 down the template from its root as long as one container holds ``DOMINANT`` of
-the slots' text. All other slots stay, except where element and class names
-(navigation, adverts, forms, reader comments …) say that a small slot is no
-article: names only break this tie, and none of them counts around the region.
+the slots' text. Slots outside it that hold little of the host's open text
+(``SMALL``) go from pages that have text in the region. What is left goes only where element and class names (navigation,
+adverts, forms, reader comments …) say that it is no article; none of them counts
+around the region.
 An ``article`` or ``main`` element is judged as one text. Pages of equal text
 count once. Hosts with fewer than ``LEAST`` pages take the containers that are
 frequent on all pages as their template.
@@ -45,6 +46,7 @@ ANY_HOST = "//"  # no host is named so
 LEAST = 3  # pages of a frequent class
 SHARE = 0.2  # and its share of the host's pages
 DOMINANT = 0.8  # of a container's text in one container below: the region is there
+SMALL = 0.2  # of the open text of a host: a slot outside the region that holds no more goes
 LINKED = 0.7  # a slot of links alone is a menu
 BROADCAST_ROWS = 50_000
 ROOT = 1  # the page itself as a container
@@ -307,8 +309,8 @@ def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int64()), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64())], ["host", "slot", "chars", "linked"])
 
 
-def region_of(tags: list[dict], slots: list[dict]) -> tuple[list[int], list[int]]:
-    """(containers from the root down to the region of the article, menus)."""
+def region_of(tags: list[dict], slots: list[dict]) -> tuple[list[int], list[int], list[int]]:
+    """(containers from the root down to the region of the article, menus, slots outside the region that hold little)."""
     parent = {t["token"]: t["parent"] for t in tags}
     menus = {s["slot"] for s in slots if s["chars"] and s["linked"] >= LINKED * s["chars"]}
     below: dict[int, int] = {}
@@ -323,33 +325,45 @@ def region_of(tags: list[dict], slots: list[dict]) -> tuple[list[int], list[int]
     while at is not None:
         spine.append(at)
         at = next((c for c in sorted(children.get(at, ())) if below[c] > 0 and below[c] >= DOMINANT * below[spine[-1]]), None)
-    return spine, sorted(menus - {spine[-1]})
+    def inside(path: int) -> bool:
+        while path and path != spine[-1]:
+            path = parent.get(path, 0)
+        return path == spine[-1]
+
+    most = SMALL * below.get(ROOT, 0)
+    minor = [s["slot"] for s in slots if s["slot"] not in menus and s["chars"] <= most and not inside(s["slot"])]
+    return spine, sorted(menus - {spine[-1]}), sorted(minor)
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [region_of(tags, slots) for tags, slots in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         longs = lambda values: pa.array(values, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), longs([s for s, _ in found]), longs([m for _, m in found])], ["host", "spine", "menus"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(longs([x[k] for x in found]) for k in range(3))], ["host", "spine", "menus", "minor"])
 
 
-def main_text(nodes: list[dict], texts: list[dict], blocks: list[dict], words: list[str], tags: set[int], fixed: set[int], spine: set[int], menus: set[int], hints: bool = True) -> str:
-    """Blocks that stand in a slot of the article and are not the template's, in order, joined by one space."""
-    slot = slots_of(nodes, tags)
-    side, out = {0: False}, []
+def main_text(nodes: list[dict], texts: list[dict], blocks: list[dict], words: list[str], tags: set[int], fixed: set[int], spine: list[int], menus: set[int], minor: set[int], hints: bool = True) -> str:
+    """Blocks that stand in a slot of the article and are not the template's, in order, joined by one space.
+
+    On pages with text in the region the slots outside it that hold little on the host go. Without ``hints`` names have
+    no say.
+    """
+    slot, region = slots_of(nodes, tags), spine[-1] if spine else ROOT
+    side, inside = {0: False}, {0: False}
     for n in nodes:  # names around the region do not count
         side[n["path"]] = hints and n["path"] not in spine and (n["side"] or side[n["parent"]])
-    for b, said in zip(blocks, words, strict=True):
-        if texts[b["text"]]["token"] not in fixed and slot[b["node"]] not in menus and not side[nodes[b["node"]]["path"]]:
-            out.append(said)
-    return " ".join(out)
+        inside[n["path"]] = n["path"] == region or inside[n["parent"]]
+    free = [(b, said) for b, said in zip(blocks, words, strict=True) if texts[b["text"]]["token"] not in fixed and slot[b["node"]] not in menus]
+    if any(inside[nodes[b["node"]]["path"]] for b, _ in free):
+        free = [(b, said) for b, said in free if slot[b["node"]] not in minor]
+    return " ".join(said for b, said in free if not side[nodes[b["node"]]["path"]])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for *page, tags, fixed, spine, menus in zip(*(batch.column(k).to_pylist() for k in range(2, 10)), strict=True):
-            texts.append(main_text(*page, {t["token"] for t in tags or ()}, *(set(s or ()) for s in (fixed, spine, menus))))
+        for *page, tags, fixed, spine, menus, minor in zip(*(batch.column(k).to_pylist() for k in range(2, 11)), strict=True):
+            texts.append(main_text(*page, {t["token"] for t in tags or ()}, set(fixed or ()), spine or [], set(menus or ()), set(minor or ())))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -375,7 +389,7 @@ def templates(read: DataFrame) -> DataFrame:
     small = _small(template, "tags", "fixed")
     mass = keyed(single, template).select("key", "nodes", "texts", "blocks").join(small.withColumnRenamed("host", "key"), "key").mapInArrow(_masses, "host string, slot long, chars long, linked long")
     slots = mass.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "linked")).alias("slots"))
-    regions = template.select("host", "tags").join(slots, "host").mapInArrow(_decide, "host string, spine array<long>, menus array<long>")
+    regions = template.select("host", "tags").join(slots, "host").mapInArrow(_decide, "host string, spine array<long>, menus array<long>, minor array<long>")
     return common.cut(template.join(regions, "host", "left"), "regions")
 
 
@@ -391,8 +405,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     common.ship(pages.sparkSession)
     read = common.cut(pages.select("page_id", "url", "html").mapInArrow(_read, READ), "pages", "zstd")
     found = templates(read)
-    chosen = keyed(read, found).join(_small(found, "tags", "fixed", "spine", "menus").withColumnRenamed("host", "key"), "key", "left")
-    return chosen.select("page_id", "url", "nodes", "texts", "blocks", "words", "tags", "fixed", "spine", "menus").mapInArrow(_extract, "page_id long, url string, text string")
+    chosen = keyed(read, found).join(_small(found, "tags", "fixed", "spine", "menus", "minor").withColumnRenamed("host", "key"), "key", "left")
+    return chosen.select("page_id", "url", "nodes", "texts", "blocks", "words", "tags", "fixed", "spine", "menus", "minor").mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
