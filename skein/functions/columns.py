@@ -98,15 +98,22 @@ def unquoted(text: Column) -> Column:
 
 
 def uri_path(uri: Column) -> Column:
-    """``file:`` and ``jar:file:`` addresses as index paths."""
-    return F.url_decode(F.regexp_replace(uri, r"^(?:jar:)?file:/*(?=/)", ""))
+    """``file:`` and ``jar:file:`` addresses as index paths; a plus sign means itself."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, r"^(?:jar:)?file:/*(?=/)", ""), F.lit("+"), F.lit("%2B")))
 
 
 def path_uri(path: Column) -> Column:
-    coded = F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/"))
+    """The address of an index path: what is no letter, digit or plain mark is coded, a blank as ``%20``."""
+    coded = F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
     return F.when(F.contains(path, F.lit("!/")), F.concat(F.lit("jar:file://"), F.replace(coded, F.lit("%21/"), F.lit("!/")))).otherwise(F.concat(F.lit("file://"), coded))
 
 
+def line_prefix(text: Column, line: Column, ch: Column) -> Column:
+    """What stands on a line before a UTF-16 column (the whole line where that is beyond it); null without such a line."""
+    own = F.get(F.split(text, "\n", -1), line.cast("int"))
+    return F.decode(F.substring(F.encode(own, "UTF-16BE"), F.lit(1), 2 * ch.cast("int")), "UTF-16BE")
+
+
 def checkout_dir(home: Column, url: Column, ref: Column) -> Column:
     """Where a checkout of a repository address is kept."""
     return F.concat_ws("/", home, F.lit("gitlibs"), F.regexp_replace(F.regexp_replace(url, r"^https?://", ""), r"\.git$", ""), F.replace(ref, F.lit("/"), F.lit("_")))

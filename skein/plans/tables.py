@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions import columns as C
+from skein.functions.edits import fold
 from skein.operators import intervals, merge, references, requires
 from skein.operators.resolve import first_hit
 from skein.operators.search import search
-from skein.plans.session import table
+from skein.plans.session import ship, table
 from skein.sources import projects
 from skein.streaming.documents import settled
 
@@ -291,27 +294,60 @@ select cast(lib as varchar) as lib, min(depth) as depth from walk group by lib
 
 
 def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalar functions of names and paths over part names and page addresses."""
-    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("ns."), F.initcap("p_name")).alias("p"), F.concat(F.lit("map->"), F.replace("p_name", F.lit(" "), F.lit(""))).alias("f"), F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit(" \t "))).alias("w"), "p_partkey")
+    """Scalar functions of names, kinds, classes and addresses over part names; each holds for some parts and not for others."""
+    k = F.col("p_partkey")
+    pick = lambda *texts: F.get(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in texts]), F.pmod(k, F.lit(len(texts))).cast("int"))
+    joined, number = F.replace("p_name", F.lit(" "), F.lit("")), k.cast("string")
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", F.concat(F.lit("ns."), pick(F.initcap("p_name"), F.col("p_name"))).alias("p"), F.concat(pick("map->", "->", "1map->"), joined).alias("f"),
+        F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit(" \t "))).alias("w"), F.concat(F.lit("/w x/ü/"), number, pick("+1.clj", "%.clj", "=.jar!/a b/c.clj")).alias("path"),
+    )
     return parts.select(
         "p_partkey", C.is_interop(F.col("p")).alias("interop"), C.factory_type(F.col("f")).alias("factory"), C.normalized(F.col("w")).alias("spaced"), C.is_valid_name(F.col("f")).alias("valid"),
-        C.is_internal(F.concat("p", F.lit(".impl"))).alias("internal"), C.simple_name(F.col("p")).alias("simple"), C.unquoted(F.concat(F.lit('"'), "p", F.lit('"'))).alias("unquoted"),
+        C.is_internal(F.concat("p", pick(".impl", ".internal", ".implx", ""))).alias("internal"), C.simple_name(F.col("p")).alias("simple"), C.unquoted(F.concat(F.lit('"'), "p", pick('"', ""))).alias("unquoted"),
         C.artifact_path(F.lit("/m2"), F.lit("org.x"), F.col("f"), F.lit("1")).alias("artifact"), C.checkout_dir(F.lit("/home"), F.concat(F.lit("https://h/"), F.col("f"), F.lit(".git")), F.lit("v/1")).alias("checkout"),
-        C.kind_allowed(F.lit("source"), F.lit("source.fix")).alias("allowed"), C.entry_class(F.lit("java.base/java/util/Map.java")).alias("class"), C.clean_javadoc(F.concat(F.lit("/** A "), "p", F.lit(".\n * Two. */"))).alias("javadoc"),
+        C.kind_allowed(F.lit("source"), pick("source.fix", "source", "sourcery")).alias("allowed"), C.entry_class(F.concat(pick("java.base/", "jdk.x/", ""), F.lit("java/util/Map"), number, pick(".java", ".txt"))).alias("class"),
+        C.clean_javadoc(F.concat(F.lit("/** A "), "p", F.lit(".\n * Two. */"))).alias("javadoc"), C.path_uri(F.col("path")).alias("uri"), (C.uri_path(C.path_uri(F.col("path"))) == F.col("path")).alias("back"),
     )
 
 
 NAMES_SQL = r"""
-select p_partkey, true as interop, replace(p_name, ' ', '') as factory, p_name as spaced, true as valid, true as internal,
-  array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as simple,
-  'ns.' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as unquoted,
-  '/m2/org/x/map->' || replace(p_name, ' ', '') || '/1/map->' || replace(p_name, ' ', '') || '-1.jar' as artifact,
-  '/home/gitlibs/h/map->' || replace(p_name, ' ', '') || '/v_1' as checkout, true as allowed, 'java.util.Map' as class,
-  'A ns.' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || '.' || chr(10) || 'Two.' as javadoc
-from part
+with named as (
+  select p_partkey, p_partkey % 2 as two, p_partkey % 3 as three, p_partkey % 4 as four, replace(p_name, ' ', '') as joined, p_name,
+    'ns.' || case when p_partkey % 2 = 0 then array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') else p_name end as p from part
+), made as (select *, case three when 0 then 'map->' when 1 then '->' else '1map->' end || joined as f from named)
+select p_partkey, two = 0 as interop, case when three < 2 then joined end as factory, p_name as spaced, three < 2 as valid, four < 2 as internal, substr(p, 4) as simple,
+  case when two = 0 then p else '"' || p end as unquoted, '/m2/org/x/' || f || '/1/' || f || '-1.jar' as artifact, '/home/gitlibs/h/' || f || '/v_1' as checkout, three < 2 as allowed,
+  case when two = 0 then 'java.util.Map' || p_partkey end as class, 'A ' || p || '.' || chr(10) || 'Two.' as javadoc,
+  case when three = 2 then 'jar:' else '' end || 'file:///w%20x/%C3%BC/' || p_partkey || case three when 0 then '%2B1.clj' when 1 then '%25.clj' else '%3D.jar!/a%20b/c.clj' end as uri, true as back
+from made
 """
 
 
+def line_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands before a place on the second line of each document, counted in UTF-16 units, behind a character of two."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("first\n"), F.lit("\U0001f600"), F.coalesce("text", F.lit(""))).alias("text"))
+    return docs.select("doc_id", C.line_prefix(F.col("text"), F.lit(1), F.lit(7)).alias("prefix"), C.line_prefix(F.col("text"), F.lit(0), F.lit(99)).alias("line"))
+
+
+PREFIX_SQL = "select doc_id, chr(128512) || left(string_split(coalesce(text, ''), chr(10))[1], 5) as prefix, 'first' as line from documents"
+
+
+@F.pandas_udf(T.StringType())
+def _edited(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: fold(t, [(0, 0, 0, 0, "<<"), (0, 0, 0, 2, ""), (0, 0, 0, 0, "\n"), (1, 0, 1, 0, ">>")]))
+
+
+def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document after four edits, each placed in the outcome of the one before."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", _edited(F.coalesce("text", F.lit(""))).alias("text"))
+    return docs.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
+EDITED_SQL = "select doc_id, length(coalesce(text, '')) + 3 as chars, sha256(chr(10) || '>>' || coalesce(text, '')) as sha256 from documents"
+
+
 def token_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of each benchmark item's first word in the benchmark's lines: an equi-join on the name."""
     words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("ordinal", "fqn"))
@@ -346,12 +382,12 @@ select qid, ns as namespace, case when qid % 2 = 0 then r end as alias, case whe
 
 QUERIES = {f.__name__: f for f in (
     search_tiers, search_many, repeated_rows, best_rank, unresolved_keys, debounce, utf16_columns, precedence_chain, library_merge, rescan_merge, last_write,
-    remove_files, cache_plan, alias_copies, settings_overlay, interval_containment, first_wins_walk, name_functions, token_references, candidate_ranks,
+    remove_files, cache_plan, alias_copies, settings_overlay, interval_containment, first_wins_walk, name_functions, line_prefixes, edited_documents, token_references, candidate_ranks,
 )}
 
 ORACLE = {
     "search_tiers": SEARCH_SQL, "search_many": MANY_SQL, "repeated_rows": REPEATED_SQL, "best_rank": BEST_SQL, "unresolved_keys": UNRESOLVED_SQL, "debounce": DEBOUNCE_SQL,
     "utf16_columns": UTF16_SQL, "precedence_chain": PRECEDENCE_SQL, "library_merge": LIBRARY_SQL, "rescan_merge": RESCAN_SQL, "last_write": LAST_SQL,
     "remove_files": REMOVE_SQL, "cache_plan": CACHE_SQL, "alias_copies": ALIAS_SQL, "settings_overlay": OVERLAY_SQL, "interval_containment": INTERVAL_SQL,
-    "first_wins_walk": WALK_SQL, "name_functions": NAMES_SQL, "token_references": REFERENCES_SQL, "candidate_ranks": CANDIDATES_SQL,
+    "first_wins_walk": WALK_SQL, "name_functions": NAMES_SQL, "line_prefixes": PREFIX_SQL, "edited_documents": EDITED_SQL, "token_references": REFERENCES_SQL, "candidate_ranks": CANDIDATES_SQL,
 }
