@@ -278,7 +278,7 @@ def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COUNTS_SQL = f"""
 with symbols as ({modules.SYMBOLS_SQL}), usages as ({modules.OCCURRENCES_SQL}), files as (select count(*) + 1 as n from part)
-select n as files, 0 as problems, (select count(*) from symbols) + 3 as symbols, (select count(*) from usages) as usages, n as namespaces from files
+select n as files, cast(0 as bigint) as problems, (select count(*) from symbols) + 3 as symbols, (select count(*) from usages) as usages, n as namespaces from files
 """
 
 _TWINS = {
