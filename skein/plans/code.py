@@ -15,7 +15,7 @@ from skein.operators import editing, host, merge, resolve
 from skein.plans import modules
 from skein.plans.corpus import flat
 from skein.plans.modules import _CTE, _columns, _special, _sql, parts, relations
-from skein.plans.session import ship
+from skein.plans.session import large, ship
 from skein.sources import code as source
 from skein.sources import projects
 
@@ -188,7 +188,7 @@ def code_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, namespaces = _host(spark, sf_dir)
     asked = _rows(spark, sf_dir, ["word", "ns"], [x[:2] for x in _MEANT])
     met = resolve.resolve_class(asked, namespaces, members.where("kind = 'class'").select(F.col("class").alias("fqn")))
-    return flat(host.host_definition(met, members).join(host.host_hover(met, members), "qid"), "qid", "kind", "text")
+    return flat(host.host_definition(met, members).join(large(host.host_hover(met, members)), "qid"), "qid", "kind", "text")
 
 
 HOST_WORDS_SQL = _CTE + " union all ".join(

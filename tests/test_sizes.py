@@ -7,7 +7,7 @@ import pytest
 from skein.plans import registry
 
 
-@pytest.mark.parametrize("name", ["code_host_completions"])
+@pytest.mark.parametrize("name", ["code_host_completions", "code_host_words", "code_host_signatures"])
 def test_derived_tables_are_never_broadcast(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
